@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from bazaarflow.functions import js_number
 from bazaarflow.operators.directory import with_profile
 from bazaarflow.operators.latest import last_event
+from bazaarflow.operators.skew import sliced_left_join
 from bazaarflow.schemas import BOOKING_STATUSES, PROVIDER_STATUSES
 
 MIN_ADDRESS = 30
@@ -30,17 +31,21 @@ class Folded(NamedTuple):
 
 def screen_requests(
     requests: DataFrame, providers: DataFrame, profiles: DataFrame, strict: bool = False,
+    slice_hot: bool = False,
 ) -> DataFrame:
     """Every request with its provider's data and a ``reason``, null when it is acceptable.
 
     The first failing check names the reason. ``strict`` also turns down a provider that is not
-    active. Works on a stream of requests as well: the tables are then the static side.
+    active. ``slice_hot`` cuts up a much-requested provider where AQE is not there to do it.
     """
     side = with_profile(providers, profiles, "phone").select(
         F.col("id").alias("_provider_key"), F.col("business_name").alias("provider_name"),
         F.col("category").alias("provider_category"), F.col("profile_phone").alias("provider_phone"),
         F.col("base_price").alias("_base_price"), F.col("status").alias("_provider_status"))
-    joined = requests.join(side, F.col("provider_id") == F.col("_provider_key"), "left")
+    if slice_hot:
+        joined = sliced_left_join(requests, side, "provider_id", "_provider_key", "request_id")
+    else:
+        joined = requests.join(side, F.col("provider_id") == F.col("_provider_key"), "left")
     absent = F.lit(False)
     for name in ("provider_id", "booking_time", "description", "address"):
         absent = absent | F.col(name).isNull() | (F.col(name) == "")

@@ -53,12 +53,13 @@ def register_customers(
 ) -> Registered:
     """New customer profiles; an application whose phone is taken is rejected.
 
-    Within a batch the first application of a phone wins. The losers are found by application
-    id, which is unique, so a phone repeated very often is never gathered in one place.
+    Within a batch the first application of a phone wins. It is picked before the profiles are
+    joined, while each task can still drop its own repeats, and the losers are found by
+    application id: a phone repeated very often is never gathered in one place.
     """
     canonical = apps.withColumn("phone", normalize_phone(F.col("phone")))
-    fresh = canonical.join(profiles.select("phone"), "phone", "left_anti")
-    winners = first_per_key(fresh, ["phone"], _batch_order(apps))
+    first = first_per_key(canonical, ["phone"], _batch_order(apps))
+    winners = first.join(profiles.select("phone"), "phone", "left_anti")
     created = winners.select(
         F.concat(F.lit(id_prefix), F.col("app_id").cast("string")).alias("id"),
         "first_name", "last_name", "phone", F.lit("customer").alias("role"), "area",
@@ -73,29 +74,25 @@ def classify_applications(apps: DataFrame, profiles: DataFrame) -> DataFrame:
     """Provider applications with ``outcome`` new, upgrade or a reason for rejection.
 
     A phone that belongs to a provider or an admin is refused, another person's is upgraded, an
-    unknown one is new. Only a batch's first workable application of a phone is taken: after it
-    the phone belongs to a provider.
+    unknown one is new. Only a batch's first application of a phone that carries a name is
+    taken: after it the phone belongs to a provider. It is picked before any join, while each
+    task can still drop its own repeats.
     """
-    owners = profiles.select(
+    owners = profiles.where(F.col("phone").isNotNull()).select(
         "phone", F.col("id").alias("_owner_id"), F.col("role").alias("_owner_role"))
     canonical = apps.withColumn("phone", normalize_phone(F.col("phone")))
-    known = canonical.join(owners, "phone", "left")
-    reason = (
+    named = canonical.where(F.col("full_name").isNotNull())
+    first = first_per_key(named, ["phone"], _batch_order(apps)).select(
+        "app_id", F.lit(True).alias("_first"))
+    owned = canonical.join(owners, "phone", "left")
+    outcome = (
         F.when(F.col("_owner_role") == "provider", "already_provider")
         .when(F.col("_owner_role") == "admin", "admin_phone")
-        .when(F.col("full_name").isNull(), "missing_name"))
-    judged = known.withColumn("_reason", reason)
-    winners = first_per_key(
-        judged.where(F.col("_reason").isNull()), ["phone"], _batch_order(apps)
-    ).select("app_id", F.lit(True).alias("_wins"))
-    outcome = (
-        F.coalesce(
-            F.col("_reason"),
-            F.when(F.col("_wins").isNull(), "already_provider"),
-            F.when(F.col("_owner_id").isNotNull(), "upgrade"),
-            F.lit("new")))
-    return judged.join(winners, "app_id", "left").withColumn("outcome", outcome).drop(
-        "_reason", "_wins")
+        .when(F.col("full_name").isNull(), "missing_name")
+        .when(F.col("_first").isNull(), "already_provider")
+        .when(F.col("_owner_id").isNotNull(), "upgrade")
+        .otherwise("new"))
+    return owned.join(first, "app_id", "left").withColumn("outcome", outcome).drop("_first")
 
 
 def onboard_providers(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarflow.functions import (
-    capitalize, date_label, money_label, msisdn, normalize_phone, status_label,
+    asset_path, capitalize, date_label, money_label, msisdn, normalize_phone, slot_minutes,
+    status_label,
 )
 from bazaarflow.operators import (
     admin, bookings as B, directory as D, filters, notifications as N, quality as Q, rollups,
@@ -291,13 +292,26 @@ def _(t):
 
 @query("booking_labels", "bookings", f"""
 SELECT id, {_STATUS_LABEL.format('status')} AS status_label, upper(status[1]) || status[2:] AS capitalized,
- strftime(booking_date, '%d/%m/%Y') AS date_label, {money_sql('price')} AS price_label FROM bookings""")
+ strftime(booking_date, '%d/%m/%Y') AS date_label, {money_sql('price')} AS price_label,
+ CAST(epoch(strptime('1970-01-01 ' || booking_time, '%Y-%m-%d %I:%M %p')) // 60 AS bigint) AS slot_minutes FROM bookings""")
 def _(t):
     return t("bookings").select(
         "id", status_label(F.col("status")).alias("status_label"),
         capitalize(F.col("status")).alias("capitalized"),
         date_label(F.col("booking_date")).alias("date_label"),
-        money_label(F.col("price")).alias("price_label"))
+        money_label(F.col("price")).alias("price_label"),
+        slot_minutes(F.col("booking_time")).alias("slot_minutes"))
+
+
+@query("asset_paths", "providers_core", """
+SELECT id, 'proofs/' || id || '/' || epoch_ms(CAST(joined_date AS timestamp)) || '-' || replace(business_name, '#', '') || '.png' AS path
+FROM providers_core WHERE business_name IS NOT NULL AND joined_date IS NOT NULL""")
+def _(t):
+    uploads = t("providers_core").where(
+        F.col("business_name").isNotNull() & F.col("joined_date").isNotNull())
+    return uploads.select("id", asset_path(
+        F.lit("proofs"), F.col("id"), F.col("joined_date").cast("timestamp"),
+        F.concat(F.col("business_name"), F.lit(".png"))).alias("path"))
 
 
 # --- provider counters ----------------------------------------------------------------------
@@ -423,6 +437,13 @@ def _(t):
         "app_id", normalize_phone(phone).alias("canonical"), msisdn(phone).alias("msisdn"))
 
 
+@query("profiles_by_phone", "profiles customer_applications", f"""
+SELECT id, phone, role FROM profiles WHERE phone IN (SELECT {_CANON} FROM customer_applications)""")
+def _(t):
+    wanted = t("customer_applications").select(normalize_phone(F.col("phone")).alias("phone"))
+    return filters.lookup(t("profiles"), "phone", wanted).select("id", "phone", "role")
+
+
 @query("phone_not_canonical", "customer_applications", f"""
 SELECT app_id, phone, {_CANON} AS canonical FROM customer_applications WHERE phone <> {_CANON}""")
 def _(t):

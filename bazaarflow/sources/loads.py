@@ -22,9 +22,10 @@ def insert_if_absent(
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     by = list(order) if order else [
         F.col(f.name) for f in incoming.schema.fields if f.dataType.typeName() != "map"]
-    new = incoming.where(whole).join(target.select(*keys), list(keys), "left_anti")
-    first = first_per_key(new, keys, by).select(*incoming.columns)
-    return first.unionByName(incoming.where(~whole))
+    # Repeats go first, while each task can still drop its own; the join then sees a key once.
+    first = first_per_key(incoming.where(whole), keys, by)
+    new = first.join(target.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    return new.unionByName(incoming.where(~whole))
 
 
 def insert_children(new_parents: DataFrame, details: DataFrame, on: str = "phone") -> DataFrame:

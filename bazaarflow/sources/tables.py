@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from bazaarflow.schemas import LOAD_ORDER, TABLES, conform, fill_defaults
 from bazaarflow.session import path_exists
 
+MONTH = "created_month"
+
 
 def read_table(
     spark: SparkSession, path: str, name: str, fmt: str = "parquet", defaults: bool = True,
+    months: tuple[str, str] | None = None,
 ) -> DataFrame:
     """A table with its fixed schema and column defaults; columns outside the schema are not read.
 
     Tables written by ``write_table`` have their defaults already. Read them with
     ``defaults=False``: a filter on a plain column reaches the file scan, one on a filled column
-    cannot.
+    cannot. ``months`` (first and last, yyyy-MM) reads only those folders of written bookings.
     """
     df = spark.read.schema(TABLES[name]).format(fmt).load(path)
+    if months:
+        df = df.where(F.col(MONTH).between(*months))
+    df = df.select(*TABLES[name].names)
     return fill_defaults(df, name) if defaults else df
 
 
@@ -35,9 +41,9 @@ def write_table(df: DataFrame, path: str, name: str, inserted_at=None, mode: str
         full.write.mode(mode).parquet(path)
         return
     month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("undated"))
-    spread = full.withColumn("created_month", month).repartition(
-        F.col("created_month"), F.pmod(F.xxhash64("id"), F.lit(64)))
-    spread.write.mode(mode).partitionBy("created_month").parquet(path)
+    spread = full.withColumn(MONTH, month).repartition(
+        F.col(MONTH), F.pmod(F.xxhash64("id"), F.lit(64)))
+    spread.write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def overwrite_all(tables: Mapping[str, DataFrame], folder: str, inserted_at=None) -> None:
@@ -64,13 +70,11 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 def read_legacy_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON file (or folder of files) holding one array each; absent or unreadable means no rows.
 
-    A file that does not parse gives one row carrying only the corrupt text, which is dropped.
+    A file that does not parse reads as one row of nulls, which is dropped.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(marked).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.where(F.col("_corrupt_record").isNull()).select(*schema.names)
+    return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE").dropna("all")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bazaarflow.functions import normalize_phone
 from bazaarflow.operators.codes import TTL, judge_timeline
+from bazaarflow.operators.skew import sliced_left_join
 from bazaarflow.session import discard
 from bazaarflow.streaming.batches import BATCH, read_batches, start, write_batch
 
@@ -73,7 +74,7 @@ def _prepared(batch: DataFrame, kind: str, profiles: DataFrame | None) -> DataFr
     if profiles is None:
         return rows.withColumn("has_account", F.lit(True))
     accounts = profiles.where(F.col("phone").isNotNull()).select(F.col("phone").alias("_account"))
-    return rows.join(accounts, F.col("phone") == F.col("_account"), "left").withColumn(
+    return sliced_left_join(rows, accounts, "phone", "_account", "event_id").withColumn(
         "has_account", F.col("_account").isNotNull()).drop("_account")
 
 

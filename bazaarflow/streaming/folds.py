@@ -19,17 +19,17 @@ def accept_requests(
 ) -> StreamingQuery:
     """New bookings to ``out/accepted`` and refusals to ``out/rejected``.
 
-    A stream-static join screens each batch; it is kept while its two parts are written.
+    Each batch is joined to the tables as they are then, and kept while its parts are written.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        kept = screen_requests(batch, providers, profiles, slice_hot=True).persist()
         try:
             write_batch(accepted_rows(kept, first_number), f"{out}/accepted", batch_id)
             write_batch(rejected_rows(kept), f"{out}/rejected", batch_id)
         finally:
             kept.unpersist()
 
-    return start(screen_requests(requests, providers, profiles), write, checkpoint, once=once)
+    return start(requests, write, checkpoint, once=once)
 
 
 STATUS_UPDATE = T.StructType([
@@ -98,8 +98,8 @@ DAILY = T.StructType([
 def daily_totals(bookings: DataFrame, delay: str = "1 day") -> DataFrame:
     """Bookings, pending bookings and completed revenue per day of a stream of bookings.
 
-    A day is final, and appears, once the newest booking is ``delay`` past its end; bookings that
-    arrive later still are dropped.
+    A day is final, and appears, once the newest booking is ``delay`` past its end; a booking of
+    a final day that arrives in a later batch is dropped.
     """
     day = F.window("created_at", "1 day")
     return bookings.withWatermark("created_at", delay).groupBy(day).agg(
