@@ -9,7 +9,10 @@ from bazaarflow.operators import bookings as B, lifecycle as L, notifications as
 from bazaarflow.operators.codes import match_codes
 from bazaarflow.plans.catalog import phone_sql, query, time_sql
 from bazaarflow.plans.reads import _FEED_CTES
+from bazaarflow.schemas import PROVIDERS, conform
+from bazaarflow.session import scratch_path
 from bazaarflow.sources.loads import insert_children, insert_if_absent
+from bazaarflow.sources.tables import overwrite_all, read_table, write_json
 
 # --- booking requests -----------------------------------------------------------------------
 
@@ -264,6 +267,37 @@ def _(t):
     return insert_children(_register(t).profiles, details)
 
 
+@query("tables_written_and_read", "profiles providers_stored bookings", """
+SELECT 'profiles' AS source, id, role AS kind, phone_verified AS flag, NULL AS number FROM profiles UNION ALL
+SELECT 'providers', id, status, is_available, coalesce(total_jobs, 0) FROM providers_stored UNION ALL
+SELECT 'bookings', id, status, is_emergency, CAST(price AS double) FROM bookings""")
+def _(t):
+    folder = scratch_path(t.spark, "tables")
+    overwrite_all({
+        "bookings": t("bookings"), "profiles": t("profiles"), "providers": t("providers_stored")}, folder)
+    columns = {
+        "profiles": ("role", "phone_verified", F.lit(None)),
+        "providers": ("status", "is_available", F.col("total_jobs")),
+        "bookings": ("status", "is_emergency", F.col("price")),
+    }
+    parts = [
+        read_table(t.spark, f"{folder}/{name}", name).select(
+            F.lit(name).alias("source"), "id", F.col(kind).alias("kind"), F.col(flag).alias("flag"),
+            number.cast("double").alias("number"))
+        for name, (kind, flag, number) in columns.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("json_written_and_read", "providers_stored", """
+SELECT id, business_name, status, CAST(base_price AS double) AS base_price, total_jobs,
+ CAST(joined_date AS varchar) AS joined_date FROM providers_stored""")
+def _(t):
+    path = scratch_path(t.spark, "json")
+    write_json(conform(t("providers_stored"), "providers"), path)
+    back = t.spark.read.schema(PROVIDERS).json(path)
+    return back.select("id", "business_name", "status", "base_price", "total_jobs", "joined_date")
+
+
 # --- one-time codes -------------------------------------------------------------------------
 
 def code_sql(kind: str) -> str:
@@ -275,7 +309,7 @@ def code_sql(kind: str) -> str:
     }[kind]
     account = "phone IN (SELECT phone FROM accounts)" if kind == "reset" else "TRUE"
     return f"""
-, u AS (SELECT phone, ts, event_id, code, purpose, 1 AS is_issue FROM otp_issues UNION ALL SELECT phone, ts, event_id, code, purpose, 0 FROM otp_attempts),
+SELECT * FROM (WITH u AS (SELECT phone, ts, event_id, code, purpose, 1 AS is_issue FROM otp_issues UNION ALL SELECT phone, ts, event_id, code, purpose, 0 FROM otp_attempts),
 n AS (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY ts, event_id) AS seq,
  sum(is_issue) OVER (PARTITION BY phone ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS issue_no FROM u),
 m AS (SELECT a.*, i.ts AS its, i.code AS icode, i.purpose AS ip FROM n a LEFT JOIN n i ON i.phone = a.phone AND i.issue_no = a.issue_no AND i.is_issue = 1 WHERE a.is_issue = 0),
@@ -284,31 +318,24 @@ k AS (SELECT *, min(CASE WHEN its IS NOT NULL AND ts <= its + INTERVAL '1' DAY A
  OVER (PARTITION BY phone, issue_no) AS ok_seq FROM j)
 SELECT event_id, phone, {time_sql('ts')} AS ts, CASE WHEN its IS NULL OR seq > ok_seq THEN 'not_requested' WHEN seq = ok_seq THEN 'ok'
  WHEN ts > its + INTERVAL '1' DAY THEN 'expired' WHEN code <> icode THEN 'invalid' WHEN NOT good_purpose THEN 'purpose_mismatch'
- ELSE 'no_account' END AS outcome FROM k"""
-
-
-# Half the fixture phones have an account.
-ACCOUNTS = "accounts AS (SELECT DISTINCT phone FROM otp_issues WHERE right(phone, 1) IN ('0', '2', '4', '6', '8'))"
+ ELSE 'no_account' END AS outcome FROM k)"""
 
 
 def _match(t, kind):
-    profiles = None
-    if kind == "reset":
-        profiles = t("otp_issues").select("phone").distinct().where(
-            F.right("phone", F.lit(1)).isin("0", "2", "4", "6", "8"))
+    profiles = t("accounts") if kind == "reset" else None
     return match_codes(t("otp_issues"), t("otp_attempts"), ttl="1 day", kind=kind, profiles=profiles)
 
 
-@query("code_match", "otp_issues otp_attempts", code_sql("verify"), ctes=ACCOUNTS)
+@query("code_match", "otp_issues otp_attempts", code_sql("verify"))
 def _(t):
     return _match(t, "verify")
 
 
-@query("code_match_login", "otp_issues otp_attempts", code_sql("login"), ctes=ACCOUNTS)
+@query("code_match_login", "otp_issues otp_attempts", code_sql("login"))
 def _(t):
     return _match(t, "login")
 
 
-@query("code_match_reset", "otp_issues otp_attempts", code_sql("reset"), ctes=ACCOUNTS)
+@query("code_match_reset", "otp_issues otp_attempts accounts", code_sql("reset"))
 def _(t):
     return _match(t, "reset")

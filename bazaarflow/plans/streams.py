@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow.plans.catalog import query, time_sql
 from bazaarflow.plans.folds import (
-    ACCEPTED, ACCOUNTS, REJECTED, REQUEST_VIEWS, _COMPLETIONS, _LATEST_STATUS, _SCREENED, code_sql,
+    ACCEPTED, REJECTED, REQUEST_VIEWS, _COMPLETIONS, _LATEST_STATUS, _SCREENED, code_sql,
 )
 from bazaarflow.schemas import BOOKING_STATUS_EVENTS
 from bazaarflow.session import scratch_path
@@ -76,7 +76,7 @@ def _(t):
     return read_batches(t.spark, out, folds.DAILY).drop(BATCH)
 
 
-@query("stream_code_match", "otp_issues otp_attempts", code_sql("verify"), ctes=ACCOUNTS)
+@query("stream_code_match", "otp_issues otp_attempts", code_sql("verify"))
 def _(t):
     out, checkpoint = _folders(t, "codes")
     codes.match_code_stream(

@@ -142,6 +142,11 @@ SELECT event_id, concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone,
  CASE WHEN event_id % 2 = 0 THEN 'register' ELSE 'login' END AS purpose,
  CAST(ts AS timestamp) AS ts FROM {events} WHERE event_type IN ('click', 'view')""",
 
+    # Phones with an account: those of people who made a larger purchase.
+    "accounts": """
+SELECT DISTINCT concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone FROM {events}
+WHERE event_type = 'purchase' AND value > 60""",
+
     # Issues and attempts as they would arrive on one stream.
     "otp_events": """
 SELECT event_id, concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone,

@@ -32,18 +32,17 @@ def read_table(
 def write_table(df: DataFrame, path: str, name: str, inserted_at=None, mode: str = "overwrite") -> None:
     """Write a table with its defaults filled in.
 
-    Bookings are laid out by month of creation, so a date range reads only its months. Rows are
-    spread by month and id, not by month alone: a month that holds most rows still gets many
-    writers.
+    Bookings are laid out by month of creation, so a date range reads only its months. The
+    rebalance gathers a month's rows for few large files and still splits a month that is far
+    larger than the others.
     """
     full = fill_defaults(conform(df, name), name, inserted_at)
     if name != "bookings":
         full.write.mode(mode).parquet(path)
         return
     month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("undated"))
-    spread = full.withColumn(MONTH, month).repartition(
-        F.col(MONTH), F.pmod(F.xxhash64("id"), F.lit(64)))
-    spread.write.mode(mode).partitionBy(MONTH).parquet(path)
+    full.withColumn(MONTH, month).hint("rebalance", F.col(MONTH)).write.mode(mode).partitionBy(
+        MONTH).parquet(path)
 
 
 def overwrite_all(tables: Mapping[str, DataFrame], folder: str, inserted_at=None) -> None:
