@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.functions import normalize_phone
-from bazaarflow.operators.ordered import add_latest, drop_run_columns, sorted_runs
+from bazaarflow.operators.ordered import OrderedScan
 
 TTL = "5 minutes"
 RESET_PURPOSE = "forgot_password"
@@ -50,25 +50,22 @@ def code_timeline(
             F.col("phone").alias("_account"))
         tried = tried.join(accounts, F.col("phone") == F.col("_account"), "left").withColumn(
             "has_account", F.col("_account").isNotNull()).drop("_account")
-    return issued.unionByName(tried)
+    return issued.unionByName(tried).withColumn("carried", F.lit(False))
 
 
-def judge_timeline(
-    timeline: DataFrame, ttl: str, first: list[Column] = (), path: str | None = None,
-) -> DataFrame:
+def judge_timeline(timeline: DataFrame, ttl: str, path: str | None = None) -> DataFrame:
     """A timeline with each row's current ``issue`` and, for attempts, the ``outcome``.
 
     Two ordered scans per phone: the first finds each attempt's current issue, the second
-    whether an earlier attempt already used that issue up. ``first`` goes before the time in the
-    order of rows.
+    whether an earlier attempt already used that issue up. Rows go by time, after those marked
+    ``carried``. An issue's ``place`` identifies it and grows with the order.
     """
     # An issue and an attempt with equal time and id: the code is issued first.
-    order = [*first, F.col("ts"), F.col("event_id"), F.col("is_issue").desc()]
-    runs = sorted_runs(timeline, ["phone"], order, "codes", path)
+    order = [F.col("carried").desc(), F.col("ts"), F.col("event_id"), F.col("is_issue").desc()]
     issued = F.when(F.col("is_issue"), F.struct(
-        F.col("_at").alias("place"), F.col("event_id"), F.col("ts"), F.col("code"),
-        F.col("purpose")))
-    current = add_latest(runs, ["phone"], issued, "issue")
+        F.struct((~F.col("carried")).alias("new"), "ts", "event_id").alias("place"),
+        "event_id", "ts", "code", "purpose"))
+    scan = OrderedScan(timeline, ["phone"], order, "codes", path).latest(issued, "issue")
 
     held = F.col("issue")
     alive = F.col("ts") <= held["ts"] + F.expr(f"INTERVAL {ttl}")
@@ -82,8 +79,7 @@ def judge_timeline(
     has_account = F.col("has_account") | (F.col("kind") != "reset")
     fits = ~F.col("is_issue") & held.isNotNull() & alive & same_code & same_purpose & has_account
 
-    used = add_latest(
-        current, ["phone"], F.when(fits, held["place"]), "_used_issue", before_row=True)
+    used = scan.latest(F.when(fits, held["place"]), "_used_issue", before_row=True).rows()
     outcome = (
         F.when(F.col("is_issue"), None)
         .when(held.isNull() | F.col("_used_issue").eqNullSafe(held["place"]), "not_requested")
@@ -92,4 +88,4 @@ def judge_timeline(
         .when(~same_purpose, "purpose_mismatch")
         .when(~has_account, "no_account")
         .otherwise("ok"))
-    return drop_run_columns(used.withColumn("outcome", outcome)).drop("_used_issue")
+    return used.withColumn("outcome", outcome).drop("_used_issue")

@@ -1,11 +1,12 @@
 """Per-key scans in order that no single key can overload.
 
-A plain window over a key puts the whole key in one task, which fails when one provider or one
-phone holds a third of the rows. Here the rows are range-sorted by (key, order) first, so a hot
-key spreads over many sorted runs. Each run is scanned on its own, and what a key needs from its
-earlier runs is added from a small table: rows are sorted by key, so only the first key of a run
-can have begun in an earlier one, and that table has fewer rows than there are runs. This bound
-is what allows the broadcast.
+A window over a key puts the whole key in one task. That is the cheapest way while every key is
+small, and it is taken after a count has shown that. When one provider or one phone
+holds too many rows, the rows are range-sorted by (key, order) instead, so the key spreads over
+many sorted runs, and each run is scanned on its own. Rows being sorted by key, only the last key
+of a run can go on in the next one, so what runs hand over to each other is a table with one row
+per run. Its size is the number of runs, whatever the data: that is what allows its broadcast, and
+windows over all of it.
 
 The order must be total (end it with a unique id), or ties could fall in either run.
 """
@@ -13,45 +14,124 @@ The order must be total (end it with a unique id), or ties could fall in either
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bazaarflow.session import materialise
 
+ROWS_PER_TASK = 5_000_000
+
 _RUN, _AT, _CARRY = "_run", "_at", "_carry"
+_BUCKETS = 1 << 20
 _RUN_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
-def sorted_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str,
-    path: str | None = None,
+class OrderedScan:
+    """The rows of each key in order; each method adds a column and returns a new scan.
+
+    No keys means one order over all rows.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str,
+        path: str | None = None,
+    ):
+        self.keys = list(keys)
+        self.spread = _largest_group(df, keys) > ROWS_PER_TASK
+        self.df = _sorted_runs(df, keys, order, label, path) if self.spread else df
+        by = [_RUN, *keys] if self.spread else list(keys)
+        self._window = W.partitionBy(*by).orderBy(*([_AT] if self.spread else order))
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(_RUN, _AT)
+
+    def _with(self, df: DataFrame) -> OrderedScan:
+        scan = copy(self)
+        scan.df = df
+        return scan
+
+    def position(self, name: str) -> OrderedScan:
+        """Number the rows of each key from 1."""
+        local = self.df.withColumn(name, F.row_number().over(self._window).cast("bigint"))
+        if not self.spread:
+            return self._with(local)
+        sizes = _tails(self.df, self.keys).groupBy(_RUN).agg(F.count(F.lit(1)).alias(_CARRY))
+        ends = _run_ends(self.df).select(_RUN, *self.keys).join(F.broadcast(sizes), _RUN)
+        carried = _add_carry(local, self.keys, _hand_over(ends, self.keys, F.sum))
+        total = F.col(name) + F.coalesce(_CARRY, F.lit(0))
+        return self._with(carried.withColumn(name, total).drop(_CARRY))
+
+    def previous(self, columns: Sequence[str], name: str) -> OrderedScan:
+        """The struct of ``columns`` of the key's previous row, null on its first."""
+        row = F.struct(*columns)
+        local = self.df.withColumn(name, F.lag(row).over(self._window))
+        if not self.spread:
+            return self._with(local)
+        ends = _run_ends(self.df).select(_RUN, *self.keys, row.alias(_CARRY))
+        carried = _add_carry(local, self.keys, _hand_over(ends, self.keys, F.last))
+        return self._with(carried.withColumn(name, F.coalesce(name, _CARRY)).drop(_CARRY))
+
+    def latest(self, value: Column, name: str, *, before_row: bool = False) -> OrderedScan:
+        """The key's latest non-null ``value`` up to the row, or up to the row before it."""
+        frame = self._window.rowsBetween(W.unboundedPreceding, -1 if before_row else 0)
+        local = self.df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
+        if not self.spread:
+            return self._with(local)
+        valued = _tails(self.df, self.keys).where(value.isNotNull())
+        lasts = _run_ends(valued).select(_RUN, value.alias(_CARRY))
+        ends = _run_ends(self.df).select(_RUN, *self.keys).join(F.broadcast(lasts), _RUN, "left")
+        carry = _hand_over(ends, self.keys, lambda c: F.last(c, ignorenulls=True))
+        carried = _add_carry(local, self.keys, carry)
+        return self._with(carried.withColumn(name, F.coalesce(name, _CARRY)).drop(_CARRY))
+
+
+def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """An upper bound of the rows of the largest key; one number comes to the driver.
+
+    Rows are counted per hash bucket of the key, which stays small however many keys there are.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)) if keys else F.lit(0)
+    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _sorted_runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, path: str | None,
 ) -> DataFrame:
     """``df`` range-sorted by ``keys`` and ``order`` and written once, with run and place columns.
 
     It is written because the run limits come from a sample: two evaluations of the sort could
-    draw them differently, and the scan and its carry table must see the same runs.
+    draw them differently, and the scan and what runs hand over must see the same runs.
     """
     placed = df.orderBy(*[F.col(k).asc() for k in keys], *order).withColumn(
         _AT, F.monotonically_increasing_id())
     return materialise(placed, label, path).withColumn(_RUN, F.shiftright(_AT, _RUN_BITS))
 
 
-def drop_run_columns(df: DataFrame) -> DataFrame:
-    return df.drop(_RUN, _AT)
+def _run_ends(runs: DataFrame) -> DataFrame:
+    """The last row of every run."""
+    ends = runs.groupBy(_RUN).agg(F.max(_AT).alias("_end")).select("_end")
+    return runs.join(F.broadcast(ends), F.col(_AT) == F.col("_end"), "left_semi")
 
 
-def _within_run(keys: Sequence[str]):
-    return W.partitionBy(_RUN, *keys).orderBy(_AT)
+def _tails(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of every run's last key."""
+    ends = _run_ends(runs).select(
+        F.col(_RUN).alias("_end_run"), *[F.col(k).alias(f"_end_{k}") for k in keys])
+    match = F.col(_RUN) == F.col("_end_run")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_end_{k}"))
+    return runs.join(F.broadcast(ends), match, "left_semi")
 
 
-def _from_earlier_runs(
-    runs: DataFrame, keys: Sequence[str], summary: Column, combine: Callable[[Column], Column],
-) -> DataFrame:
-    """What each (run, key) takes over from the earlier runs of that key; few rows, see above."""
-    per_run = runs.groupBy(_RUN, *keys).agg(summary.alias(_CARRY))
-    before = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
-    return per_run.select(_RUN, *keys, combine(F.col(_CARRY)).over(before).alias(_CARRY)).where(
-        F.col(_CARRY).isNotNull())
+def _hand_over(ends: DataFrame, keys: Sequence[str], combine: Callable[[Column], Column]) -> DataFrame:
+    """What each run takes over: the ``_carry`` of earlier run ends of the same key, combined."""
+    so_far = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, 0)
+    return ends.select(
+        F.lead(_RUN).over(W.orderBy(_RUN)).alias(_RUN), *keys,
+        combine(F.col(_CARRY)).over(so_far).alias(_CARRY),
+    ).where(F.col(_RUN).isNotNull() & F.col(_CARRY).isNotNull())
 
 
 def _add_carry(scanned: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
@@ -64,38 +144,8 @@ def _add_carry(scanned: DataFrame, keys: Sequence[str], carry: DataFrame) -> Dat
         "_carry_run", *[f"_carry_{k}" for k in keys])
 
 
-def add_position(runs: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Number the rows of each key from 1 (row_number over the key)."""
-    carry = _from_earlier_runs(runs, keys, F.count(F.lit(1)), F.sum)
-    local = runs.withColumn(name, F.row_number().over(_within_run(keys)).cast("bigint"))
-    return _add_carry(local, keys, carry).withColumn(
-        name, F.col(name) + F.coalesce(_CARRY, F.lit(0))).drop(_CARRY)
-
-
-def add_previous(runs: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    """The struct of ``columns`` of the key's previous row, null on its first (lag over the key)."""
-    row = F.struct(*columns)
-    carry = _from_earlier_runs(runs, keys, F.max_by(row, F.col(_AT)), F.last)
-    local = runs.withColumn(name, F.lag(row).over(_within_run(keys)))
-    return _add_carry(local, keys, carry).withColumn(
-        name, F.coalesce(F.col(name), F.col(_CARRY))).drop(_CARRY)
-
-
-def add_latest(
-    runs: DataFrame, keys: Sequence[str], value: Column, name: str, *, before_row: bool = False,
-) -> DataFrame:
-    """The key's latest non-null ``value`` up to the row, or up to the row before it."""
-    carry = _from_earlier_runs(
-        runs, keys, F.max_by(value, F.when(value.isNotNull(), F.col(_AT))),
-        lambda c: F.last(c, ignorenulls=True))
-    frame = _within_run(keys).rowsBetween(W.unboundedPreceding, -1 if before_row else 0)
-    local = runs.withColumn(name, F.last(value, ignorenulls=True).over(frame))
-    return _add_carry(local, keys, carry).withColumn(
-        name, F.coalesce(F.col(name), F.col(_CARRY))).drop(_CARRY)
-
-
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position",
 ) -> DataFrame:
-    """``df`` with each row's place in its key's order; no keys means one order over all rows."""
-    return drop_run_columns(add_position(sorted_runs(df, keys, order, "position"), keys, name))
+    """``df`` with each row's place in its key's order."""
+    return OrderedScan(df, keys, order, "position").position(name).rows()

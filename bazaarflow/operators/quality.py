@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.functions import normalize_phone
-from bazaarflow.operators.ordered import add_previous, drop_run_columns, sorted_runs
+from bazaarflow.operators.ordered import OrderedScan
 from bazaarflow.schemas import ENUMS, STATUS_GRAPH
 
 
@@ -41,8 +41,8 @@ def transition_audit(events: DataFrame) -> DataFrame:
 
     The first event of a booking has nothing to follow and passes.
     """
-    runs = sorted_runs(events, ["booking_id"], [F.col("ts"), F.col("event_id")], "transitions")
-    steps = drop_run_columns(add_previous(runs, ["booking_id"], ["status"], "_before")).withColumn(
+    scan = OrderedScan(events, ["booking_id"], [F.col("ts"), F.col("event_id")], "transitions")
+    steps = scan.previous(["status"], "_before").rows().withColumn(
         "previous_status", F.col("_before")["status"])
     allowed = reduce(lambda a, b: a | b, [
         F.col("previous_status").eqNullSafe(a) & F.col("status").eqNullSafe(b)

@@ -48,8 +48,7 @@ def match_code_stream(
             F.lit(True).alias("has_account"), F.lit(True).alias("is_issue"),
             F.lit(True).alias("carried"))
         work = f"{out}/work/{BATCH}={batch_id}"
-        judged = judge_timeline(
-            arrived.unionByName(carried), ttl, first=[F.col("carried").desc()], path=work)
+        judged = judge_timeline(arrived.unionByName(carried), ttl, path=work)
         write_batch(
             judged.where(~F.col("is_issue")).select(*OUTCOMES.names), f"{out}/outcomes", batch_id)
         changed = _held_after(judged)

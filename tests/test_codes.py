@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from bazaarflow.operators import ordered
 from bazaarflow.operators.codes import match_codes
 
 START = datetime(2024, 1, 1)
@@ -54,8 +55,10 @@ def random_events(seed, n=3000):
     return issues, attempts
 
 
-@pytest.mark.parametrize("kind", ["verify", "login", "reset"])
-def test_matches_a_replay(spark, kind):
+@pytest.mark.parametrize("kind, rows_per_task", [
+    ("verify", 100), ("login", 100), ("reset", 100), ("verify", 100_000), ("reset", 100_000)])
+def test_matches_a_replay(spark, kind, rows_per_task, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", rows_per_task)
     issues, attempts = random_events(3)
     accounts = {f"+91 {9000000000 + n}" for n in range(0, 30, 2)}
     got = match_codes(

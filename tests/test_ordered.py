@@ -28,9 +28,19 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "id long, key string, ts long, v string").repartition(6)
 
 
+@pytest.fixture(scope="module", params=["window", "runs"])
+def scan(request, df):
+    """The scan in both ways: as a plain window, and spread over sorted runs."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordered, "ROWS_PER_TASK", 1000 if request.param == "runs" else 10_000)
+        made = ordered.OrderedScan(df, ["key"], [F.col("ts"), F.col("id")], "test")
+    assert made.spread == (request.param == "runs")
+    return made
+
+
 @pytest.fixture(scope="module")
 def runs(df):
-    return ordered.sorted_runs(df, ["key"], [F.col("ts"), F.col("id")], "test")
+    return ordered._sorted_runs(df, ["key"], [F.col("ts"), F.col("id")], "test", None)
 
 
 @pytest.fixture(scope="module")
@@ -58,25 +68,27 @@ def test_a_hot_key_spans_several_balanced_runs(runs, rows):
     assert runs.where("key = 'hot'").select("_run").distinct().count() >= 2
 
 
-def test_position(runs, groups):
-    got = {r["id"]: r["n"] for r in ordered.add_position(runs, ["key"], "n").collect()}
+def test_position(scan, groups):
+    got = {r["id"]: r["n"] for r in scan.position("n").rows().collect()}
     assert got == {r[0]: n for g in groups.values() for n, r in enumerate(g, start=1)}
 
 
-def test_position_over_all_rows(df, rows):
+@pytest.mark.parametrize("limit", [100, 100_000])
+def test_position_over_all_rows(df, rows, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", limit)
     got = {r["id"]: r["position"] for r in ordered.with_position(df, [], [F.col("ts").desc(), F.col("id")]).collect()}
     expected = sorted(rows, key=lambda r: (-r[2], r[0]))
     assert got == {r[0]: n for n, r in enumerate(expected, start=1)}
 
 
-def test_previous(runs, groups):
-    got = {r["id"]: r["p"] and r["p"]["v"] for r in ordered.add_previous(runs, ["key"], ["v"], "p").collect()}
+def test_previous(scan, groups):
+    got = {r["id"]: r["p"] and r["p"]["v"] for r in scan.previous(["v"], "p").rows().collect()}
     assert got == {r[0]: (g[i - 1][3] if i else None) for g in groups.values() for i, r in enumerate(g)}
 
 
 @pytest.mark.parametrize("before_row", [False, True])
-def test_latest(runs, groups, before_row):
-    found = ordered.add_latest(runs, ["key"], F.col("v"), "last", before_row=before_row)
+def test_latest(scan, groups, before_row):
+    found = scan.latest(F.col("v"), "last", before_row=before_row).rows()
     expected = {}
     for g in groups.values():
         last = None
@@ -87,9 +99,12 @@ def test_latest(runs, groups, before_row):
     assert {r["id"]: r["last"] for r in found.collect()} == expected
 
 
-def test_carry_table_is_smaller_than_the_number_of_runs(runs):
-    carry = ordered._from_earlier_runs(runs, ["key"], F.count(F.lit(1)), F.sum)
-    assert 0 < carry.count() < 8
+def test_what_runs_hand_over_has_one_row_per_run(runs):
+    assert ordered._run_ends(runs).count() == 8
+    ends = ordered._run_ends(runs).select("_run", "key", F.lit(1).alias("_carry"))
+    assert ordered._hand_over(ends, ["key"], F.sum).count() == 7
+    tails = ordered._tails(runs, ["key"])
+    assert tails.select("_run", "key").distinct().count() == 8
 
 
 def test_tops_and_firsts(df, groups):
