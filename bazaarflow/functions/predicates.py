@@ -16,10 +16,6 @@ def text_match(query: str, *columns: Column) -> Column:
     return reduce(lambda a, b: a | b, hits)
 
 
-def same_text(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def booking_bucket(status: Column) -> Column:
     """The customer's tab a booking falls in; null for a status outside both tabs."""
     return F.when(status.isin(*ONGOING_STATUSES), "ongoing").when(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from bazaarflow.texts import SLOT_FORMAT
+
 
 def _digits(phone: Column) -> Column:
     return F.regexp_replace(phone, "[^0-9]", "")
@@ -68,5 +70,5 @@ def parse_list(json_text: Column) -> Column:
 
 def slot_minutes(slot: Column) -> Column:
     """Minutes after midnight of a 12-hour slot such as '09:00 AM', for ordering a day."""
-    moment = F.try_to_timestamp(slot, F.lit("hh:mm a"))
+    moment = F.try_to_timestamp(slot, F.lit(SLOT_FORMAT))
     return F.hour(moment) * 60 + F.minute(moment)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bazaarflow import texts
 from bazaarflow.functions import area_label_queue, first_truthy, money_label
-from bazaarflow.operators.directory import NOT_PROVIDED, provider_label, with_profile
+from bazaarflow.operators.directory import provider_label, with_profile
 
 
 def revenue(price: Column, status: Column) -> Column:
@@ -29,17 +30,17 @@ def platform_kpis(profiles: DataFrame, providers: DataFrame, bookings: DataFrame
         revenue(F.col("price"), F.col("status")).alias("revenue"))
     n, text = F.col("n"), F.col("n").cast("string")
     return users.select(
-        F.inline(F.array(_tile("Total Users", n, text, F.lit("Live from DB"))))
+        F.inline(F.array(_tile(texts.TOTAL_USERS, n, text, F.lit(texts.LIVE))))
     ).unionByName(supply.select(
         F.inline(F.array(_tile(
-            "Total Providers", n, text,
-            F.concat(F.col("active").cast("string"), F.lit(" active")))))
+            texts.TOTAL_PROVIDERS, n, text,
+            F.concat(F.col("active").cast("string"), F.lit(texts.ACTIVE)))))
     )).unionByName(demand.select(
         F.inline(F.array(
-            _tile("Total Bookings", n, text,
-                  F.concat(F.col("pending").cast("string"), F.lit(" pending"))),
-            _tile("Total Revenue", F.col("revenue"), money_label(F.col("revenue")),
-                  F.lit("Real-time"))))
+            _tile(texts.TOTAL_BOOKINGS, n, text,
+                  F.concat(F.col("pending").cast("string"), F.lit(texts.PENDING))),
+            _tile(texts.TOTAL_REVENUE, F.col("revenue"), money_label(F.col("revenue")),
+                  F.lit(texts.REAL_TIME))))
     ))
 
 
@@ -48,7 +49,7 @@ def review_queue(providers: DataFrame, profiles: DataFrame) -> DataFrame:
     waiting = with_profile(
         providers.where(F.col("status") == "pending"), profiles,
         "first_name", "last_name", "phone", "email", "area", "profile_photo_url", "created_at")
-    missing = F.lit(NOT_PROVIDED)
+    missing = F.lit(texts.NOT_PROVIDED)
     return waiting.select(
         "id", provider_label().alias("name"), "category",
         area_label_queue(F.col("areas_served"), F.col("profile_area")).alias("area"),
@@ -58,8 +59,8 @@ def review_queue(providers: DataFrame, profiles: DataFrame) -> DataFrame:
         "status",
         F.coalesce(F.col("joined_date").cast("timestamp"), F.col("profile_created_at"))
         .alias("joined_date"),
-        first_truthy(F.col("id_proof_type"), F.lit("Unknown ID")).alias("id_proof_type"),
-        first_truthy(F.col("id_proof_number"), F.lit("-")).alias("id_proof_number"),
+        first_truthy(F.col("id_proof_type"), F.lit(texts.UNKNOWN_ID)).alias("id_proof_type"),
+        first_truthy(F.col("id_proof_number"), F.lit(texts.NO_ID_NUMBER)).alias("id_proof_number"),
         F.nullif(F.col("id_proof_url"), F.lit("")).alias("id_proof_url"),
         F.coalesce("skills", F.array().cast("array<string>")).alias("skills"),
         F.nullif(F.col("profile_profile_photo_url"), F.lit("")).alias("profile_photo"),

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bazaarflow import texts
 from bazaarflow.functions import (
     booking_bucket, date_label, display_name, mask_contact, money_label, status_label,
 )
@@ -74,7 +75,7 @@ def customer_bookings(
     return rows.select(
         *_booking_columns(rows),
         F.when(F.col("has_provider"), F.col("provider_business_name"))
-        .otherwise("Unknown Service").alias("provider_name"),
+        .otherwise(texts.UNKNOWN_SERVICE).alias("provider_name"),
         F.col("profile_phone").alias("provider_phone"), "provider_category",
         status_label(F.col("status")).alias("status_label"),
         booking_bucket(F.col("status")).alias("tab"),
@@ -112,7 +113,7 @@ def booking_ledger(
 
 def _provider_name() -> Column:
     return F.when(F.col("has_provider"), F.col("provider_business_name")).otherwise(
-        "Unknown").alias("provider_name")
+        texts.UNKNOWN).alias("provider_name")
 
 
 def recent_bookings(
@@ -167,16 +168,16 @@ def provider_tiles(stats: DataFrame) -> DataFrame:
     Ratings print without trailing zeros (4.50 as 4.5); an unrated provider shows 0.0.
     """
     rated = F.when(F.col("avg_rating") != 0, F.col("avg_rating"))
-    rating_text = F.call_function("format_number", rated, F.lit("0.##"))
+    rating_text = F.call_function("format_number", rated, F.lit(texts.RATING_FORMAT))
     tiles = F.array(*[
         F.struct(F.lit(place).alias("tile"), F.lit(label).alias("label"), value.alias("value"),
                  change.alias("change"))
         for place, (label, value, change) in enumerate([
-            ("Total Jobs", F.col("total_jobs").cast("string"), F.lit("Lifetime jobs")),
-            ("Completed", F.col("completed_jobs").cast("string"), F.lit("Finished tasks")),
-            ("Monthly Earnings", money_label(F.col("monthly_earnings")), F.lit("Current month")),
-            ("Avg Rating", F.coalesce(rating_text, F.lit("0.0")),
-             F.concat(F.col("reviews").cast("string"), F.lit(" reviews"))),
+            (texts.TOTAL_JOBS, F.col("total_jobs").cast("string"), F.lit(texts.LIFETIME)),
+            (texts.COMPLETED, F.col("completed_jobs").cast("string"), F.lit(texts.FINISHED)),
+            (texts.MONTHLY_EARNINGS, money_label(F.col("monthly_earnings")), F.lit(texts.THIS_MONTH)),
+            (texts.AVG_RATING, F.coalesce(rating_text, F.lit(texts.NO_RATING)),
+             F.concat(F.col("reviews").cast("string"), F.lit(texts.REVIEWS))),
         ], start=1)
     ])
     return stats.select("id", F.inline(tiles))

@@ -12,8 +12,7 @@ from bazaarflow.functions import (
 from bazaarflow.operators.filters import (
     active_only, by_area, by_category, by_emergency, by_text, lookup,
 )
-
-NOT_PROVIDED = "Not provided"
+from bazaarflow.texts import NOT_PROVIDED
 
 
 def with_profile(providers: DataFrame, profiles: DataFrame, *columns: str) -> DataFrame:

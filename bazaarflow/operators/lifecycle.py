@@ -11,6 +11,7 @@ from bazaarflow.operators.directory import with_profile
 from bazaarflow.operators.latest import last_event
 from bazaarflow.operators.skew import sliced_left_join
 from bazaarflow.schemas import BOOKING_STATUSES, PROVIDER_STATUSES
+from bazaarflow.texts import BOOKING_PREFIX
 
 MIN_ADDRESS = 30
 FIRST_BOOKING_NUMBER = 100_000
@@ -67,7 +68,7 @@ def accepted_rows(screened: DataFrame, first_number: int = FIRST_BOOKING_NUMBER)
     """
     number = (F.col("request_id") + F.lit(first_number)).cast("string")
     return screened.where(F.col("reason").isNull()).select(
-        F.concat(F.lit("TF-"), number).alias("id"), "customer_id", "provider_id",
+        F.concat(F.lit(BOOKING_PREFIX), number).alias("id"), "customer_id", "provider_id",
         "booking_date", "booking_time", "description", "address",
         F.coalesce("is_emergency", F.lit(False)).alias("is_emergency"),
         F.lit("pending").alias("status"), F.col("_base_price").alias("price"),

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from bazaarflow import texts
 from bazaarflow.functions import capitalize, first_truthy
 from bazaarflow.operators.ordered import with_position
 
@@ -17,17 +18,17 @@ def booking_notices(work_list: DataFrame) -> DataFrame:
     """One notice per booking of a provider work list, not numbered yet."""
     pending = F.col("status") == "pending"
     request = F.concat(
-        first_truthy(F.col("customer_name"), F.lit("A customer")), F.lit(" has requested "),
-        first_truthy(F.col("description"), F.lit("a service")), F.lit(" on "),
-        F.coalesce(F.col("date").cast("string"), F.lit("null")), F.lit(" at "),
+        first_truthy(F.col("customer_name"), F.lit(texts.SOME_CUSTOMER)), F.lit(texts.HAS_REQUESTED),
+        first_truthy(F.col("description"), F.lit(texts.SOME_SERVICE)), F.lit(texts.ON),
+        F.coalesce(F.col("date").cast("string"), F.lit("null")), F.lit(texts.AT),
         F.coalesce(F.col("time"), F.lit("null")))
     change = F.concat(
-        F.lit("Booking "), F.col("id"), F.lit(" is currently "), F.col("status"), F.lit("."))
+        F.lit(texts.BOOKING), F.col("id"), F.lit(texts.IS_CURRENTLY), F.col("status"), F.lit("."))
     return work_list.select(
         "provider_id", F.col("id").alias("booking_id"), "created_at",
         F.lit("booking").alias("type"),
-        F.when(pending, "New Booking Request")
-        .otherwise(F.concat(F.lit("Booking "), capitalize(F.col("status")))).alias("title"),
+        F.when(pending, texts.NEW_REQUEST)
+        .otherwise(F.concat(F.lit(texts.BOOKING), capitalize(F.col("status")))).alias("title"),
         F.when(pending, request).otherwise(change).alias("message"),
         (~pending).alias("read"), pending.alias("action_required"))
 

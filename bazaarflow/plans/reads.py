@@ -328,7 +328,7 @@ def _(t):
 
 
 @query("provider_tiles", "providers_stored", f"""
-SELECT id, 1 AS tile, 'Total Jobs' AS label, CAST(total_jobs AS varchar) AS value, 'Lifetime jobs' AS change FROM stats UNION ALL
+SELECT id, CAST(1 AS bigint) AS tile, 'Total Jobs' AS label, CAST(total_jobs AS varchar) AS value, 'Lifetime jobs' AS change FROM stats UNION ALL
 SELECT id, 2, 'Completed', CAST(completed_jobs AS varchar), 'Finished tasks' FROM stats UNION ALL
 SELECT id, 3, 'Monthly Earnings', {money_sql('monthly_earnings')}, 'Current month' FROM stats UNION ALL
 SELECT id, 4, 'Avg Rating', CASE WHEN avg_rating = 0 THEN '0.0' ELSE regexp_replace(format('{{:.2f}}', avg_rating), '\\.?0+$', '') END,

@@ -83,10 +83,10 @@ ON o_orderkey = p.l_orderkey""",
     "providers_stored": """
 SELECT p.*, c.total_jobs, c.completed_jobs, c.monthly_earnings, c.reviews_count
 FROM {providers_core} p LEFT JOIN (
- SELECT provider_id, CAST(count(*) AS int) AS total_jobs,
-  CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS int) AS completed_jobs,
+ SELECT provider_id, CAST(count(*) AS bigint) AS total_jobs,
+  CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS bigint) AS completed_jobs,
   CAST(sum(CASE WHEN status = 'completed' AND booking_date >= DATE '1997-12-01' THEN price END) AS decimal(14,2)) AS monthly_earnings,
-  CAST(count(rating) AS int) AS reviews_count
+  CAST(count(rating) AS bigint) AS reviews_count
  FROM {bookings} WHERE booking_date < DATE '1998-01-01' AND provider_id IS NOT NULL GROUP BY provider_id) c
 ON p.id = c.provider_id""",
 

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarflow.operators import admin, bookings as B, lifecycle as L, onboarding as O
-from bazaarflow.schemas import BOOKING_STATUS_EVENTS
 from bazaarflow.sources.tables import overwrite_all, read_table
 from tests import golden
 

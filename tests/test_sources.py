@@ -1,10 +1,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from bazaarflow.schemas import BOOKINGS, PROFILES, PROVIDERS, conform, fill_defaults
 from bazaarflow.session import shared_dir

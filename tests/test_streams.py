@@ -8,7 +8,6 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from bazaarflow.operators import lifecycle as L, ordered
 from bazaarflow.schemas import BOOKING_REQUESTS, BOOKING_STATUS_EVENTS
