@@ -30,15 +30,16 @@ _RUN_BITS = 33  # monotonically_increasing_id keeps the partition number above t
 class OrderedScan:
     """The rows of each key in order; each method adds a column and returns a new scan.
 
-    No keys means one order over all rows.
+    No keys means one order over all rows. ``sized_by`` has the same number of rows per key as
+    ``df`` and is cheaper to count, such as the table that ``df`` only joined more columns to.
     """
 
     def __init__(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str,
-        path: str | None = None,
+        path: str | None = None, sized_by: DataFrame | None = None,
     ):
         self.keys = list(keys)
-        self.spread = _largest_group(df, keys) > ROWS_PER_TASK
+        self.spread = _largest_group(df if sized_by is None else sized_by, keys) > ROWS_PER_TASK
         self.df = _sorted_runs(df, keys, order, label, path) if self.spread else df
         by = [_RUN, *keys] if self.spread else list(keys)
         self._window = W.partitionBy(*by).orderBy(*([_AT] if self.spread else order))
@@ -146,6 +147,8 @@ def _add_carry(scanned: DataFrame, keys: Sequence[str], carry: DataFrame) -> Dat
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position",
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with each row's place in its key's order."""
-    return OrderedScan(df, keys, order, "position").position(name).rows()
+    scan = OrderedScan(df, keys, order, "position", sized_by=sized_by)
+    return scan.position(name).rows()

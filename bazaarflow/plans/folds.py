@@ -46,6 +46,13 @@ def _(t):
     return _screen(t).rejected
 
 
+@query("reject_reasons_strict", REQUEST_VIEWS, REJECTED, ctes=_SCREENED.replace(
+    "'provider_not_found' END", "'provider_not_found' WHEN p.status <> 'active' THEN 'provider_inactive' END"))
+def _(t):
+    return L.accept_bookings(
+        t("booking_requests"), t("providers_core"), t("profiles"), strict=True).rejected
+
+
 # --- status, completion, rating and approval events -----------------------------------------
 
 _KNOWN = "('pending', 'accepted', 'in-progress', 'completed', 'cancelled')"
@@ -132,7 +139,8 @@ def _(t):
 SELECT b.id, CASE WHEN f.booking_id IS NULL THEN b.status WHEN contains(f.message, '1-URGENT') THEN 'accepted' ELSE 'cancelled' END AS status
 FROM bookings b LEFT JOIN (SELECT * FROM feed WHERE action_required) f ON b.id = f.booking_id""", ctes=_FEED_CTES)
 def _(t):
-    feed = N.notifications(B.provider_bookings(t("bookings"), t("profiles"), ordered=False))
+    work = B.provider_bookings(t("bookings"), t("profiles"), ordered=False)
+    feed = N.notifications(work, bookings=t("bookings"))
     answers = feed.where("action_required").select(
         F.xxhash64("provider_id", "id").alias("event_id"), "provider_id", "id",
         F.contains("message", F.lit("1-URGENT")).alias("accept"),

@@ -77,11 +77,11 @@ FROM providers p LEFT JOIN profiles f ON p.id = f.id WHERE status = 'active'"""
 _BY_RATING = _LISTED % "coalesce(rating, 0) DESC"
 
 
-def _directory(t, sort, **filters_):
+def _directory(t, sort, **chosen):
     """The directory with each row's place, so that the order shows in an unordered comparison."""
     rows = D.provider_directory(
         conform(t("providers"), "providers"), conform(t("profiles"), "profiles"), sort=sort,
-        ordered=False, **filters_)
+        ordered=False, **chosen)
     order = D.directory_order(sort)
     placed = with_position(rows.withColumn("base_price", F.col("price")), [], order)
     return placed.select(
@@ -397,7 +397,8 @@ _FEED_CTES = f"work AS ({_WORK}),\nfeed AS ({_FEED})"
 
 
 def _feed(t):
-    return N.notifications(B.provider_bookings(t("bookings"), t("profiles"), ordered=False))
+    work = B.provider_bookings(t("bookings"), t("profiles"), ordered=False)
+    return N.notifications(work, bookings=t("bookings"))
 
 
 @query("notifications", "bookings profiles", "SELECT * FROM feed", ctes=_FEED_CTES)

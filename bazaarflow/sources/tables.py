@@ -34,15 +34,17 @@ def write_table(df: DataFrame, path: str, name: str, inserted_at=None, mode: str
 
     Bookings are laid out by month of creation, so a date range reads only its months. The
     rebalance gathers a month's rows for few large files and still splits a month that is far
-    larger than the others.
+    larger than the others. Files are sorted by provider, so a read for one provider skips most
+    of them by their statistics.
     """
     full = fill_defaults(conform(df, name), name, inserted_at)
     if name != "bookings":
         full.write.mode(mode).parquet(path)
         return
     month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("undated"))
-    full.withColumn(MONTH, month).hint("rebalance", F.col(MONTH)).write.mode(mode).partitionBy(
-        MONTH).parquet(path)
+    laid_out = full.withColumn(MONTH, month).hint("rebalance", F.col(MONTH)).sortWithinPartitions(
+        MONTH, "provider_id")
+    laid_out.write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def overwrite_all(tables: Mapping[str, DataFrame], folder: str, inserted_at=None) -> None:

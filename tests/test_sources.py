@@ -7,7 +7,7 @@ import pytest
 from bazaarflow.schemas import BOOKINGS, PROFILES, PROVIDERS, conform, fill_defaults
 from bazaarflow.session import shared_dir
 from bazaarflow.sources.tables import (
-    overwrite_all, read_legacy_json, read_table, save_bucketed, source_counts, write_json,
+    overwrite_all, read_legacy_json, read_table, save_bucketed, source_counts, write_json, write_table,
 )
 from tests import golden
 
@@ -87,3 +87,20 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
 def test_the_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_large_month_is_split_into_several_sorted_files(spark, tmp_path):
+    """Most bookings in one month: the rebalance cuts it up, and each file is sorted by provider."""
+    jobs = conform(spark.range(60000).selectExpr(
+        "concat('TF-', id) AS id", "concat('P', id % 977) AS provider_id", "concat('note ', id) AS description",
+        "CASE WHEN id % 10 = 0 THEN timestamp '2024-01-05' ELSE timestamp '2024-02-05' END AS created_at"), "bookings")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100KB")
+    try:
+        write_table(jobs.repartition(8), str(tmp_path / "b"), "bookings")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list((tmp_path / "b" / "created_month=2024-02").glob("*.parquet"))
+    assert len(files) >= 3
+    ids = [r[0] for r in spark.read.parquet(str(files[0])).select("provider_id").collect()]
+    assert ids == sorted(ids)
+    assert read_table(spark, str(tmp_path / "b"), "bookings").count() == 60000
