@@ -6,6 +6,8 @@ after a failure replaces its own folder, so every result is there exactly once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +15,14 @@ from bazaarflow.session import path_exists
 
 BATCH = "batch_id"
 
+# A table a stream is joined to. A DataFrame keeps the files it was made from; a function is
+# called for every batch, so that it can read the table again.
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def as_of_now(table: Table) -> DataFrame:
+    return table if isinstance(table, DataFrame) else table()
+
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch_id}")

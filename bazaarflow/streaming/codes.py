@@ -15,7 +15,9 @@ from bazaarflow.functions import normalize_phone
 from bazaarflow.operators.codes import TTL, judge_timeline
 from bazaarflow.operators.skew import sliced_left_join
 from bazaarflow.session import discard
-from bazaarflow.streaming.batches import BATCH, read_batches, start, write_batch
+from bazaarflow.streaming.batches import (
+    BATCH, Table, as_of_now, read_batches, start, write_batch,
+)
 
 OUTCOMES = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("phone", T.StringType()),
@@ -31,7 +33,7 @@ _LIVE = T.StructType([
 
 def match_code_stream(
     events: DataFrame, out: str, checkpoint: str, *, ttl: str = TTL, kind: str = "verify",
-    profiles: DataFrame | None = None, snapshot_every: int = 50, once: bool = False,
+    profiles: Table | None = None, snapshot_every: int = 50, once: bool = False,
 ) -> StreamingQuery:
     """Outcomes of attempts to ``out/outcomes``.
 
@@ -65,14 +67,14 @@ def outcomes(spark: SparkSession, out: str) -> DataFrame:
     return read_batches(spark, f"{out}/outcomes", OUTCOMES).drop(BATCH)
 
 
-def _prepared(batch: DataFrame, kind: str, profiles: DataFrame | None) -> DataFrame:
+def _prepared(batch: DataFrame, kind: str, profiles: Table | None) -> DataFrame:
     use = F.coalesce("kind", F.lit(kind)) if "kind" in batch.columns else F.lit(kind)
     rows = batch.select(
         "event_id", normalize_phone(F.col("phone")).alias("phone"), "code", "purpose", "ts",
         use.alias("kind"), "is_issue", F.lit(False).alias("carried"))
     if profiles is None:
         return rows.withColumn("has_account", F.lit(True))
-    accounts = profiles.where(F.col("phone").isNotNull()).select(F.col("phone").alias("_account"))
+    accounts = as_of_now(profiles).where(F.col("phone").isNotNull()).select(F.col("phone").alias("_account"))
     return sliced_left_join(rows, accounts, "phone", "_account", "event_id").withColumn(
         "has_account", F.col("_account").isNotNull()).drop("_account")
 

@@ -10,19 +10,21 @@ from bazaarflow.operators.lifecycle import (
     FIRST_BOOKING_NUMBER, accepted_rows, completion_counts, rejected_rows, screen_requests,
 )
 from bazaarflow.schemas import BOOKING_STATUSES, MONEY
-from bazaarflow.streaming.batches import read_batches, start, write_batch
+from bazaarflow.streaming.batches import Table, as_of_now, read_batches, start, write_batch
 
 
 def accept_requests(
-    requests: DataFrame, providers: DataFrame, profiles: DataFrame, out: str, checkpoint: str,
+    requests: DataFrame, providers: Table, profiles: Table, out: str, checkpoint: str,
     first_number: int = FIRST_BOOKING_NUMBER, once: bool = False,
 ) -> StreamingQuery:
     """New bookings to ``out/accepted`` and refusals to ``out/rejected``.
 
-    Each batch is joined to the tables as they are then, and kept while its parts are written.
+    Each batch is joined to the tables (as they are then, when given as functions), and kept
+    while its two parts are written.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = screen_requests(batch, providers, profiles, slice_hot=True).persist()
+        kept = screen_requests(
+            batch, as_of_now(providers), as_of_now(profiles), slice_hot=True).persist()
         try:
             write_batch(accepted_rows(kept, first_number), f"{out}/accepted", batch_id)
             write_batch(rejected_rows(kept), f"{out}/rejected", batch_id)
@@ -64,7 +66,7 @@ COMPLETIONS = T.StructType([
 
 
 def track_completions(
-    events: DataFrame, bookings: DataFrame, out: str, checkpoint: str, once: bool = False,
+    events: DataFrame, bookings: Table, out: str, checkpoint: str, once: bool = False,
 ) -> StreamingQuery:
     """Completions each batch adds per provider.
 
@@ -72,7 +74,7 @@ def track_completions(
     completion is sent over and over joins as one row.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(completion_counts(batch, bookings), out, batch_id)
+        write_batch(completion_counts(batch, as_of_now(bookings)), out, batch_id)
 
     return start(events, write, checkpoint, once=once)
 

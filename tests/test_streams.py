@@ -90,7 +90,8 @@ def test_requests_split_like_the_batch(spark, paths):
             for n in range(40)]
     sellers, people = golden.providers(spark), golden.profiles(spark)
     stream = file_stream(spark, batches_of(rows, 15), BOOKING_REQUESTS, paths["in"])
-    folds.accept_requests(stream, sellers, people, paths["out"], paths["checkpoint"], once=True).awaitTermination()
+    folds.accept_requests(
+        stream, lambda: sellers, people, paths["out"], paths["checkpoint"], once=True).awaitTermination()
     batch = L.accept_bookings(spark.createDataFrame(rows, BOOKING_REQUESTS), sellers, people)
     for part, expected in (("accepted", batch.accepted), ("rejected", batch.rejected)):
         got = spark.read.parquet(f"{paths['out']}/{part}").drop("batch_id")
