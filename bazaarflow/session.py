@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,29 @@ def build_session(name: str = "bazaarflow", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application, as --py-files would.
+
+    The archive is made on the driver; Spark itself sends it to the executors.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="bazaarflow-code-"), "bazaarflow.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
