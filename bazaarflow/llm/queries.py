@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarflow.llm import bpe, exact_dedup, language, nearest, packing, quality, sanitise
+from bazaarflow.llm import bpe, exact_dedup, language, nearest, packing, quality, sanitise, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
