@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarflow.llm import bpe, exact_dedup, language, nearest, ngram_join, packing, quality, sanitise, substrings
+from bazaarflow.llm import bpe, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("row_key")
+
+
+@query()
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
