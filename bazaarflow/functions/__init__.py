@@ -6,14 +6,14 @@ from bazaarflow.functions.labels import (
 )
 from bazaarflow.functions.predicates import booking_bucket, mask_contact, text_match
 from bazaarflow.functions.values import (
-    first_truthy, first_truthy_number, js_number, msisdn, normalize_phone, number_or_zero,
+    first_truthy, first_truthy_number, is_unfit_number, js_number, msisdn, normalize_phone, number_or_zero,
     parse_list, slot_minutes, split_name,
 )
 
 __all__ = [
     "area_label_list", "area_label_queue", "asset_path", "booking_bucket", "capitalize",
     "contact", "date_label", "display_name", "first_truthy", "first_truthy_number", "initial",
-    "js_number", "mask_contact", "money_label", "msisdn", "normalize_phone", "number_or_zero",
+    "is_unfit_number", "js_number", "mask_contact", "money_label", "msisdn", "normalize_phone", "number_or_zero",
     "parse_list", "slot_minutes", "split_name", "status_label", "text_match",
     "user_name",
 ]

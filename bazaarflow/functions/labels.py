@@ -60,7 +60,10 @@ def contact(phone: Column, email: Column) -> Column:
 
 
 def asset_path(folder: Column, owner: Column, uploaded_at: Column, file_name: Column) -> Column:
-    """folder/owner/milliseconds-name, with the name reduced to safe characters."""
+    """folder/owner/milliseconds-name, with the name reduced to safe characters.
+
+    Null where any part is missing: a shorter path would name another file.
+    """
     safe = F.regexp_replace(file_name, r"[^a-zA-Z0-9.\-]", "")
-    stamped = F.concat_ws("-", F.unix_millis(uploaded_at).cast("string"), safe)
-    return F.concat_ws("/", folder, owner, stamped)
+    stamped = F.concat(F.unix_millis(uploaded_at).cast("string"), F.lit("-"), safe)
+    return F.concat(folder, F.lit("/"), owner, F.lit("/"), stamped)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from bazaarflow.schemas import NUMBER
 from bazaarflow.texts import SLOT_FORMAT
 
 
@@ -45,7 +46,7 @@ def first_truthy(*columns: Column) -> Column:
 def first_truthy_number(*columns: Column) -> Column:
     """First number that is neither null nor zero."""
     *fallible, last = columns
-    return F.coalesce(*[F.nullif(c, F.lit(0).cast("decimal(12,2)")) for c in fallible], last)
+    return F.coalesce(*[F.nullif(c, F.lit(0).cast(NUMBER)) for c in fallible], last)
 
 
 def js_number(text: Column) -> Column:
@@ -54,12 +55,19 @@ def js_number(text: Column) -> Column:
     The cast goes to decimal, because a cast to double would read '5d' as 5.
     """
     trimmed = F.trim(text)
-    return F.when(trimmed == "", F.lit(0).cast("decimal(12,2)")).otherwise(
-        trimmed.try_cast("decimal(12,2)"))
+    return F.when(trimmed == "", F.lit(0).cast(NUMBER)).otherwise(trimmed.try_cast(NUMBER))
+
+
+def is_unfit_number(text: Column) -> Column:
+    """Whether a text is a number with more digits than NUMBER holds."""
+    trimmed = F.trim(text)
+    number = trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.coalesce(number & trimmed.try_cast(NUMBER).isNull(), F.lit(False))
 
 
 def number_or_zero(text: Column) -> Column:
-    return F.coalesce(js_number(text), F.lit(0).cast("decimal(12,2)"))
+    """As ``js_number``, but what is not a number is 0; see ``is_unfit_number`` for what is too long."""
+    return F.coalesce(js_number(text), F.lit(0).cast(NUMBER))
 
 
 def parse_list(json_text: Column) -> Column:

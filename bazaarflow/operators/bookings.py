@@ -13,6 +13,7 @@ from bazaarflow.functions import (
 from bazaarflow.operators.directory import with_profile
 from bazaarflow.operators.filters import lookup, scope_bookings
 from bazaarflow.operators.latest import top_per_key
+from bazaarflow.operators.skew import sliced_left_join
 
 BOOKING_FIELDS = (
     "id", "customer_id", "provider_id", "booking_date", "booking_time", "description",
@@ -30,17 +31,21 @@ def newest_first_undated_last() -> list[Column]:
     return [F.col("created_at").desc_nulls_last(), F.col("id").asc()]
 
 
-def join_provider(bookings: DataFrame, providers: DataFrame) -> DataFrame:
+def join_provider(bookings: DataFrame, providers: DataFrame, sliced: bool = False) -> DataFrame:
     """Bookings with ``provider_business_name`` and ``provider_category`` (null-safe presence).
 
     ``providers`` is unique on id. Its size is left to Spark: it is broadcast when small, and
-    in a sort-merge join AQE splits the partition of a hot provider.
+    in a sort-merge join of two tables AQE splits the partition of a hot provider. ``sliced``
+    is for providers that come from a join on their id, where AQE does not.
     """
     extra = [c for c in ("profile_phone",) if c in providers.columns]
     side = providers.select(
         F.col("id").alias("_provider_key"), F.col("business_name").alias("provider_business_name"),
         F.col("category").alias("provider_category"), *extra)
-    joined = bookings.join(side, F.col("provider_id") == F.col("_provider_key"), "left")
+    if sliced:
+        joined = sliced_left_join(bookings, side, "provider_id", "_provider_key", "id")
+    else:
+        joined = bookings.join(side, F.col("provider_id") == F.col("_provider_key"), "left")
     return joined.withColumn("has_provider", F.col("_provider_key").isNotNull()).drop("_provider_key")
 
 
@@ -61,16 +66,18 @@ def _booking_columns(df: DataFrame) -> list[Column]:
 
 def customer_bookings(
     bookings: DataFrame, providers: DataFrame, profiles: DataFrame,
-    customer_id: str | None = None, ordered: bool = True,
+    customer_id: str | None = None, ordered: bool | None = None,
 ) -> DataFrame:
-    """Customer histories, newest first, with the provider's name, category and phone.
+    """Customer histories with the provider's name, category and phone.
+
+    One customer's history comes newest first; all histories are sorted only on request.
 
     Providers meet their profiles first: both are unique on id, so the bookings are joined, and
     shuffled, once.
     """
     own = bookings if customer_id is None else scope_bookings(bookings, "customer", customer_id)
-    rows = join_provider(own, with_profile(providers, profiles, "phone"))
-    if ordered:
+    rows = join_provider(own, with_profile(providers, profiles, "phone"), sliced=customer_id is None)
+    if ordered or (ordered is None and customer_id is not None):
         rows = rows.orderBy("customer_id", *newest_first())
     return rows.select(
         *_booking_columns(rows),
@@ -83,14 +90,17 @@ def customer_bookings(
 
 
 def provider_bookings(
-    bookings: DataFrame, profiles: DataFrame, provider_id: str | None = None, ordered: bool = True,
+    bookings: DataFrame, profiles: DataFrame, provider_id: str | None = None, ordered: bool | None = None,
 ) -> DataFrame:
-    """Providers' work lists, newest first, with the customer's name and phone."""
+    """Work lists with the customer's name and phone; one provider's comes newest first.
+
+    All work lists together are sorted only on request.
+    """
     own = (
         bookings.where(F.col("provider_id").isNotNull()) if provider_id is None
         else scope_bookings(bookings, "provider", provider_id))
     rows = join_customer(own, profiles)
-    if ordered:
+    if ordered or (ordered is None and provider_id is not None):
         rows = rows.orderBy("provider_id", *newest_first())
     return rows.select(*_booking_columns(rows), "customer_name", "customer_phone")
 
@@ -102,9 +112,9 @@ def masked_contacts(work_list: DataFrame) -> DataFrame:
 
 
 def booking_ledger(
-    bookings: DataFrame, providers: DataFrame, profiles: DataFrame, ordered: bool = True,
+    bookings: DataFrame, providers: DataFrame, profiles: DataFrame, ordered: bool = False,
 ) -> DataFrame:
-    """All bookings with customer and provider names, newest first."""
+    """All bookings with customer and provider names, newest first on request."""
     rows = join_provider(join_customer(bookings, profiles), providers)
     if ordered:
         rows = rows.orderBy(*newest_first())

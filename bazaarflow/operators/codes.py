@@ -26,6 +26,8 @@ def match_codes(
 
     The latest issue of a phone replaces earlier ones, a code is good up to and including its
     expiry, and a code that matched is gone: later attempts are not_requested, even past expiry.
+    With verify, an attempt past expiry is the last one too if its phone came in canonical form;
+    in another form the code stays, and stays expired.
     """
     judged = judge_timeline(code_timeline(issues, attempts, kind, profiles), ttl)
     return judged.where(~F.col("is_issue")).select("event_id", "phone", "ts", "outcome")
@@ -38,11 +40,12 @@ def code_timeline(
     issued = issues.select(
         "event_id", normalize_phone(F.col("phone")).alias("phone"), "code", "purpose", "ts",
         F.lit(None).cast("string").alias("kind"), F.lit(True).alias("has_account"),
-        F.lit(True).alias("is_issue"))
+        F.lit(False).alias("as_kept"), F.lit(True).alias("is_issue"))
     use = F.coalesce("kind", F.lit(kind)) if "kind" in attempts.columns else F.lit(kind)
+    canonical = normalize_phone(F.col("phone"))
     tried = attempts.select(
-        "event_id", normalize_phone(F.col("phone")).alias("phone"), "code", "purpose", "ts",
-        use.alias("kind"), F.lit(False).alias("is_issue"))
+        "event_id", canonical.alias("phone"), "code", "purpose", "ts", use.alias("kind"),
+        F.col("phone").eqNullSafe(canonical).alias("as_kept"), F.lit(False).alias("is_issue"))
     if profiles is None:
         tried = tried.withColumn("has_account", F.lit(True))
     else:
@@ -54,7 +57,7 @@ def code_timeline(
 
 
 def judge_timeline(timeline: DataFrame, ttl: str, path: str | None = None) -> DataFrame:
-    """A timeline with each row's current ``issue`` and, for attempts, the ``outcome``.
+    """A timeline with each row's current ``issue``, the ``outcome`` and whether it ``uses_up`` the issue.
 
     Two ordered scans per phone: the first finds each attempt's current issue, the second
     whether an earlier attempt already used that issue up. Rows go by time, after those marked
@@ -79,13 +82,16 @@ def judge_timeline(timeline: DataFrame, ttl: str, path: str | None = None) -> Da
     has_account = F.col("has_account") | (F.col("kind") != "reset")
     fits = ~F.col("is_issue") & held.isNotNull() & alive & same_code & same_purpose & has_account
 
-    used = scan.latest(F.when(fits, held["place"]), "_used_issue", before_row=True).rows()
+    late = ~F.col("is_issue") & held.isNotNull() & ~alive & F.col("as_kept") & (F.col("kind") == "verify")
+    ends = F.coalesce(fits | late, F.lit(False))
+    used = scan.latest(F.when(ends, held["place"]), "_used_issue", before_row=True).rows()
+    gone = F.col("_used_issue").eqNullSafe(held["place"])
     outcome = (
         F.when(F.col("is_issue"), None)
-        .when(held.isNull() | F.col("_used_issue").eqNullSafe(held["place"]), "not_requested")
+        .when(held.isNull() | gone, "not_requested")
         .when(~alive, "expired")
         .when(~same_code, "invalid")
         .when(~same_purpose, "purpose_mismatch")
         .when(~has_account, "no_account")
         .otherwise("ok"))
-    return used.withColumn("outcome", outcome).drop("_used_issue")
+    return used.withColumns({"outcome": outcome, "uses_up": ends & ~gone}).drop("_used_issue")

@@ -6,11 +6,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from bazaarflow.functions import js_number
+from bazaarflow.functions import is_unfit_number, js_number
 from bazaarflow.operators.directory import with_profile
 from bazaarflow.operators.latest import last_event
 from bazaarflow.operators.skew import sliced_left_join
-from bazaarflow.schemas import BOOKING_STATUSES, PROVIDER_STATUSES
+from bazaarflow.schemas import BOOKING_STATUSES, NUMBER, PROVIDER_STATUSES
 from bazaarflow.texts import BOOKING_PREFIX
 
 MIN_ADDRESS = 30
@@ -23,30 +23,31 @@ class Screened(NamedTuple):
 
 
 class Folded(NamedTuple):
-    """``rows`` is the whole table after the fold; the other two are events without effect."""
+    """``rows`` is the whole table after the fold; the others are events without effect.
+
+    ``unmatched`` has no such row, ``invalid`` a value that is not allowed, and ``foreign`` was
+    sent by someone other than the row's owner (always empty where owners are not enforced).
+    """
 
     rows: DataFrame
     unmatched: DataFrame
     invalid: DataFrame
+    foreign: DataFrame
 
 
 def screen_requests(
     requests: DataFrame, providers: DataFrame, profiles: DataFrame, strict: bool = False,
-    slice_hot: bool = False,
 ) -> DataFrame:
     """Every request with its provider's data and a ``reason``, null when it is acceptable.
 
     The first failing check names the reason. ``strict`` also turns down a provider that is not
-    active. ``slice_hot`` cuts up a much-requested provider where AQE is not there to do it.
+    active. The requests to a hot provider are sliced.
     """
     side = with_profile(providers, profiles, "phone").select(
         F.col("id").alias("_provider_key"), F.col("business_name").alias("provider_name"),
         F.col("category").alias("provider_category"), F.col("profile_phone").alias("provider_phone"),
         F.col("base_price").alias("_base_price"), F.col("status").alias("_provider_status"))
-    if slice_hot:
-        joined = sliced_left_join(requests, side, "provider_id", "_provider_key", "request_id")
-    else:
-        joined = requests.join(side, F.col("provider_id") == F.col("_provider_key"), "left")
+    joined = sliced_left_join(requests, side, "provider_id", "_provider_key", "request_id")
     absent = F.lit(False)
     for name in ("provider_id", "booking_time", "description", "address"):
         absent = absent | F.col(name).isNull() | (F.col(name) == "")
@@ -95,26 +96,35 @@ def _in_enum(events: DataFrame, allowed: tuple[str, ...]) -> tuple[DataFrame, Da
     return events.where(valid), events.where(~valid)
 
 
-def _owned(events: DataFrame, bookings: DataFrame, owner: str) -> DataFrame:
-    """Events whose ``actor_id`` is the booking's owner in column ``owner``."""
-    owners = bookings.select(F.col("id").alias("booking_id"), F.col(owner).alias("actor_id"))
-    return events.join(owners, ["booking_id", "actor_id"], "left_semi")
+def _by_owner(
+    events: DataFrame, bookings: DataFrame, owner: str, enforce: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """Events whose ``actor_id`` is the booking's owner in column ``owner``, and those of others.
+
+    Unknown bookings are in neither part. A null actor, or a booking without owner, is not a match.
+    """
+    if not enforce:
+        return events, events.where(F.lit(False))
+    owners = bookings.select(F.col("id").alias("booking_id"), F.col(owner).alias("_owner"))
+    known = events.join(owners, "booking_id")
+    own = F.coalesce(F.col("actor_id") == F.col("_owner"), F.lit(False))
+    return known.where(own).drop("_owner"), known.where(~own).drop("_owner")
 
 
 def apply_status(bookings: DataFrame, events: DataFrame, enforce_owner: bool = False) -> Folded:
     """Bookings with the latest status of each, by (ts, event_id).
 
     Any known status may follow any other. With ``enforce_owner`` only events sent by the
-    booking's provider (column ``actor_id``) count.
+    booking's provider (column ``actor_id``) count; the others are ``foreign``.
     """
     valid, invalid = _in_enum(events, BOOKING_STATUSES)
-    counted = _owned(valid, bookings, "provider_id") if enforce_owner else valid
+    counted, foreign = _by_owner(valid, bookings, "provider_id", enforce_owner)
     latest = last_event(counted, "booking_id", ["status"]).select(
         F.col("booking_id").alias("id"), F.col("status").alias("_status"), F.col("ts").alias("_ts"))
     rows = bookings.join(latest, "id", "left").withColumn(
         "status", F.coalesce("_status", "status"))
     rows = _stamp(rows, bookings).drop("_status", "_ts")
-    return Folded(rows, _unmatched(valid, bookings, "booking_id"), invalid)
+    return Folded(rows, _unmatched(valid, bookings, "booking_id"), invalid, foreign)
 
 
 def _stamp(rows: DataFrame, before: DataFrame) -> DataFrame:
@@ -158,22 +168,24 @@ def apply_completions(providers: DataFrame, counts: DataFrame) -> DataFrame:
 def apply_ratings(bookings: DataFrame, events: DataFrame, enforce_owner: bool = False) -> Folded:
     """Bookings with the latest rating and review text of each.
 
-    There is no range check: a rating that is not a number stores null, as the source does. The
-    third part is empty for that reason. With ``enforce_owner`` only the booking's customer
-    (column ``actor_id``) may rate.
+    There is no range check: a rating that is not a number stores null, as the source does. A
+    number too long to be stored is ``invalid``. With ``enforce_owner`` only the booking's
+    customer (column ``actor_id``) may rate; the other events are ``foreign``.
     """
-    counted = _owned(events, bookings, "customer_id") if enforce_owner else events
+    too_long = is_unfit_number(F.col("rating"))
+    valid, invalid = events.where(~too_long), events.where(too_long)
+    counted, foreign = _by_owner(valid, bookings, "customer_id", enforce_owner)
     latest = last_event(counted, "booking_id", ["rating", "review"]).select(
         F.col("booking_id").alias("id"), js_number(F.col("rating")).alias("_rating"),
         F.col("review").alias("_review"), F.col("ts").alias("_ts"))
     rated = F.col("_ts").isNotNull()
     old_text = F.col("review_text") if "review_text" in bookings.columns else F.lit(None).cast("string")
     rows = bookings.join(latest, "id", "left").withColumns({
-        "rating": F.when(rated, F.col("_rating")).otherwise(F.col("rating").cast("decimal(12,2)")),
+        "rating": F.when(rated, F.col("_rating")).otherwise(F.col("rating").cast(NUMBER)),
         "review_text": F.when(rated, F.col("_review")).otherwise(old_text),
     })
     rows = _stamp(rows, bookings).drop("_rating", "_review", "_ts")
-    return Folded(rows, _unmatched(events, bookings, "booking_id"), events.where(F.lit(False)))
+    return Folded(rows, _unmatched(valid, bookings, "booking_id"), invalid, foreign)
 
 
 def apply_provider_status(providers: DataFrame, events: DataFrame) -> Folded:
@@ -186,4 +198,4 @@ def apply_provider_status(providers: DataFrame, events: DataFrame) -> Folded:
         "status": F.coalesce("_status", "status"),
         "verified": F.when(decided, F.col("_status") == "active").otherwise(F.col("verified")),
     }).drop("_status")
-    return Folded(rows, _unmatched(valid, providers, "provider_id"), invalid)
+    return Folded(rows, _unmatched(valid, providers, "provider_id"), invalid, events.where(F.lit(False)))

@@ -33,20 +33,14 @@ def booking_notices(work_list: DataFrame) -> DataFrame:
         (~pending).alias("read"), pending.alias("action_required"))
 
 
-def notifications(
-    work_list: DataFrame, others: DataFrame | None = None, bookings: DataFrame | None = None,
-) -> DataFrame:
+def notifications(work_list: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """The feed of a provider work list, whose own order does not matter.
 
     A notification's id is 1000 plus the booking's place, from 0, in its provider's newest-first
     list. ``others`` adds notifications of the remaining types (its booking rows are replaced).
-    ``bookings`` is the table behind the work list; with it the size check skips the join to
-    the customers.
     """
-    assigned = None if bookings is None else bookings.where(F.col("provider_id").isNotNull())
     order = [F.col("created_at").desc_nulls_first(), F.col("booking_id").asc()]
-    placed = with_position(
-        booking_notices(work_list), ["provider_id"], order, sized_by=assigned)
+    placed = with_position(booking_notices(work_list), ["provider_id"], order)
     feed = placed.select(
         "provider_id", (F.col("position") - 1 + FIRST_ID).alias("id"), "type", "title",
         "message", "read", "booking_id", "action_required")

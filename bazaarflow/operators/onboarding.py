@@ -5,11 +5,14 @@ Each application has a unique ``app_id``; an optional ``ts`` orders a batch befo
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bazaarflow.functions import normalize_phone, number_or_zero, parse_list, split_name
+from bazaarflow.functions import (
+    is_unfit_number, normalize_phone, number_or_zero, parse_list, split_name,
+)
 from bazaarflow.operators.latest import first_per_key
 
 MAX_FILE_BYTES = 3 * 1024 * 1024
@@ -74,14 +77,14 @@ def classify_applications(apps: DataFrame, profiles: DataFrame) -> DataFrame:
     """Provider applications with ``outcome`` new, upgrade or a reason for rejection.
 
     A phone that belongs to a provider or an admin is refused, another person's is upgraded, an
-    unknown one is new. Only a batch's first application of a phone that carries a name is
-    taken: after it the phone belongs to a provider. It is picked before any join, while each
-    task can still drop its own repeats.
+    unknown one is new. Only a batch's first application of a phone that carries a name, and
+    numbers that can be stored, is taken: after it the phone belongs to a provider. It is picked
+    before any join, while each task can still drop its own repeats.
     """
     owners = profiles.where(F.col("phone").isNotNull()).select(
         "phone", F.col("id").alias("_owner_id"), F.col("role").alias("_owner_role"))
     canonical = apps.withColumn("phone", normalize_phone(F.col("phone")))
-    named = canonical.where(F.col("full_name").isNotNull())
+    named = canonical.where(F.col("full_name").isNotNull() & ~_unfit_numbers(apps))
     first = first_per_key(named, ["phone"], _batch_order(apps)).select(
         "app_id", F.lit(True).alias("_first"))
     owned = canonical.join(owners, "phone", "left")
@@ -89,12 +92,18 @@ def classify_applications(apps: DataFrame, profiles: DataFrame) -> DataFrame:
         F.when(F.col("_owner_role") == "provider", "already_provider")
         .when(F.col("_owner_role") == "admin", "admin_phone")
         .when(F.col("full_name").isNull(), "missing_name")
+        .when(_unfit_numbers(apps), "number_too_long")
         .when(F.col("_first").isNull(), "already_provider")
         .when(F.col("_owner_id").isNotNull(), "upgrade")
         .otherwise("new"))
     return owned.join(first, "app_id", "left").withColumn("outcome", outcome).drop("_first")
 
 
+def _unfit_numbers(apps: DataFrame) -> Column:
+    found = [is_unfit_number(F.col(c).cast("string")) for c in ("experience", "price_min") if c in apps.columns]
+    return reduce(lambda a, b: a | b, found, F.lit(False))
+
+
 def onboard_providers(
     apps: DataFrame, profiles: DataFrame, id_prefix: str = "PA-",
 ) -> Onboarded:

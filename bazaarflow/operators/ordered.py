@@ -1,12 +1,10 @@
 """Per-key scans in order that no single key can overload.
 
-A window over a key puts the whole key in one task. That is the cheapest way while every key is
-small, and it is taken after a count has shown that. When one provider or one phone
-holds too many rows, the rows are range-sorted by (key, order) instead, so the key spreads over
-many sorted runs, and each run is scanned on its own. Rows being sorted by key, only the last key
-of a run can go on in the next one, so what runs hand over to each other is a table with one row
-per run. Its size is the number of runs, whatever the data: that is what allows its broadcast, and
-windows over all of it.
+A window over a key puts the whole key in one task. Here the rows are range-sorted by (key, order),
+so a key of any size spreads over as many sorted runs as it needs, and each run is scanned on its
+own. Rows being sorted by key, only the last key of a run can go on in the next one, so what runs
+hand over to each other is a table with one row per run. Its size is the number of runs, whatever
+the data: that is what allows its broadcast, and windows over all of it.
 
 The order must be total (end it with a unique id), or ties could fall in either run.
 """
@@ -20,29 +18,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bazaarflow.session import materialise
 
-ROWS_PER_TASK = 5_000_000
-
 _RUN, _AT, _CARRY = "_run", "_at", "_carry"
-_BUCKETS = 1 << 20
 _RUN_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
 class OrderedScan:
     """The rows of each key in order; each method adds a column and returns a new scan.
 
-    No keys means one order over all rows. ``sized_by`` has the same number of rows per key as
-    ``df`` and is cheaper to count, such as the table that ``df`` only joined more columns to.
+    No keys means one order over all rows. The sorted rows are written once, to ``path`` or to a
+    scratch folder that goes with its ``scratch_scope``.
     """
 
     def __init__(
         self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str,
-        path: str | None = None, sized_by: DataFrame | None = None,
+        path: str | None = None,
     ):
         self.keys = list(keys)
-        self.spread = _largest_group(df if sized_by is None else sized_by, keys) > ROWS_PER_TASK
-        self.df = _sorted_runs(df, keys, order, label, path) if self.spread else df
-        by = [_RUN, *keys] if self.spread else list(keys)
-        self._window = W.partitionBy(*by).orderBy(*([_AT] if self.spread else order))
+        self.df = _sorted_runs(df, keys, order, label, path)
+        self._window = W.partitionBy(_RUN, *keys).orderBy(_AT)
 
     def rows(self) -> DataFrame:
         return self.df.drop(_RUN, _AT)
@@ -55,8 +48,6 @@ class OrderedScan:
     def position(self, name: str) -> OrderedScan:
         """Number the rows of each key from 1."""
         local = self.df.withColumn(name, F.row_number().over(self._window).cast("bigint"))
-        if not self.spread:
-            return self._with(local)
         sizes = _tails(self.df, self.keys).groupBy(_RUN).agg(F.count(F.lit(1)).alias(_CARRY))
         ends = _run_ends(self.df).select(_RUN, *self.keys).join(F.broadcast(sizes), _RUN)
         carried = _add_carry(local, self.keys, _hand_over(ends, self.keys, F.sum))
@@ -67,8 +58,6 @@ class OrderedScan:
         """The struct of ``columns`` of the key's previous row, null on its first."""
         row = F.struct(*columns)
         local = self.df.withColumn(name, F.lag(row).over(self._window))
-        if not self.spread:
-            return self._with(local)
         ends = _run_ends(self.df).select(_RUN, *self.keys, row.alias(_CARRY))
         carried = _add_carry(local, self.keys, _hand_over(ends, self.keys, F.last))
         return self._with(carried.withColumn(name, F.coalesce(name, _CARRY)).drop(_CARRY))
@@ -77,8 +66,6 @@ class OrderedScan:
         """The key's latest non-null ``value`` up to the row, or up to the row before it."""
         frame = self._window.rowsBetween(W.unboundedPreceding, -1 if before_row else 0)
         local = self.df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
-        if not self.spread:
-            return self._with(local)
         valued = _tails(self.df, self.keys).where(value.isNotNull())
         lasts = _run_ends(valued).select(_RUN, value.alias(_CARRY))
         ends = _run_ends(self.df).select(_RUN, *self.keys).join(F.broadcast(lasts), _RUN, "left")
@@ -87,16 +74,6 @@ class OrderedScan:
         return self._with(carried.withColumn(name, F.coalesce(name, _CARRY)).drop(_CARRY))
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """An upper bound of the rows of the largest key; one number comes to the driver.
-
-    Rows are counted per hash bucket of the key, which stays small however many keys there are.
-    """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)) if keys else F.lit(0)
-    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def _sorted_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, path: str | None,
 ) -> DataFrame:
@@ -147,8 +124,6 @@ def _add_carry(scanned: DataFrame, keys: Sequence[str], carry: DataFrame) -> Dat
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position",
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with each row's place in its key's order."""
-    scan = OrderedScan(df, keys, order, "position", sized_by=sized_by)
-    return scan.position(name).rows()
+    return OrderedScan(df, keys, order, "position").position(name).rows()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarflow.operators.admin import revenue
@@ -15,37 +18,36 @@ def provider_rollup(bookings: DataFrame, month: str) -> DataFrame:
     """Per provider: jobs, completed jobs, earnings of ``month`` (yyyy-MM), rating and reviews.
 
     ``monthly_earnings`` sums completed prices by booking date; an unrated provider has rating 0.
+    Ratings of more than 14 digits before the point are left out of the mean.
     """
     in_month = F.when(_month(F.col("booking_date")) == month, F.col("price"))
-    stars = F.col("rating").cast("decimal(12,2)")
+    stars = F.col("rating").try_cast("decimal(18,4)")
     return bookings.where(F.col("provider_id").isNotNull()).groupBy("provider_id").agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.count_if(F.col("status") == "completed").alias("completed_jobs"),
         revenue(in_month, F.col("status")).alias("monthly_earnings"),
         F.coalesce(F.round(F.sum(stars) / F.count(stars), 2), F.lit(0))
-        .cast("decimal(12,2)").alias("rating"),
+        .cast("decimal(18,2)").alias("rating"),
         F.count(stars).alias("reviews_count"),
     )
 
 
-def counter_drift(providers: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Providers whose stored job counters differ from the rebuilt ones.
+COUNTERS = ("total_jobs", "completed_jobs", "monthly_earnings", "rating", "reviews_count")
+
+
+def counter_drift(providers: DataFrame, rollup: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+    """Providers of which a stored counter differs from the rebuilt one, as ``stored_*`` and ``rebuilt_*``.
 
-    A provider without bookings counts as 0 jobs, and a missing stored counter as 0.
+    A provider without bookings counts as 0 in everything, and so does a missing stored counter.
     """
-    zero = F.lit(0)
-    stored = providers.select(
-        "id", F.coalesce("total_jobs", zero).cast("bigint").alias("stored_total"),
-        F.coalesce("completed_jobs", zero).cast("bigint").alias("stored_completed"))
     rebuilt = rollup.select(
-        F.col("provider_id").alias("id"), F.col("total_jobs").alias("_total"),
-        F.col("completed_jobs").alias("_completed"))
-    both = stored.join(rebuilt, "id", "left").select(
-        "id", "stored_total", F.coalesce("_total", zero).alias("rebuilt_total"),
-        "stored_completed", F.coalesce("_completed", zero).alias("rebuilt_completed"))
-    return both.where(
-        (F.col("stored_total") != F.col("rebuilt_total"))
-        | (F.col("stored_completed") != F.col("rebuilt_completed")))
+        F.col("provider_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in counters])
+    zero = F.lit(0)
+    both = providers.join(rebuilt, "id", "left").select("id", *[
+        F.coalesce(F.col(name), zero).alias(alias)
+        for c in counters for name, alias in ((c, f"stored_{c}"), (f"_{c}", f"rebuilt_{c}"))])
+    return both.where(reduce(
+        lambda a, b: a | b, [F.col(f"stored_{c}") != F.col(f"rebuilt_{c}") for c in counters]))
 
 
 def revenue_rollup(bookings: DataFrame, providers: DataFrame, profiles: DataFrame) -> DataFrame:

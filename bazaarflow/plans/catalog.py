@@ -21,8 +21,12 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return view(self.spark, self.folder, name)
 
-    def stream(self, name: str) -> DataFrame:
-        return stream_view(self.spark, self.folder, name)
+    def table(self, name: str) -> DataFrame:
+        """A given table as it is."""
+        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
+
+    def stream(self, name: str, moment: str = "ts", files: int = 4) -> DataFrame:
+        return stream_view(self.spark, self.folder, name, moment, files)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -10,9 +10,9 @@ from bazaarflow.operators.codes import match_codes
 from bazaarflow.plans.catalog import phone_sql, query, time_sql
 from bazaarflow.plans.reads import _FEED_CTES
 from bazaarflow.schemas import PROVIDERS, conform
-from bazaarflow.session import scratch_path
+from bazaarflow.session import materialise, scratch_path
 from bazaarflow.sources.loads import insert_children, insert_if_absent
-from bazaarflow.sources.tables import overwrite_all, read_table, write_json
+from bazaarflow.sources.tables import overwrite_all, read_legacy_json, read_table, write_json
 
 # --- booking requests -----------------------------------------------------------------------
 
@@ -79,6 +79,34 @@ def _(t):
         folded.invalid.select("event_id", F.lit("invalid").alias("why")))
 
 
+_OWNERS_STATUS = f"""own AS (SELECT e.* FROM sent_status_events e JOIN bookings b ON e.booking_id = b.id AND e.actor_id = b.provider_id WHERE e.status IN {_KNOWN}),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY ts DESC, event_id DESC) AS rn FROM own) WHERE rn = 1)"""
+
+
+def _owned_status(t):
+    return L.apply_status(t("bookings"), t("sent_status_events"), enforce_owner=True)
+
+
+@query("apply_owners_status", "bookings sent_status_events", """
+SELECT b.id, coalesce(e.status, b.status) AS status FROM bookings b LEFT JOIN latest e ON b.id = e.booking_id""", ctes=_OWNERS_STATUS)
+def _(t):
+    return _owned_status(t).rows.select("id", "status")
+
+
+@query("status_events_of_strangers", "bookings sent_status_events", f"""
+SELECT e.event_id, e.actor_id FROM sent_status_events e JOIN bookings b ON e.booking_id = b.id
+WHERE e.status IN {_KNOWN} AND e.actor_id IS DISTINCT FROM b.provider_id OR e.status IN {_KNOWN} AND e.actor_id IS NULL""")
+def _(t):
+    return _owned_status(t).foreign.select("event_id", "actor_id")
+
+
+@query("ratings_of_strangers", "bookings sent_rating_events", """
+SELECT e.event_id, e.actor_id FROM sent_rating_events e JOIN bookings b ON e.booking_id = b.id
+WHERE e.actor_id IS NULL OR e.actor_id IS DISTINCT FROM b.customer_id""")
+def _(t):
+    return L.apply_ratings(t("bookings"), t("sent_rating_events"), enforce_owner=True).foreign.select("event_id", "actor_id")
+
+
 _COMPLETIONS = """
 SELECT provider_id, count(*) AS completions FROM booking_status_events e JOIN bookings b ON e.booking_id = b.id
 WHERE e.status = 'completed' AND provider_id IS NOT NULL GROUP BY provider_id"""
@@ -104,7 +132,7 @@ def _(t):
 
 
 @query("apply_ratings", "bookings booking_rating_events", f"""
-SELECT b.id, CAST(CASE WHEN e.ts IS NULL THEN b.rating ELSE try_cast(e.rating AS decimal(12,2)) END AS double) AS rating,
+SELECT b.id, CAST(CASE WHEN e.ts IS NULL THEN b.rating ELSE try_cast(e.rating AS decimal(38,10)) END AS double) AS rating,
  CASE WHEN e.ts IS NULL THEN b.review_text ELSE e.review END AS review_text,
  {time_sql('coalesce(e.ts, b.updated_at)')} AS updated_at
 FROM bookings b LEFT JOIN latest e ON b.id = e.booking_id""", ctes="""latest AS (
@@ -139,8 +167,9 @@ def _(t):
 SELECT b.id, CASE WHEN f.booking_id IS NULL THEN b.status WHEN contains(f.message, '1-URGENT') THEN 'accepted' ELSE 'cancelled' END AS status
 FROM bookings b LEFT JOIN (SELECT * FROM feed WHERE action_required) f ON b.id = f.booking_id""", ctes=_FEED_CTES)
 def _(t):
-    work = B.provider_bookings(t("bookings"), t("profiles"), ordered=False)
-    feed = N.notifications(work, bookings=t("bookings"))
+    work = B.provider_bookings(t("bookings"), t("profiles"))
+    # Written once, since it is both where answers come from and what they are matched with.
+    feed = materialise(N.notifications(work), "feed")
     answers = feed.where("action_required").select(
         F.xxhash64("provider_id", "id").alias("event_id"), "provider_id", "id",
         F.contains("message", F.lit("1-URGENT")).alias("accept"),
@@ -185,7 +214,7 @@ def _(t):
 
 _JUDGED = f"""apps AS (SELECT * REPLACE ({_CANON} AS phone) FROM provider_applications),
 owned AS (SELECT a.*, f.id AS owner_id, CASE WHEN f.role = 'provider' THEN 'already_provider' WHEN f.role = 'admin' THEN 'admin_phone'
-  WHEN full_name IS NULL THEN 'missing_name' END AS problem
+  WHEN full_name IS NULL THEN 'missing_name' WHEN length(experience) > 28 THEN 'number_too_long' END AS problem
  FROM apps a LEFT JOIN (SELECT id, phone, role FROM profiles WHERE phone IS NOT NULL) f ON a.phone = f.phone),
 judged AS (SELECT o.*, coalesce(problem, CASE WHEN row_number() OVER (PARTITION BY phone, problem IS NULL ORDER BY app_id) > 1
   THEN 'already_provider' WHEN owner_id IS NOT NULL THEN 'upgrade' ELSE 'new' END) AS outcome FROM owned o)"""
@@ -216,8 +245,8 @@ def _(t):
 @query("onboard_providers", _ONBOARD_VIEWS, f"""
 SELECT coalesce(owner_id, 'PA-' || app_id) AS id, full_name AS business_name,
  CASE WHEN len({_CATEGORY_LIST}) > 0 THEN ({_CATEGORY_LIST})[1] ELSE 'General' END AS category,
- CAST(coalesce(try_cast(experience AS decimal(12,2)), 0) AS double) AS experience,
- CAST(coalesce(try_cast(price_min AS decimal(12,2)), 0) AS double) AS base_price,
+ CAST(coalesce(try_cast(experience AS decimal(38,10)), 0) AS double) AS experience,
+ CAST(coalesce(try_cast(price_min AS decimal(38,10)), 0) AS double) AS base_price,
  array_to_string({_CATEGORY_LIST}, '|') AS skills, array_to_string(CAST(areas_served::json AS varchar[]), '|') AS areas_served,
  id_proof_type, FALSE AS emergency_available, 'pending' AS status
 FROM judged WHERE outcome IN ('new', 'upgrade')""", ctes=_JUDGED)
@@ -306,6 +335,21 @@ def _(t):
     return back.select("id", "business_name", "status", "base_price", "total_jobs", "joined_date")
 
 
+@query("legacy_json_read", "providers_core", """
+SELECT id, business_name, status, CAST(base_price AS double) AS base_price FROM providers_core""")
+def _(t):
+    """Arrays of a hundred providers per file, a file that does not parse and a path that is absent."""
+    path = scratch_path(t.spark, "legacy")
+    rows = conform(t("providers_core"), "providers").withColumn(
+        "part", F.floor(F.substring("id", 2, 20).cast("bigint") / 100))
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*PROVIDERS.names))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    t.spark.createDataFrame([("[{",)], "value string").write.mode("append").text(path)
+    found = read_legacy_json(t.spark, path, PROVIDERS)
+    absent = read_legacy_json(t.spark, f"{path}-none", PROVIDERS)
+    return found.unionByName(absent).select("id", "business_name", "status", "base_price")
+
+
 # --- one-time codes -------------------------------------------------------------------------
 
 def code_sql(kind: str) -> str:
@@ -316,16 +360,19 @@ def code_sql(kind: str) -> str:
         "reset": "(ip IS NOT DISTINCT FROM 'forgot_password')",
     }[kind]
     account = "phone IN (SELECT phone FROM accounts)" if kind == "reset" else "TRUE"
+    ends_late = "raw = phone" if kind == "verify" else "FALSE"
+    canonical = phone_sql("phone")
     return f"""
-SELECT * FROM (WITH u AS (SELECT phone, ts, event_id, code, purpose, 1 AS is_issue FROM otp_issues UNION ALL SELECT phone, ts, event_id, code, purpose, 0 FROM otp_attempts),
+SELECT * FROM (WITH u AS (SELECT phone AS raw, {canonical} AS phone, ts, event_id, code, purpose, 1 AS is_issue FROM otp_issues
+ UNION ALL SELECT phone, {canonical}, ts, event_id, code, purpose, 0 FROM otp_attempts),
 n AS (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY ts, event_id) AS seq,
  sum(is_issue) OVER (PARTITION BY phone ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS issue_no FROM u),
 m AS (SELECT a.*, i.ts AS its, i.code AS icode, i.purpose AS ip FROM n a LEFT JOIN n i ON i.phone = a.phone AND i.issue_no = a.issue_no AND i.is_issue = 1 WHERE a.is_issue = 0),
-j AS (SELECT *, {purpose} AS good_purpose, {account} AS has_account FROM m),
-k AS (SELECT *, min(CASE WHEN its IS NOT NULL AND ts <= its + INTERVAL '1' DAY AND code = icode AND good_purpose AND has_account THEN seq END)
- OVER (PARTITION BY phone, issue_no) AS ok_seq FROM j)
-SELECT event_id, phone, {time_sql('ts')} AS ts, CASE WHEN its IS NULL OR seq > ok_seq THEN 'not_requested' WHEN seq = ok_seq THEN 'ok'
- WHEN ts > its + INTERVAL '1' DAY THEN 'expired' WHEN code <> icode THEN 'invalid' WHEN NOT good_purpose THEN 'purpose_mismatch'
+j AS (SELECT *, {purpose} AS good_purpose, {account} AS has_account, ts > its + INTERVAL '1' DAY AS late FROM m),
+k AS (SELECT *, min(CASE WHEN its IS NOT NULL AND (late AND {ends_late} OR NOT late AND code = icode AND good_purpose AND has_account) THEN seq END)
+ OVER (PARTITION BY phone, issue_no) AS last_seq FROM j)
+SELECT event_id, phone, {time_sql('ts')} AS ts, CASE WHEN its IS NULL OR seq > last_seq THEN 'not_requested' WHEN late THEN 'expired'
+ WHEN seq = last_seq THEN 'ok' WHEN code <> icode THEN 'invalid' WHEN NOT good_purpose THEN 'purpose_mismatch'
  ELSE 'no_account' END AS outcome FROM k)"""
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.functions import (
     asset_path, capitalize, date_label, money_label, msisdn, normalize_phone, slot_minutes,
@@ -163,6 +165,12 @@ def _(t):
         D.admin_provider_list(t("providers"), t("profiles")), "providers", "active")
 
 
+@query("admin_verification", "providers profiles", "SELECT * FROM listed WHERE status = 'pending'",
+       ctes=f"listed AS ({_ADMIN_LIST})")
+def _(t):
+    return filters.admin_providers(D.admin_provider_list(t("providers"), t("profiles")), "verification")
+
+
 @query("provider_statuses", "providers_core", "SELECT DISTINCT status FROM providers_core")
 def _(t):
     return D.provider_statuses(t("providers_core"))
@@ -303,17 +311,43 @@ def _(t):
         slot_minutes(F.col("booking_time")).alias("slot_minutes"))
 
 
+# A missing name or date gives no path.
 @query("asset_paths", "providers_core", """
 SELECT id, 'proofs/' || id || '/' || epoch_ms(CAST(joined_date AS timestamp)) || '-' || replace(business_name, '#', '') || '.png' AS path
-FROM providers_core WHERE business_name IS NOT NULL AND joined_date IS NOT NULL""")
+FROM providers_core""")
 def _(t):
-    uploads = t("providers_core").where(
-        F.col("business_name").isNotNull() & F.col("joined_date").isNotNull())
-    return uploads.select("id", asset_path(
+    return t("providers_core").select("id", asset_path(
         F.lit("proofs"), F.col("id"), F.col("joined_date").cast("timestamp"),
         F.concat(F.col("business_name"), F.lit(".png"))).alias("path"))
 
 
+@query("bookings_in_scope", "bookings", """
+SELECT 'customer' AS role, id FROM bookings WHERE customer_id = 'C7' UNION ALL
+SELECT 'provider', id FROM bookings WHERE provider_id = 'P3' UNION ALL
+SELECT 'admin', id FROM bookings""")
+def _(t):
+    seen = {"customer": "C7", "provider": "P3", "admin": None, "guest": "C7"}
+    parts = [
+        filters.scope_bookings(t("bookings"), role, user).select(F.lit(role).alias("role"), "id")
+        for role, user in seen.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("one_customers_bookings", "bookings providers_core profiles", f"""
+SELECT {_FIELDS}, CASE WHEN p.id IS NOT NULL THEN business_name ELSE 'Unknown Service' END AS provider_name,
+ f.phone AS provider_phone, category AS provider_category, {_STATUS_LABEL.format('b.status')} AS status_label,
+ {_TAB.format('b.status')} AS tab
+FROM bookings b LEFT JOIN providers_core p ON b.provider_id = p.id LEFT JOIN profiles f ON p.id = f.id WHERE customer_id = 'C7'""")
+def _(t):
+    return B.customer_bookings(t("bookings"), t("providers_core"), t("profiles"), customer_id="C7")
+
+
+@query("one_providers_bookings", "bookings profiles", "SELECT * FROM work WHERE provider_id = 'P3'",
+       ctes=f"work AS ({_WORK})")
+def _(t):
+    return B.provider_bookings(t("bookings"), t("profiles"), provider_id="P3")
+
+
 # --- provider counters ----------------------------------------------------------------------
 
 _STATS = """
@@ -361,16 +395,19 @@ def _(t):
     return rollups.provider_rollup(t("bookings"), ROLLUP_MONTH)
 
 
-@query("counter_drift", "providers_stored", """
-SELECT * FROM (
- SELECT id, coalesce(p.total_jobs, 0) AS stored_total, coalesce(r.total_jobs, 0) AS rebuilt_total,
-  coalesce(p.completed_jobs, 0) AS stored_completed, coalesce(r.completed_jobs, 0) AS rebuilt_completed
- FROM providers_stored p LEFT JOIN rebuilt r ON p.id = r.provider_id)
-WHERE stored_total <> rebuilt_total OR stored_completed <> rebuilt_completed""",
+_DRIFT_COUNTERS = ("total_jobs", "completed_jobs", "monthly_earnings", "rating", "reviews_count")
+_DRIFT_PAIRS = ", ".join(
+    f"CAST(coalesce(p.{c}, 0) AS double) AS stored_{c}, CAST(coalesce(r.{c}, 0) AS double) AS rebuilt_{c}" for c in _DRIFT_COUNTERS)
+
+
+@query("counter_drift", "providers_stored bookings", f"""
+SELECT * FROM (SELECT p.id, {_DRIFT_PAIRS} FROM providers_stored p LEFT JOIN rebuilt r ON p.id = r.provider_id)
+WHERE {" OR ".join(f"stored_{c} <> rebuilt_{c}" for c in _DRIFT_COUNTERS)}""",
        ctes=f"rebuilt AS ({_ROLLUP})")
 def _(t):
     rebuilt = rollups.provider_rollup(t("bookings"), ROLLUP_MONTH)
-    return rollups.counter_drift(t("providers_stored"), rebuilt)
+    found = rollups.counter_drift(t("providers_stored"), rebuilt)
+    return found.select("id", *[F.col(c).cast("double").alias(c) for c in found.columns if c != "id"])
 
 
 @query("revenue_rollup", "bookings providers_core profiles", """
@@ -398,7 +435,7 @@ _FEED_CTES = f"work AS ({_WORK}),\nfeed AS ({_FEED})"
 
 def _feed(t):
     work = B.provider_bookings(t("bookings"), t("profiles"), ordered=False)
-    return N.notifications(work, bookings=t("bookings"))
+    return N.notifications(work)
 
 
 @query("notifications", "bookings profiles", "SELECT * FROM feed", ctes=_FEED_CTES)
@@ -423,6 +460,46 @@ def _(t):
     return N.mark_read(feed, seen).select("provider_id", "id", "read")
 
 
+_OTHERS = """others AS (
+SELECT 'P' || (event_id % 5) AS provider_id, 9000 + event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'review' ELSE 'system' END AS type,
+ event_type AS title, 'note ' || event_id AS message, event_id % 3 = 0 AS read, CAST(NULL AS varchar) AS booking_id, FALSE AS action_required
+FROM events WHERE event_type = 'error')"""
+_MERGED = f"{_FEED_CTES},\n{_OTHERS},\nmerged AS (SELECT * FROM feed UNION ALL BY NAME SELECT * FROM others)"
+
+
+def _merged(t):
+    """The feed with reviews and system messages made from error events."""
+    events = t.table("events").where("event_type = 'error'")
+    others = events.select(
+        F.concat(F.lit("P"), F.col("event_id") % 5).alias("provider_id"), (F.col("event_id") + 9000).alias("id"),
+        F.when(F.col("event_id") % 2 == 0, "review").otherwise("system").alias("type"),
+        F.col("event_type").alias("title"), F.concat(F.lit("note "), "event_id").alias("message"),
+        (F.col("event_id") % 3 == 0).alias("read"))
+    work = B.provider_bookings(t("bookings"), t("profiles"))
+    return N.notifications(work, others).withColumn(
+        "action_required", F.coalesce("action_required", F.lit(False)))
+
+
+@query("notifications_merged", "bookings profiles", "SELECT * FROM merged", ctes=_MERGED)
+def _(t):
+    return _merged(t)
+
+
+@query("notification_reviews", "bookings profiles", "SELECT * FROM merged WHERE type = 'review'", ctes=_MERGED)
+def _(t):
+    return filters.filter_notifications(_merged(t), "reviews")
+
+
+@query("notification_messages", "bookings profiles", "SELECT * FROM merged WHERE type = 'system'", ctes=_MERGED)
+def _(t):
+    return filters.filter_notifications(_merged(t), "system")
+
+
+@query("notifications_all_read", "bookings profiles", "SELECT provider_id, id, TRUE AS read FROM feed", ctes=_FEED_CTES)
+def _(t):
+    return N.mark_read(_feed(t)).select("provider_id", "id", "read")
+
+
 # --- phones and quality rules ---------------------------------------------------------------
 
 _CANON = phone_sql("phone")

@@ -1,4 +1,4 @@
-"""Streaming queries, each run over the test files to the end of its input."""
+"""Streaming queries, each run over several batches of the test tables to the end of its input."""
 
 from __future__ import annotations
 
@@ -49,8 +49,8 @@ def _(t):
 def _(t):
     out, checkpoint = _folders(t, "completions")
     events = folds.without_repeats(t.stream("booking_status_events"))
-    folds.track_completions(events, t("bookings"), out, checkpoint, once=True).awaitTermination()
-    return folds.running_completions(t.spark, out)
+    folds.track_completions(events, out, checkpoint, once=True).awaitTermination()
+    return folds.running_completions(t.spark, out, t("bookings"))
 
 
 @query("stream_without_repeats", "booking_status_events", f"""
@@ -72,7 +72,7 @@ HAVING date_trunc('day', created_at) + INTERVAL '1' DAY <= (SELECT max(created_a
 def _(t):
     out, checkpoint = _folders(t, "daily")
     folds.write_stream(
-        folds.daily_totals(t.stream("booking_amounts")), out, checkpoint, once=True).awaitTermination()
+        folds.daily_totals(t.stream("booking_amounts", "created_at")), out, checkpoint, once=True).awaitTermination()
     return read_batches(t.spark, out, folds.DAILY).drop(BATCH)
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bazaarflow.session import scratch_path
 
 BASE_TABLES = ("nation", "customer", "supplier", "orders", "lineitem", "events")
 
@@ -96,9 +98,18 @@ SELECT event_id, concat('TF-', CAST(user_id AS {S})) AS booking_id,
   WHEN 'signup' THEN 'in-progress' WHEN 'purchase' THEN 'completed' ELSE 'cancelled' END END AS status,
  CAST(ts AS timestamp) AS ts FROM {events}""",
 
+    # Who sent an event: the owner, someone else or nobody.
+    "sent_status_events": """
+SELECT e.event_id, e.booking_id, e.status, e.ts, CASE e.event_id % 3 WHEN 0 THEN 'P1' WHEN 1 THEN b.provider_id END AS actor_id
+FROM {booking_status_events} e LEFT JOIN {bookings} b ON e.booking_id = b.id""",
+
+    "sent_rating_events": """
+SELECT e.event_id, e.booking_id, e.rating, e.review, e.ts, CASE e.event_id % 3 WHEN 0 THEN 'C1' WHEN 1 THEN b.customer_id END AS actor_id
+FROM {booking_rating_events} e LEFT JOIN {bookings} b ON e.booking_id = b.id""",
+
     "booking_rating_events": """
 SELECT event_id, concat('TF-', CAST(user_id AS {S})) AS booking_id,
- CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CAST(1 + event_id % 5 AS {S}) END AS rating, event_type AS review,
+ CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CASE WHEN event_id % 11 = 0 THEN '12345678901.5' ELSE CAST(1 + event_id % 5 AS {S}) END END AS rating, event_type AS review,
  CAST(ts AS timestamp) AS ts FROM {events} WHERE event_type = 'purchase'""",
 
     "provider_status_events": """
@@ -123,9 +134,10 @@ SELECT c_custkey AS app_id, 'New' AS first_name, c_name AS last_name,
 SELECT c_custkey AS app_id, CASE WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('Ann ', c_name, ' B') END AS full_name,
  CASE c_custkey % 3 WHEN 0 THEN CAST(7000000000 + c_custkey AS {S}) WHEN 1 THEN CAST(8000000000 + c_custkey % 120 AS {S})
   ELSE CAST(6500000000 + c_custkey % 900 AS {S}) END AS phone,
- CASE WHEN c_custkey % 9 = 0 THEN 'five' ELSE CAST(c_custkey % 20 AS {S}) END AS experience,
+ CASE WHEN c_custkey % 9 = 0 THEN 'five' WHEN c_custkey % 17 = 0 THEN '99999' WHEN c_custkey % 19 = 0 THEN '12345678901234567890123456789'
+  ELSE CAST(c_custkey % 20 AS {S}) END AS experience,
  CASE c_custkey % 5 WHEN 0 THEN '[]' WHEN 1 THEN 'Plumber' ELSE '["Plumber","Painting"]' END AS categories,
- '["MACHINERY","BUILDING"]' AS areas_served, CAST(c_acctbal AS {S}) AS price_min,
+ '["MACHINERY","BUILDING"]' AS areas_served, CASE WHEN c_custkey % 23 = 0 THEN '12345678901.5' ELSE CAST(c_acctbal AS {S}) END AS price_min,
  c_custkey % 6 <> 0 AS otp_verified, c_custkey % 10 <> 0 AS agree_terms, TRUE AS password_given,
  CASE WHEN c_custkey % 8 = 0 THEN '' ELSE 'Passport' END AS id_proof_type,
  CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE c_custkey * 4000 END AS id_proof_bytes,
@@ -137,7 +149,7 @@ SELECT event_id, concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone, CAS
  CAST(ts AS timestamp) AS ts FROM {events} WHERE event_type = 'signup'""",
 
     "otp_attempts": """
-SELECT event_id, concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone,
+SELECT event_id, concat(CASE event_id % 3 WHEN 0 THEN '+91 ' WHEN 1 THEN '+91' ELSE '' END, CAST(9000000000 + user_id AS {S})) AS phone,
  CAST(CASE WHEN event_id % 4 = 0 THEN 9 ELSE user_id % 3 END AS {S}) AS code,
  CASE WHEN event_id % 2 = 0 THEN 'register' ELSE 'login' END AS purpose,
  CAST(ts AS timestamp) AS ts FROM {events} WHERE event_type IN ('click', 'view')""",
@@ -149,7 +161,8 @@ WHERE event_type = 'purchase' AND value > 60""",
 
     # Issues and attempts as they would arrive on one stream.
     "otp_events": """
-SELECT event_id, concat('+91 ', CAST(9000000000 + user_id AS {S})) AS phone,
+SELECT event_id, concat(CASE WHEN event_type = 'signup' OR event_id % 3 = 0 THEN '+91 ' WHEN event_id % 3 = 1 THEN '+91' ELSE '' END,
+  CAST(9000000000 + user_id AS {S})) AS phone,
  CAST(CASE WHEN event_type <> 'signup' AND event_id % 4 = 0 THEN 9 ELSE user_id % 3 END AS {S}) AS code,
  CASE WHEN event_id % 2 = 0 THEN 'register' WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'forgot_password' ELSE 'login' END AS purpose,
  CAST(ts AS timestamp) AS ts, event_type = 'signup' AS is_issue FROM {events} WHERE event_type IN ('signup', 'click', 'view')""",
@@ -187,19 +200,21 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(_spark_sql(name, lambda table: f"parquet.`{_file(folder, table)}`"))
 
 
-def stream_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The view with its files read as a stream."""
-    streams: dict[str, DataFrame] = {}
-
-    def source(table: str) -> str:
-        schema = spark.read.parquet(_file(folder, table)).schema
-        # A stream takes a single file only through a pattern.
-        pattern = _file(folder, f"[{table[0]}]{table[1:]}")
-        streams[table] = spark.readStream.schema(schema).parquet(pattern)
-        return "{" + table + "}"
-
-    text = _spark_sql(name, source)
-    return spark.sql(text, **streams)
+def stream_view(
+    spark: SparkSession, folder: str, name: str, moment: str, files: int,
+) -> DataFrame:
+    """The view as a stream that delivers its rows in ``files`` batches by the time column ``moment``."""
+    rows = view(spark, folder, name)
+    limits = rows.agg(F.percentile_approx(
+        F.unix_micros(moment), [i / files for i in range(1, files)])).first()[0] or []
+    target = scratch_path(spark, f"stream-{name}")
+    time = F.unix_micros(moment)
+    bounds = [None, *sorted(set(limits)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        inside = (F.lit(True) if low is None else time > low) & (F.lit(True) if high is None else time <= high)
+        undated = F.col(moment).isNull() & F.lit(low is None)
+        rows.where(F.coalesce(inside, F.lit(False)) | undated).coalesce(1).write.mode("append").parquet(target)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
 
 
 def _duckdb_text(name: str) -> tuple[str, list[str]]:

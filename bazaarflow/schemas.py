@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MONEY = T.DecimalType(14, 2)
+# Numbers that come without a precision: 28 digits before the point.
+NUMBER = T.DecimalType(38, 10)
+MONEY = T.DecimalType(28, 2)
 
 
 def _struct(*fields: tuple) -> T.StructType:
@@ -24,12 +27,12 @@ PROFILES = _struct(
 )
 
 PROVIDERS = _struct(
-    ("id", _S), ("business_name", _S), ("category", _S), ("experience", T.DecimalType(5, 1)),
+    ("id", _S), ("business_name", _S), ("category", _S), ("experience", NUMBER),
     ("verified", _B), ("rating", T.DecimalType(3, 2)), ("reviews_count", _I),
-    ("base_price", T.DecimalType(12, 2)), ("price_unit", _S), ("emergency_available", _B),
+    ("base_price", NUMBER), ("price_unit", _S), ("emergency_available", _B),
     ("is_available", _B), ("description", _S), ("skills", _LIST), ("areas_served", _LIST),
     ("status", _S), ("total_jobs", _I), ("completed_jobs", _I),
-    ("monthly_earnings", T.DecimalType(12, 2)), ("id_proof_type", _S), ("id_proof_number", _S),
+    ("monthly_earnings", MONEY), ("id_proof_type", _S), ("id_proof_number", _S),
     ("id_proof_url", _S), ("about_bio", _S), ("joined_date", _D),
 )
 
@@ -37,7 +40,7 @@ PROVIDERS = _struct(
 BOOKINGS = _struct(
     ("id", _S), ("customer_id", _S), ("provider_id", _S), ("booking_date", _D),
     ("booking_time", _S), ("description", _S), ("address", _S), ("is_emergency", _B),
-    ("status", _S), ("price", MONEY), ("rating", T.DecimalType(12, 2)), ("review_text", _S),
+    ("status", _S), ("price", NUMBER), ("rating", NUMBER), ("review_text", _S),
     ("created_at", _TS), ("updated_at", _TS),
 )
 
@@ -129,9 +132,28 @@ def fill_defaults(df: DataFrame, table: str, inserted_at=None) -> DataFrame:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the columns of ``table`` in order and type; columns ``df`` lacks become null."""
+    """Select the columns of ``table`` in order and type; columns ``df`` lacks become null.
+
+    A value that does not fit its column becomes null here; ``unfit_rows`` finds such rows.
+    """
     have = set(df.columns)
     return df.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in have else F.lit(None)).try_cast(f.dataType).alias(f.name)
         for f in TABLES[table].fields
     ])
+
+
+def _unfit(df: DataFrame, table: str) -> Column:
+    lost = [
+        F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+        for f in TABLES[table].fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
+    return reduce(lambda a, b: a | b, lost, F.lit(False))
+
+
+def unfit_rows(df: DataFrame, table: str) -> DataFrame:
+    """Rows with a value that does not fit its column of ``table``."""
+    return df.where(_unfit(df, table))
+
+
+def fit_rows(df: DataFrame, table: str) -> DataFrame:
+    return df.where(~_unfit(df, table))

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,25 +53,34 @@ def ship_library(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
-    Only a local session may fall back to a temporary folder; on a cluster a missing setting
-    is an error, because an executor's own disk is gone when the executor is.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="bazaarflow-")
-    context.setCheckpointDir(folder)
-    return (context.getCheckpointDir() or folder).rstrip("/")
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the scratch folders made inside; their DataFrames are of no use then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/bazaarflow/{label}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, gone with its scope or at the latest with the application."""
+    path = f"{shared_dir(spark)}/bazaarflow/{label}-{uuid.uuid4().hex}"
+    system, target = _file_system(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -89,6 +100,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it is absent."""
+    system, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path the library wrote."""
     system, target = _file_system(spark, path)

@@ -6,21 +6,21 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from bazaarflow.schemas import LOAD_ORDER, TABLES, conform, fill_defaults
+from bazaarflow.schemas import LOAD_ORDER, TABLES, conform, fill_defaults, fit_rows, unfit_rows
 from bazaarflow.session import path_exists
 
 MONTH = "created_month"
 
 
 def read_table(
-    spark: SparkSession, path: str, name: str, fmt: str = "parquet", defaults: bool = True,
+    spark: SparkSession, path: str, name: str, fmt: str = "parquet", defaults: bool = False,
     months: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """A table with its fixed schema and column defaults; columns outside the schema are not read.
+    """A table with its fixed schema; columns outside the schema are not read.
 
-    Tables written by ``write_table`` have their defaults already. Read them with
-    ``defaults=False``: a filter on a plain column reaches the file scan, one on a filled column
-    cannot. ``months`` (first and last, yyyy-MM) reads only those folders of written bookings.
+    Tables written by ``write_table`` have their column defaults already. ``defaults=True`` fills
+    them on reading, for raw loads: a filter on a filled column cannot reach the file scan.
+    ``months`` (first and last, yyyy-MM) reads only those folders of written bookings.
     """
     df = spark.read.schema(TABLES[name]).format(fmt).load(path)
     if months:
@@ -29,22 +29,26 @@ def read_table(
     return fill_defaults(df, name) if defaults else df
 
 
-def write_table(df: DataFrame, path: str, name: str, inserted_at=None, mode: str = "overwrite") -> None:
-    """Write a table with its defaults filled in.
+def write_table(
+    df: DataFrame, path: str, name: str, inserted_at=None, mode: str = "overwrite",
+) -> DataFrame:
+    """Write a table with its defaults filled in; the result has the rows that do not fit it.
 
     Bookings are laid out by month of creation, so a date range reads only its months. The
     rebalance gathers a month's rows for few large files and still splits a month that is far
     larger than the others. Files are sorted by provider, so a read for one provider skips most
     of them by their statistics.
     """
-    full = fill_defaults(conform(df, name), name, inserted_at)
+    full = fill_defaults(conform(fit_rows(df, name), name), name, inserted_at)
+    unfit = unfit_rows(df, name)
     if name != "bookings":
         full.write.mode(mode).parquet(path)
-        return
+        return unfit
     month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("undated"))
     laid_out = full.withColumn(MONTH, month).hint("rebalance", F.col(MONTH)).sortWithinPartitions(
         MONTH, "provider_id")
     laid_out.write.mode(mode).partitionBy(MONTH).parquet(path)
+    return unfit
 
 
 def overwrite_all(tables: Mapping[str, DataFrame], folder: str, inserted_at=None) -> None:

@@ -2,8 +2,7 @@
 
 Each micro-batch runs the batch recipe, which spreads even one very busy phone over many tasks;
 keyed state would give a phone to a single task. Between batches only the live issue of each
-phone is kept, as small folders: a batch writes the phones it touched, and every
-``snapshot_every`` batches a full snapshot bounds how many folders a batch reads.
+phone is kept: a batch writes the phones it touched, and snapshots bound what a batch reads.
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from bazaarflow.functions import normalize_phone
 from bazaarflow.operators.codes import TTL, judge_timeline
 from bazaarflow.operators.skew import sliced_left_join
-from bazaarflow.session import discard
+from bazaarflow.session import discard, materialise
 from bazaarflow.streaming.batches import (
-    BATCH, Table, as_of_now, read_batches, start, write_batch,
+    BATCH, Snapshots, Table, as_of_now, read_batches, start, write_batch,
 )
 
 OUTCOMES = T.StructType([
@@ -42,22 +41,19 @@ def match_code_stream(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = _prepared(batch, kind, profiles)
+        work = f"{out}/work/{BATCH}={batch_id}"
+        arrived = materialise(_prepared(batch, kind, profiles), "codes", f"{work}/arrived")
         touched = arrived.select("phone").distinct()
-        held = _live_issues(spark, out, batch_id, snapshot_every)
-        carried = held.join(touched, "phone", "left_semi").where("live").select(
+        issues = _live_issues(spark, out, snapshot_every)
+        carried = issues.state(batch_id).join(touched, "phone", "left_semi").where("live").select(
             "event_id", "phone", "code", "purpose", "ts", F.lit(None).cast("string").alias("kind"),
             F.lit(True).alias("has_account"), F.lit(True).alias("is_issue"),
-            F.lit(True).alias("carried"))
-        work = f"{out}/work/{BATCH}={batch_id}"
-        judged = judge_timeline(arrived.unionByName(carried), ttl, path=work)
+            F.lit(False).alias("as_kept"), F.lit(True).alias("carried"))
+        judged = materialise(
+            judge_timeline(arrived.unionByName(carried), ttl, path=f"{work}/sorted"), "codes", f"{work}/judged")
         write_batch(
             judged.where(~F.col("is_issue")).select(*OUTCOMES.names), f"{out}/outcomes", batch_id)
-        changed = _held_after(judged)
-        write_batch(changed, f"{out}/live", batch_id)
-        if batch_id % snapshot_every == 0 and batch_id > 0:
-            after = _live_issues(spark, out, batch_id + 1, snapshot_every, batch_id - 1)
-            write_batch(after.where("live").select(*_LIVE.names), f"{out}/snapshot", batch_id)
+        issues.add(_held_after(judged), batch_id)
         discard(spark, work)
 
     return start(events, write, checkpoint, once=once)
@@ -69,9 +65,11 @@ def outcomes(spark: SparkSession, out: str) -> DataFrame:
 
 def _prepared(batch: DataFrame, kind: str, profiles: Table | None) -> DataFrame:
     use = F.coalesce("kind", F.lit(kind)) if "kind" in batch.columns else F.lit(kind)
+    canonical = normalize_phone(F.col("phone"))
     rows = batch.select(
-        "event_id", normalize_phone(F.col("phone")).alias("phone"), "code", "purpose", "ts",
-        use.alias("kind"), "is_issue", F.lit(False).alias("carried"))
+        "event_id", canonical.alias("phone"), "code", "purpose", "ts",
+        use.alias("kind"), "is_issue", F.col("phone").eqNullSafe(canonical).alias("as_kept"),
+        F.lit(False).alias("carried"))
     if profiles is None:
         return rows.withColumn("has_account", F.lit(True))
     accounts = as_of_now(profiles).where(F.col("phone").isNotNull()).select(F.col("phone").alias("_account"))
@@ -83,31 +81,23 @@ def _held_after(judged: DataFrame) -> DataFrame:
     """Each phone's last issue after the batch, and whether it can still be used.
 
     Places grow with the order of rows, so the last issue is used up exactly when the last
-    match was a match of it.
+    attempt that used one up was judged against it.
     """
     last = F.max_by(
         F.col("issue"), F.when(F.col("is_issue"), F.col("issue")["place"])).alias("last")
-    used = F.max(F.when(F.col("outcome") == "ok", F.col("issue")["place"])).alias("used")
+    used = F.max(F.when(F.col("uses_up"), F.col("issue")["place"])).alias("used")
     return judged.groupBy("phone").agg(last, used).where(F.col("last").isNotNull()).select(
         "phone", F.col("last")["event_id"].alias("event_id"), F.col("last")["ts"].alias("ts"),
         F.col("last")["code"].alias("code"), F.col("last")["purpose"].alias("purpose"),
         (~F.col("last")["place"].eqNullSafe(F.col("used"))).alias("live"))
 
 
-def _live_issues(
-    spark: SparkSession, out: str, before: int, snapshot_every: int, newest: int | None = None,
-) -> DataFrame:
-    """Latest issue of each phone as of the batches before ``before``.
-
-    Read from the last snapshot and the batches after it. ``newest`` limits the snapshots that
-    may be used.
-    """
-    last_batch = before - 1 if newest is None else newest
-    snapshot = (last_batch // snapshot_every) * snapshot_every if last_batch > 0 else 0
-    base = read_batches(spark, f"{out}/snapshot", _LIVE).where(F.col(BATCH) == snapshot)
-    recent = read_batches(spark, f"{out}/live", _LIVE).where(F.col(BATCH) < before)
-    if snapshot > 0:
-        recent = recent.where(F.col(BATCH) > snapshot)
-    return base.unionByName(recent).groupBy("phone").agg(
+def _latest_issue(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("phone").agg(
         F.max_by(F.struct("event_id", "ts", "code", "purpose", "live"), F.col(BATCH)).alias("last")
     ).select("phone", "last.*")
+
+
+def _live_issues(spark: SparkSession, out: str, snapshot_every: int) -> Snapshots:
+    """The latest issue of each phone; what a batch changes is decided by its id, so a rerun is harmless."""
+    return Snapshots(spark, f"{out}/live", _LIVE, _latest_issue, snapshot_every)

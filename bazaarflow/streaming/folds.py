@@ -7,10 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bazaarflow.operators.admin import revenue
 from bazaarflow.operators.lifecycle import (
-    FIRST_BOOKING_NUMBER, accepted_rows, completion_counts, rejected_rows, screen_requests,
+    FIRST_BOOKING_NUMBER, accepted_rows, rejected_rows, screen_requests,
 )
 from bazaarflow.schemas import BOOKING_STATUSES, MONEY
-from bazaarflow.streaming.batches import Table, as_of_now, read_batches, start, write_batch
+from bazaarflow.session import discard, materialise
+from bazaarflow.streaming.batches import BATCH, Snapshots, Table, as_of_now, start, write_batch
 
 
 def accept_requests(
@@ -19,81 +20,108 @@ def accept_requests(
 ) -> StreamingQuery:
     """New bookings to ``out/accepted`` and refusals to ``out/rejected``.
 
-    Each batch is joined to the tables (as they are then, when given as functions), and kept
-    while its two parts are written.
+    Each batch is written once, joined to the tables (as they are then, when given as
+    functions) and written with its outcome; both parts are read from that.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = screen_requests(
-            batch, as_of_now(providers), as_of_now(profiles), slice_hot=True).persist()
-        try:
-            write_batch(accepted_rows(kept, first_number), f"{out}/accepted", batch_id)
-            write_batch(rejected_rows(kept), f"{out}/rejected", batch_id)
-        finally:
-            kept.unpersist()
+        spark = batch.sparkSession
+        work = f"{out}/work/{BATCH}={batch_id}"
+        arrived = materialise(batch, "requests", f"{work}/arrived")
+        screened = materialise(
+            screen_requests(arrived, as_of_now(providers), as_of_now(profiles)), "requests", f"{work}/screened")
+        write_batch(accepted_rows(screened, first_number), f"{out}/accepted", batch_id)
+        write_batch(rejected_rows(screened), f"{out}/rejected", batch_id)
+        discard(spark, work)
 
     return start(requests, write, checkpoint, once=once)
 
 
+SNAPSHOT_EVERY = 50
+
 STATUS_UPDATE = T.StructType([
     T.StructField("booking_id", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
 ])
 
 
-def track_status(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Each booking's latest known status; every batch writes the bookings it changed.
-
-    A late event loses against a newer one, since the fold keeps the greatest (ts, event_id).
-    """
-    known = events.where(F.col("status").isin(*BOOKING_STATUSES))
-    latest = known.groupBy("booking_id").agg(
+def _last_status(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("booking_id").agg(
         F.max_by(F.struct("status", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")
     ).select("booking_id", "last.*")
-    return start(latest, lambda df, n: write_batch(df, out, n), checkpoint, "update", once)
 
 
-def current_status(spark: SparkSession, out: str) -> DataFrame:
+def _statuses(spark: SparkSession, out: str, every: int) -> Snapshots:
+    return Snapshots(spark, out, STATUS_UPDATE, _last_status, every)
+
+
+def track_status(
+    events: DataFrame, out: str, checkpoint: str, once: bool = False, snapshot_every: int = SNAPSHOT_EVERY,
+) -> StreamingQuery:
+    """Each booking's latest known status; every batch writes the bookings it has events of.
+
+    The stream keeps no state of its own: ``current_status`` folds the batches, and a late event
+    loses against a newer one, since the fold keeps the greatest (ts, event_id).
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = batch.where(F.col("status").isin(*BOOKING_STATUSES))
+        _statuses(batch.sparkSession, out, snapshot_every).add(_last_status(known), batch_id)
+
+    return start(events, write, checkpoint, once=once)
+
+
+def current_status(spark: SparkSession, out: str, snapshot_every: int = SNAPSHOT_EVERY) -> DataFrame:
     """What ``track_status`` has found so far, one row per booking."""
-    updates = read_batches(spark, out, STATUS_UPDATE)
-    return updates.groupBy("booking_id").agg(
-        F.max_by(F.struct("status", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")
-    ).select("booking_id", "last.*")
+    return _statuses(spark, out, snapshot_every).current()
 
 
 COMPLETIONS = T.StructType([
-    T.StructField("provider_id", T.StringType()), T.StructField("completions", T.LongType()),
+    T.StructField("booking_id", T.StringType()), T.StructField("n", T.LongType()),
 ])
 
 
+def _add_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("booking_id").agg(F.sum("n").alias("n"))
+
+
+def _completions(spark: SparkSession, out: str, every: int) -> Snapshots:
+    return Snapshots(spark, out, COMPLETIONS, _add_up, every)
+
+
 def track_completions(
-    events: DataFrame, bookings: Table, out: str, checkpoint: str, once: bool = False,
+    events: DataFrame, out: str, checkpoint: str, once: bool = False, snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
-    """Completions each batch adds per provider.
-
-    The batch is counted per booking before it meets the bookings, so a booking whose
-    completion is sent over and over joins as one row.
-    """
+    """Completion events of each batch per booking; no table is read while the stream runs."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(completion_counts(batch, as_of_now(bookings)), out, batch_id)
+        done = batch.where((F.col("status") == "completed") & F.col("booking_id").isNotNull())
+        counted = done.groupBy("booking_id").agg(F.count(F.lit(1)).alias("n"))
+        _completions(batch.sparkSession, out, snapshot_every).add(counted, batch_id)
 
     return start(events, write, checkpoint, once=once)
 
 
-def running_completions(spark: SparkSession, out: str) -> DataFrame:
-    """Completions per provider over all batches so far."""
-    return read_batches(spark, out, COMPLETIONS).groupBy("provider_id").agg(
-        F.sum("completions").alias("completions"))
+def running_completions(
+    spark: SparkSession, out: str, bookings: DataFrame, snapshot_every: int = SNAPSHOT_EVERY,
+) -> DataFrame:
+    """Completions per provider over all batches so far; the bookings are joined here, once."""
+    owner = bookings.where(F.col("provider_id").isNotNull()).select(
+        F.col("id").alias("booking_id"), "provider_id")
+    counted = _completions(spark, out, snapshot_every).current()
+    return counted.join(owner, "booking_id").groupBy("provider_id").agg(F.sum("n").alias("completions"))
 
 
 def without_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The stream with repeats of an event_id dropped while they arrive within ``delay``."""
+    """The stream with repeats of an event_id dropped while they arrive within ``delay``.
+
+    A row more than ``delay`` behind the newest one seen by earlier batches is dropped, repeat or
+    not. Where late rows must count, choose a ``delay`` beyond them, or do without this step.
+    """
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 DAILY = T.StructType([
     T.StructField("day", T.TimestampType()), T.StructField("bookings", T.LongType()),
     T.StructField("pending", T.LongType()),
-    T.StructField("revenue", T.DecimalType(MONEY.precision + 10, MONEY.scale)),
+    T.StructField("revenue", MONEY),
 ])
 
 
@@ -107,7 +135,7 @@ def daily_totals(bookings: DataFrame, delay: str = "1 day") -> DataFrame:
     return bookings.withWatermark("created_at", delay).groupBy(day).agg(
         F.count(F.lit(1)).alias("bookings"),
         F.count_if(F.col("status") == "pending").alias("pending"),
-        revenue(F.col("price"), F.col("status")).alias("revenue"),
+        revenue(F.col("price"), F.col("status")).cast(MONEY).alias("revenue"),
     ).select(F.col("window.start").alias("day"), "bookings", "pending", "revenue")
 
 

@@ -37,9 +37,8 @@ def requests(spark):
     ])
 
 
-@pytest.mark.parametrize("slice_hot", [False, True])
-def test_request_screening(spark, requests, slice_hot):
-    screened = L.screen_requests(requests, golden.providers(spark), golden.profiles(spark), slice_hot=slice_hot)
+def test_request_screening(spark, requests):
+    screened = L.screen_requests(requests, golden.providers(spark), golden.profiles(spark))
     reasons = {r["request_id"]: r["reason"] for r in screened.collect()}
     assert reasons == {
         1: None, 2: "not_a_customer", 3: "not_a_customer", 4: "missing_field", 5: "missing_field",
@@ -109,9 +108,43 @@ def test_owner_rules(spark):
     events = spark.createDataFrame([
         (1, "TF-1", "cancelled", T0, "p1"), (2, "TF-2", "cancelled", T0, "stranger")],
         STATUS + ", actor_id string")
-    rows = L.apply_status(golden.bookings(spark), events, enforce_owner=True).rows
-    status = {r["id"]: r["status"] for r in rows.collect()}
+    folded = L.apply_status(golden.bookings(spark), events, enforce_owner=True)
+    status = {r["id"]: r["status"] for r in folded.rows.collect()}
     assert (status["TF-1"], status["TF-2"]) == ("cancelled", "pending")
+    assert [r["event_id"] for r in folded.foreign.collect()] == [2]
+
+
+@pytest.mark.parametrize("enforce", [False, True])
+def test_every_event_is_accounted_for(spark, enforce):
+    """Effective, superseded or listed: no event is lost, and none is listed twice."""
+    chance = random.Random(3)
+    rows = [(i, chance.choice(["TF-1", "TF-2", "TF-5", "TF-8", "none"]),
+             chance.choice(["pending", "accepted", "rejected", None]), T0 + timedelta(minutes=chance.randrange(50)),
+             chance.choice(["p1", "p2", None])) for i in range(200)]
+    events = spark.createDataFrame(rows, STATUS + ", actor_id string")
+    folded = L.apply_status(golden.bookings(spark), events, enforce_owner=enforce)
+    listed = [r["event_id"] for part in (folded.unmatched, folded.invalid, folded.foreign) for r in part.collect()]
+    owners = {r["id"]: r["provider_id"] for r in golden.bookings(spark).collect()}
+    counted = [r for r in rows if r[1] in owners and r[2] in ("pending", "accepted")
+               and (not enforce or (r[4] is not None and r[4] == owners[r[1]]))]
+    assert len(listed) == len(set(listed))
+    assert sorted([*listed, *[r[0] for r in counted]]) == list(range(200))
+
+
+def test_long_numbers(spark):
+    events = spark.createDataFrame([(1, "TF-1", "9" * 29, "x", T0), (2, "TF-2", "12345678901.5", "y", T0)],
+                                   "event_id long, booking_id string, rating string, review string, ts timestamp")
+    folded = L.apply_ratings(golden.bookings(spark), events)
+    rows = {r["id"]: r["rating"] for r in folded.rows.collect()}
+    assert rows["TF-1"] == 5 and rows["TF-2"] == Decimal("12345678901.5")
+    assert [r["event_id"] for r in folded.invalid.collect()] == [1]
+    apps = spark.createDataFrame(
+        [(1, "A", "6000000001", "99999", "[]", "[]", "12345678901.5"), (2, "B", "6000000002", "9" * 40, "[]", "[]", "1")],
+        "app_id long, full_name string, phone string, experience string, categories string, areas_served string, price_min string")
+    onboarded = O.onboard_providers(apps, golden.profiles(spark))
+    row = onboarded.providers.first()
+    assert (row["experience"], row["base_price"]) == (99999, Decimal("12345678901.5"))
+    assert [(r["app_id"], r["reason"]) for r in onboarded.rejected.collect()] == [(2, "number_too_long")]
 
 
 def test_ratings(spark):

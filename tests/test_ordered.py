@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bazaarflow.operators import ordered
 from bazaarflow.operators.latest import first_per_key, last_event, top_per_key
 from bazaarflow.operators.skew import sliced_left_join
+from bazaarflow.session import materialise, path_exists, scratch_path, scratch_scope
 
 
 @pytest.fixture(scope="module")
@@ -28,14 +29,9 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "id long, key string, ts long, v string").repartition(6)
 
 
-@pytest.fixture(scope="module", params=["window", "runs"])
-def scan(request, df):
-    """The scan in both ways: as a plain window, and spread over sorted runs."""
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(ordered, "ROWS_PER_TASK", 1000 if request.param == "runs" else 10_000)
-        made = ordered.OrderedScan(df, ["key"], [F.col("ts"), F.col("id")], "test")
-    assert made.spread == (request.param == "runs")
-    return made
+@pytest.fixture(scope="module")
+def scan(df):
+    return ordered.OrderedScan(df, ["key"], [F.col("ts"), F.col("id")], "test")
 
 
 @pytest.fixture(scope="module")
@@ -73,9 +69,7 @@ def test_position(scan, groups):
     assert got == {r[0]: n for g in groups.values() for n, r in enumerate(g, start=1)}
 
 
-@pytest.mark.parametrize("limit", [100, 100_000])
-def test_position_over_all_rows(df, rows, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_TASK", limit)
+def test_position_over_all_rows(df, rows):
     got = {r["id"]: r["position"] for r in ordered.with_position(df, [], [F.col("ts").desc(), F.col("id")]).collect()}
     expected = sorted(rows, key=lambda r: (-r[2], r[0]))
     assert got == {r[0]: n for n, r in enumerate(expected, start=1)}
@@ -123,8 +117,23 @@ def test_last_event(df, groups):
 
 def test_sliced_left_join(spark, df, rows):
     side = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "side_key string, w long")
-    joined = sliced_left_join(df, side, "key", "side_key", "id", rows_per_slice=500)
+    joined = sliced_left_join(df, side, "key", "side_key", "id")
     weights = {"hot": 1, "k1": 2}
     assert {r["id"]: r["w"] for r in joined.collect()} == {r[0]: weights.get(r[1]) for r in rows}
     assert joined.count() == len(rows)
     assert set(joined.columns) == {*df.columns, "side_key", "w"}
+
+
+def test_windows_over_rows_are_partitioned(df):
+    placed = ordered.with_position(df, [], [F.col("ts"), F.col("id")])
+    text = placed._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "row_number" in line and "Window" in line]
+    assert windows and all("[_run" in line for line in windows)
+
+
+def test_scratch_goes_with_its_scope(spark, df):
+    with scratch_scope(spark):
+        path = scratch_path(spark, "scoped")
+        materialise(df, "scoped", path)
+        assert path_exists(spark, path)
+    assert not path_exists(spark, path)

@@ -15,9 +15,9 @@ from tests import golden
 def test_read_fills_defaults_and_leaves_credentials_out(spark, tmp_path):
     path = str(tmp_path / "profiles")
     spark.createDataFrame([("u1", "hash", None)], "id string, password string, phone_verified boolean").write.parquet(path)
-    row = read_table(spark, path, "profiles").first().asDict()
+    row = read_table(spark, path, "profiles", defaults=True).first().asDict()
     assert "password" not in row and row["phone_verified"] is False and row["created_at"] is None
-    assert read_table(spark, path, "profiles", defaults=False).first()["phone_verified"] is None
+    assert read_table(spark, path, "profiles").first()["phone_verified"] is None
 
 
 def test_insert_defaults(spark):
@@ -35,7 +35,7 @@ def test_reload_in_order_and_read_back(spark, tmp_path):
     overwrite_all(tables, folder)
     counts = source_counts({n: read_table(spark, f"{folder}/{n}", n) for n in tables})
     assert {tuple(r) for r in counts.collect()} == {("bookings", 8), ("profiles", 6), ("providers", 6)}
-    back = read_table(spark, f"{folder}/bookings", "bookings", defaults=False)
+    back = read_table(spark, f"{folder}/bookings", "bookings")
     assert back.schema.names == BOOKINGS.names and back.where("is_emergency is null").count() == 0
     may = read_table(spark, f"{folder}/bookings", "bookings", months=("2024-05", "2024-05"))
     assert {r["id"] for r in may.collect()} == {"TF-7", "TF-8"}
@@ -47,7 +47,7 @@ def test_reload_in_order_and_read_back(spark, tmp_path):
 def test_filters_reach_the_scan_of_a_written_table(spark, tmp_path):
     folder = str(tmp_path)
     overwrite_all({"providers": golden.providers(spark)}, folder)
-    plan = read_table(spark, f"{folder}/providers", "providers", defaults=False).where(
+    plan = read_table(spark, f"{folder}/providers", "providers").where(
         "status = 'active'").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(status,active)" in plan and "business_name" not in plan
 
@@ -62,6 +62,13 @@ def test_legacy_json(spark, tmp_path):
     assert absent.count() == 0 and absent.schema == PROFILES
 
 
+def test_values_that_do_not_fit_are_set_aside(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "4.5"), ("b", "123.4"), ("c", None)], "id string, rating string")
+    unfit = write_table(rows, str(tmp_path / "p"), "providers")
+    assert [r["id"] for r in unfit.collect()] == ["b"]
+    assert {r["id"] for r in read_table(spark, str(tmp_path / "p"), "providers").collect()} == {"a", "c"}
+
+
 def test_json_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     sellers = golden.providers(spark)

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from bazaarflow.operators import lifecycle as L, ordered
+from bazaarflow.operators import lifecycle as L
 from bazaarflow.schemas import BOOKING_REQUESTS, BOOKING_STATUS_EVENTS
 from bazaarflow.streaming import codes, folds
 from bazaarflow.streaming.batches import read_batches
@@ -62,26 +62,43 @@ def test_current_status_equals_the_batch_fold(spark, paths, status_rows):
         if status != "rejected":
             expected[booking] = status
     assert got == expected
-    assert read_batches(spark, paths["out"], folds.STATUS_UPDATE).select("batch_id").distinct().count() == 4
+    changes = read_batches(spark, f"{paths['out']}/changes", folds.STATUS_UPDATE)
+    assert changes.select("batch_id").distinct().count() == 4
+
+
+def test_what_a_stream_keeps_has_one_size(spark, paths, status_rows):
+    """Many batches with a snapshot every third: results stay right and old folders go."""
+    schema = BOOKING_STATUS_EVENTS
+    known = [r for r in status_rows if r[2] != "rejected"]
+    sizes = []
+    for number, rows in enumerate(batches_of(known, 12)):
+        df = spark.createDataFrame(rows, schema)
+        folds._statuses(spark, paths["out"], 3).add(folds._last_status(df), number)
+        sizes.append(len(os.listdir(f"{paths['out']}/changes")))
+    assert len(sizes) > 11 and max(sizes) <= 8
+    expected = {}
+    for event, booking, status, ts in sorted(known, key=lambda r: (r[3], r[0])):
+        expected[booking] = status
+    got = {r["booking_id"]: r["status"] for r in folds.current_status(spark, paths["out"], 3).collect()}
+    assert got == expected
 
 
 def test_completions_equal_the_batch_count(spark, paths, status_rows):
     jobs = golden.bookings(spark)
     stream = file_stream(spark, batches_of(status_rows, 70), BOOKING_STATUS_EVENTS, paths["in"])
-    folds.track_completions(stream, jobs, paths["out"], paths["checkpoint"], once=True).awaitTermination()
+    folds.track_completions(stream, paths["out"], paths["checkpoint"], once=True, snapshot_every=2).awaitTermination()
     batch = L.completion_counts(spark.createDataFrame(status_rows, BOOKING_STATUS_EVENTS), jobs)
-    got = {tuple(r) for r in folds.running_completions(spark, paths["out"]).collect()}
+    got = {tuple(r) for r in folds.running_completions(spark, paths["out"], jobs, 2).collect()}
     assert got == {tuple(r) for r in batch.collect()} and got
 
 
-def test_a_batch_written_twice_counts_once(spark, paths, status_rows):
-    from bazaarflow.streaming.batches import write_batch
-
-    counts = spark.createDataFrame([("p1", 3)], folds.COMPLETIONS)
+def test_a_batch_written_twice_counts_once(spark, paths):
+    jobs = golden.bookings(spark)
+    counts = spark.createDataFrame([("TF-1", 3)], folds.COMPLETIONS)
     for _ in range(2):
-        write_batch(counts, paths["out"], 0)
-    assert folds.running_completions(spark, paths["out"]).first()["completions"] == 3
-    assert folds.running_completions(spark, paths["out"] + "-none").count() == 0
+        folds._completions(spark, paths["out"], 50).add(counts, 0)
+    assert folds.running_completions(spark, paths["out"], jobs).first()["completions"] == 3
+    assert folds.running_completions(spark, paths["out"] + "-none", jobs).count() == 0
 
 
 def test_requests_split_like_the_batch(spark, paths):
@@ -128,9 +145,8 @@ def test_daily_totals_drop_late_rows(spark, paths):
 STREAM_EVENT = EVENT + ", is_issue boolean"
 
 
-@pytest.mark.parametrize("kind, rows_per_task", [("verify", 20), ("reset", 100_000)])
-def test_codes_equal_a_replay(spark, paths, kind, rows_per_task, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_TASK", rows_per_task)
+@pytest.mark.parametrize("kind", ["verify", "reset"])
+def test_codes_equal_a_replay(spark, paths, kind):
     issues, attempts = random_events(8, 700)
     accounts = {f"+91 {9000000000 + n}" for n in range(0, 30, 2)}
     rows = sorted([(*i, True) for i in issues] + [(*a, False) for a in attempts], key=lambda r: (r[4], r[0]))

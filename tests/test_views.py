@@ -129,7 +129,7 @@ def test_work_list_puts_undated_first_and_masks(tables):
 
 def test_ledger_orders(tables):
     people, sellers, jobs = tables
-    assert ids(B.booking_ledger(jobs, sellers, people)) == [
+    assert ids(B.booking_ledger(jobs, sellers, people, ordered=True)) == [
         "TF-4", "TF-5", "TF-2", "TF-3", "TF-6", "TF-1", "TF-8", "TF-7"]
     assert ids(B.recent_bookings(jobs, sellers, people, 6)) == [
         "TF-2", "TF-3", "TF-6", "TF-1", "TF-8", "TF-7"]
