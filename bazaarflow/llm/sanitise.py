@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bazaarflow.llm.graph import bit_filter, in_filter
+from bazaarflow.llm.tables import fresh, text_key
 from bazaarflow.llm.words import Words, chunks, find_words, text_bytes, word_hashes
 from bazaarflow.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.8, 0.95
-SUPPORT = 3
+SUPPORT = 5
 REACH = 8
-FILTER_BITS = 1 << 23
+VARIETY = 0.33
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -148,15 +151,44 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
         "near array<struct<entity:string,term:long,context:long>>"))
 
 
-def _bit_filter(terms: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, one set per term; at most FILTER_BITS / 64 rows come to the driver."""
-    place = F.pmod(F.col("term"), F.lit(FILTER_BITS))
-    rows = terms.groupBy(F.shiftright(place, 6).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(term, {FILTER_BITS}), 64) as int))")).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in rows:
-        bits[row["w"]] = row["m"]
-    return bits.view(np.uint64)
+def _found_terms(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some texts, their terms, the terms' hashes, which of them pass the filter, and in which text."""
+    data, offsets = text_bytes(column)
+    words = terms_of(data, offsets)
+    hashes = word_hashes(words)
+    at = np.flatnonzero(in_filter(bits, hashes) & _is_term(words))
+    return data, words, hashes, at, np.searchsorted(words.first, at, "right") - 1
+
+
+def _document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(term, n_term): in how many documents each term that passes the filter stands.
+
+    Tasks add up their own documents first.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                _, _, hashes, at, doc = _found_terms(part.column(2), bits)
+                pairs = np.unique(np.stack([hashes[at], doc.astype(np.uint64)]), axis=1)[0] if at.size else hashes[at]
+                terms, times = np.unique(pairs.view(np.int64), return_counts=True)
+                total.update(dict(zip(terms.tolist(), times.tolist())))
+            if len(total) > 200_000:
+                yield _counted(total)
+                total = Counter()
+        yield _counted(total)
+
+    return _readable(docs, bits).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def _readable(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Nothing passes an empty filter, so no text needs to be read for it."""
+    return docs if bits.any() else docs.where(F.lit(False))
+
+
+def _counted(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["term", "n"])
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -165,16 +197,11 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                data, offsets = text_bytes(part.column(2))
-                words = terms_of(data, offsets)
-                hashes = word_hashes(words)
-                place = hashes & np.uint64(FILTER_BITS - 1)
-                hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-                at = np.flatnonzero((hit == 1) & _is_term(words))
+                data, words, hashes, at, doc = _found_terms(part.column(2), bits)
                 if not at.size:
                     continue
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                doc = np.searchsorted(words.first, at, "right") - 1
+                offsets = words.offsets
                 frame = pd.DataFrame({
                     "doc": doc, "term": hashes[at].view(np.int64),
                     "start": points[words.starts[at]] - points[offsets[doc]],
@@ -187,10 +214,24 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     pa.array(groups["end"].tolist(), pa.list_(pa.int64()))],
                     ["doc_id", "key", "term", "starts", "ends"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, term long, starts array<long>, ends array<long>")
+    return _readable(docs, bits).mapInArrow(run, "doc_id long, key long, term long, starts array<long>, ends array<long>")
+
+
+def _candidates(scan: DataFrame, support: int) -> DataFrame:
+    """(entity, term) pairs that stand together in ``support`` different surroundings.
+
+    Copies of one passage with small changes are no independent evidence: an entity counts only
+    where its surroundings vary, that is, where its distinct terms are at least VARIETY of all
+    (term, surroundings) pairs.
+    """
+    pairs = scan.select(F.explode("near").alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("contexts"))
+    varied = pairs.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("contexts").alias("all")).where(F.col("terms") >= VARIETY * F.col("all"))
+    return pairs.where(F.col("contexts") >= support).join(varied.select("entity"), "entity", "left_semi")
 
 
-def term_disclosure(scan: DataFrame, occurrences: DataFrame, near: DataFrame) -> DataFrame:
+def term_disclosure(scan: DataFrame, counts: DataFrame, near: DataFrame) -> DataFrame:
     """(term, disclosure): the largest share of an entity's information that the term gives.
 
     Counts are documents; N is all of them. An entity in every document has no information.
@@ -201,8 +242,7 @@ def term_disclosure(scan: DataFrame, occurrences: DataFrame, near: DataFrame) ->
     both = scan.select("doc_id", "key", F.explode(F.array_distinct(F.transform(
         "near", lambda x: F.struct(x["entity"], x["term"])))).alias("p")).groupBy("p.entity", "p.term").agg(
         F.count(F.lit(1)).alias("n_both"))
-    term = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = near.join(both, ["entity", "term"]).join(entity, "entity").join(term, "term").join(F.broadcast(total))
+    scored = near.join(both, ["entity", "term"]).join(entity, "entity").join(counts, "term").join(F.broadcast(total))
     pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.col("n") / F.col("n_entity"))
     return scored.where("n > n_entity").groupBy("term").agg(F.max(pmi / information).alias("disclosure"))
@@ -210,16 +250,16 @@ def term_disclosure(scan: DataFrame, occurrences: DataFrame, near: DataFrame) ->
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
 
 
 def _term_spans(rows: DataFrame, scan: DataFrame, support: int, generalise: float) -> DataFrame:
     """(doc_id, key, terms): start, end and disclosure of the terms over the threshold."""
-    near = materialise(
-        scan.select(F.explode("near").alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(
-            F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support), "pii-near")
-    hits = materialise(_occurrences(rows, _bit_filter(near)), "pii-terms")
-    risky = term_disclosure(scan, hits, near).where(F.col("disclosure") >= generalise)
+    near = materialise(_candidates(scan, support), "pii-near")
+    counts = _document_counts(rows, bit_filter(near, "term"))
+    risky = materialise(
+        term_disclosure(scan, counts, near).where(F.col("disclosure") >= generalise), "pii-terms")
+    hits = _occurrences(rows, bit_filter(risky, "term"))
     return hits.join(risky, "term").select(
         "doc_id", "key", "disclosure", F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy(
         "doc_id", "key").agg(F.sort_array(F.collect_set(F.struct(
@@ -237,8 +277,8 @@ def find_spans(
     """One row per input row: pattern counts, ``base_sha256`` of the pattern spans, and all ``spans``.
 
     A term is looked at when it stands within REACH words of one entity in at least ``support``
-    different surroundings, so copies of one passage do not count as evidence; it is a span where
-    its disclosure reaches ``generalise``. Offsets are code points. Null text is empty and has no
+    different surroundings (see ``_candidates``); it is a span where its disclosure reaches
+    ``generalise``. Offsets are code points. Null text is empty and has no
     spans; ids may be null or repeated (equal rows have equal results); other columns are ignored;
     an empty table gives no rows.
     """
@@ -266,15 +306,18 @@ def sanitise(
     ``[TERM]`` or, from ``remove`` on, taken out. Other columns stay; null text stays null."""
     rows = _with_key(docs, id_col, text_col)
     scan = materialise(scan_patterns(rows), "pii-scan")
-    terms = _term_spans(rows, scan, support, generalise).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(terms, keyed[id_col].cast("long").eqNullSafe(terms["_id"]) & (keyed["_row"] == terms["_key"]), "left")
+    id_, key_, marks, key = fresh(docs, "_id", "_key", "_terms", "_row")
+    terms = _term_spans(rows, scan, support, generalise).select(
+        F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("terms").alias(marks))
+    keyed = docs.withColumn(key, text_key(text_col))
+    same = keyed[id_col].cast("long").eqNullSafe(terms[id_]) & (keyed[key] == terms[key_])
 
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([_replace(t, m, remove) for t, m in zip(texts, marks)], dtype=object)
+    def replaced(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([_replace(t, m, remove) for t, m in zip(texts, found)], dtype=object)
 
-    return joined.withColumn(text_col, replaced(F.col(text_col), F.col("terms"))).select(*docs.columns)
+    return keyed.join(terms, same, "left").withColumn(
+        text_col, replaced(F.col(text_col), F.col(marks))).select(*docs.columns)
 
 
 def _replace(text: str | None, terms, remove: float) -> str | None:
