@@ -6,6 +6,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from bazaarflow.llm.tables import fresh
+
 SALTS = 32
 
 
@@ -70,12 +72,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat both id and content are one row: the copies are folded on (id, digest).
     """
     best = duplicate_classes(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    digest = F.sha2(ascii_lower(F.col(text_col)), 256)
-    marked = docs.withColumn("_digest", digest)
+        F.col(id_col).alias("keep_id"), "text_sha256").distinct()
+    digest, copy = fresh(docs, "_digest", "_copy")
+    marked = docs.withColumn(digest, F.sha2(ascii_lower(F.col(text_col)), 256))
     kept = marked.join(
-        best, marked[id_col].eqNullSafe(best["_keep"]) & (marked["_digest"] == best["_sha"]),
-        "left_semi")
-    copies = W.partitionBy(id_col, "_digest").orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop(
-        "_digest", "_copy")
+        best, marked[id_col].eqNullSafe(best["keep_id"]) & (marked[digest] == best["text_sha256"]), "left_semi")
+    copies = W.partitionBy(id_col, digest).orderBy(text_col)
+    return kept.withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).drop(digest, copy)

@@ -125,8 +125,10 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
     """Fit by Adam on the conditional log likelihood of pieced-together sequences."""
     names = sorted(set(labels))
     k = len(names)
+    if not names:
+        return Crf([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     words = words_of(pa.array(texts, pa.string()), lower=True)
-    of_text = np.array([names.index(x) for x in labels])
+    of_text = np.array([names.index(x) for x in labels], np.int64)
     gold = np.repeat(of_text, np.diff(words.first))
     hashes = word_hashes(words)
     keys, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)

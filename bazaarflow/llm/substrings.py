@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.llm.blobs import pack_arrays, unpack_arrays
+from bazaarflow.llm.tables import text_key
 from bazaarflow.llm.words import Words, chunks, find_words, window_hashes, window_starts, word_hashes, words_of
 
 WINDOW = 20
@@ -249,7 +250,7 @@ def remove_repeats(
     rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
     marks = repeated_ranges(rows, window, size).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     joined = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (rows["key"] == marks["_key"]), "left").select(
         "doc_id", "text", "ranges")
