@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from bazaarflow.llm.tables import keep_rows, text_key
 from bazaarflow.llm.words import Words, chunks, find_words, mix, text_bytes, word_hashes
 from bazaarflow.session import materialise
 
@@ -79,12 +80,13 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return docs, buckets, dense
 
 
-def _fit(documents: list[list[int]], dense: np.ndarray, good: np.ndarray) -> DocumentModel:
-    """Balanced logistic regression on the features whose log odds are clearly not zero."""
+def _fit(doc: np.ndarray, bucket: np.ndarray, dense: np.ndarray, good: np.ndarray) -> DocumentModel:
+    """Balanced logistic regression on the features whose log odds are clearly not zero.
+
+    ``doc`` and ``bucket`` list the hashed features, ``dense`` has a row per document.
+    """
     mean, spread = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     z = np.clip((dense - mean) / spread, -8, 8)
-    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    bucket = np.concatenate([np.asarray(d, np.int64) for d in documents])
     n_good, n_bad = max(good.sum(), 1), max((~good).sum(), 1)
     in_good = np.bincount(bucket[good[doc]], minlength=BUCKETS)
     in_bad = np.bincount(bucket[~good[doc]], minlength=BUCKETS)
@@ -97,7 +99,7 @@ def _fit(documents: list[list[int]], dense: np.ndarray, good: np.ndarray) -> Doc
     importance = np.where(good, 0.5 / n_good, 0.5 / n_bad)
     state = [np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(extra) + 1), np.zeros(len(extra) + 1)]
     for step in range(1, 401):
-        margin = np.bincount(doc, weights[bucket], len(documents)) + z @ extra + bias
+        margin = np.bincount(doc, weights[bucket], len(good)) + z @ extra + bias
         slope = (1 / (1 + np.exp(-np.clip(margin, -LIMIT, LIMIT))) - good) * importance
         g = np.bincount(bucket, slope[doc], BUCKETS) + 1e-5 * weights
         h = np.append(z.T @ slope + 1e-5 * extra, slope.sum())
@@ -134,12 +136,14 @@ def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> Document
                     ["good", "buckets", "dense", "r"])
 
     rows = sample.select("text", "good", F.xxhash64("id", "r", "kind").alias("r")).mapInArrow(
-        run, "good boolean, buckets array<int>, dense array<double>, r long").collect()
-    rows.sort(key=lambda r: r["r"])
-    good = np.array([r["good"] for r in rows], bool)
+        run, "good boolean, buckets array<int>, dense array<double>, r long").toArrow().sort_by("r")
+    good = rows["good"].to_numpy().astype(bool)
     if not len(good) or good.all() or not good.any():
         return None
-    return _fit([r["buckets"] for r in rows], np.array([r["dense"] for r in rows]), good)
+    lists = rows["buckets"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    dense = rows["dense"].combine_chunks().flatten().to_numpy().reshape(len(good), -1)
+    return _fit(np.repeat(np.arange(len(good)), sizes), lists.flatten().to_numpy().astype(np.int64), dense, good)
 
 
 def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: str, carried: list[Column]) -> DataFrame:
@@ -157,7 +161,7 @@ def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: st
                 docs_of, buckets, dense = _features(*text_bytes(part.column(part.num_columns - 1)))
                 weighty = m.buckets[buckets] != 0
                 pairs = np.unique(docs_of[weighty] * BUCKETS + buckets[weighty])
-                margin = np.bincount(pairs // BUCKETS, m.buckets[pairs % BUCKETS], part.num_rows)
+                margin = np.bincount(pairs // BUCKETS, m.buckets[pairs % BUCKETS], part.num_rows).astype(float)
                 margin += np.clip((dense - m.mean) / m.spread, -8, 8) @ m.dense + m.bias
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in range(part.num_columns - 1)],
@@ -228,7 +232,7 @@ def score_documents(
     path = F.col("lang") if path is None else path
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("row_key"),
+        F.col(id_col).alias("id"), text.alias("text"), text_key(text_col).alias("row_key"),
         _site(host).alias("host"), _site(path).alias("path"))
     good = (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     marked = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(
@@ -262,8 +266,5 @@ def _labelled_sample(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that ``score_documents`` rejects, in their own columns."""
-    kept = score_documents(docs, labels, id_col, text_col, **options).where("keep").select(
-        F.col(id_col).alias("_id"), "row_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(
-        kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["row_key"]), "left_semi").drop("_key")
+    scored = score_documents(docs, labels, id_col, text_col, **options).where("keep")
+    return keep_rows(docs, scored.select(F.col(id_col).alias("id"), "row_key").distinct(), id_col, text_col)
