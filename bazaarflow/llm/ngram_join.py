@@ -4,12 +4,14 @@ N-grams are ordered rare first, by corpus counts of their words. Two sets that r
 share an n-gram in their prefixes, so sets meet on prefix n-grams. Equal sets are one class before that. A
 first pass verifies, for every set, the neighbours it meets most often; sets that are connected then need no
 further comparison. The second pass meets all pairs that are not connected yet, with length,
-positional and suffix filters, and verifies each remaining pair once, so no link is lost.
+positional and suffix filters (the last on bit maps of the whole sets), and verifies each
+remaining pair once, so no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,12 +20,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bazaarflow.llm.blobs import pack_arrays, unpack_arrays
 from bazaarflow.llm.graph import bit_filter, components, in_filter
+from bazaarflow.llm.tables import keep_rows, text_key
 from bazaarflow.llm.words import Words, chunks, mix, window_hashes, window_starts, word_hashes, words_of
 from bazaarflow.session import materialise
 
 COUNTERS = 1 << 21
 SEGMENTS = 32
 NEIGHBOURS = 2
+MAP_WORDS = 8
 
 
 def count_words(rows: DataFrame) -> np.ndarray:
@@ -100,15 +104,19 @@ def ngram_sets(words: Words, size: int, classes: np.ndarray | None = None) -> tu
     return grams, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+_MAP = [f"map{k}" for k in range(MAP_WORDS)]
+
+
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
 
 
 def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, d1, d2, prefix) of every row; d1 and d2 are a digest of the set.
+    """(doc_id, key, n, d1, d2, prefix, map) of every row; d1 and d2 are a digest of the set.
 
     A set of n shares at least percent * n / 100 with every set it links to, so one of the
-    n - ceil(percent * n / 100) + 1 rarest n-grams is among them.
+    n - ceil(percent * n / 100) + 1 rarest n-grams is among them. ``map`` has 64 * MAP_WORDS bits, each the
+    parity of the n-grams that hash to it: two maps differ in no more bits than the sets in n-grams.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # COUNTERS bytes
 
@@ -122,12 +130,18 @@ def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int)
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 bounds = np.concatenate([[0], np.cumsum(length)])
                 taken = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], length)
+                bits = 64 * MAP_WORDS
+                doc = np.repeat(np.arange(len(n)), n)
+                parity = np.bincount(doc * bits + (mix(grams) >> np.uint64(40)).astype(np.int64) % bits, minlength=len(n) * bits) & 1
+                maps = np.packbits(parity.astype(bool).reshape(len(n), bits), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(n, pa.int32()),
                     *[pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums],
-                    _lists(grams[taken], bounds)], ["doc_id", "key", "n", "d1", "d2", "prefix"])
+                    _lists(grams[taken], bounds), *[pa.array(maps[:, k]) for k in range(MAP_WORDS)]],
+                    ["doc_id", "key", "n", "d1", "d2", "prefix", *_MAP])
 
-    return rows.mapInArrow(run, "doc_id long, key long, n int, d1 long, d2 long, prefix array<long>")
+    return rows.mapInArrow(run, (
+        "doc_id long, key long, n int, d1 long, d2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in _MAP)))
 
 
 def needed_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -175,16 +189,16 @@ def near_duplicates(
     repeat ids and texts; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
     described = materialise(describe_sets(rows, count_words(rows), size, percent), "ngram-sets")
 
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
     classes = materialise(
-        described.where("n > 0").groupBy("d1", "d2", "n").agg(first_row).select(
-            F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "f.doc_id", "f.key"), "ngram-classes")
+        described.where("n > 0").groupBy("d1", "d2", "n").agg(first_row, *[F.max(m).alias(m) for m in _MAP]).select(
+            F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "f.doc_id", "f.key", *_MAP), "ngram-classes")
     same = described["doc_id"].eqNullSafe(classes["doc_id"]) & (described["key"] == classes["key"])
     met = described.select("doc_id", "key", "prefix").join(classes.select("node", "n", "doc_id", "key"), same).dropDuplicates(
-        ["node"]).select("node", "n", F.explode("prefix").alias("gram"))
+        ["node"]).select("node", "n", F.posexplode("prefix").alias("place", "gram"))
     several = W.partitionBy("gram")
     shared = materialise(
         met.withColumn("several", F.count(F.lit(1)).over(several)).where("several > 1").drop("several"), "ngram-prefixes")
@@ -204,23 +218,43 @@ def near_duplicates(
 
 
 def _first_links(shared: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between each set and the sets it stands beside in most n-grams' lists.
+    """Links of each set to the most typical one of its n-grams' lists, and to its neighbours by size.
 
-    This pass only saves work for the next one: what it leaves out is met there.
+    The text that many were copied from has most n-grams in common with others, so it is what its copies
+    are compared with first. This pass only saves work for the next one: what it leaves out is met there.
     """
+    typical = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = shared.join(typical, "node")
     by_size = W.partitionBy("gram").orderBy("n", "node")
+    whole = W.partitionBy("gram")
     one = F.struct(F.col("node").alias("v"), F.col("n").alias("m"))
-    beside = shared.select(
-        "node", "n", F.lag(one).over(by_size).alias("before"), F.first(one).over(by_size).alias("first")).select(
-        "node", "n", F.explode(F.array("before", "first")).alias("o"))
-    fits = (F.col("m") * 100 >= percent * F.col("n")) & (F.col("v") != F.col("node"))
-    often = beside.select("node", "n", "o.v", "o.m").where(fits).groupBy("node", "v", "n", "m").agg(
-        F.count(F.lit(1)).alias("times"))
+    centre = F.max(F.struct(F.col("weight"), (-F.col("node")).alias("least"), F.col("node").alias("v"), F.col("n").alias("m"))).over(whole)
+    beside = weighed.select("node", "n", F.lag(one).over(by_size).alias("before"), centre.alias("c")).select(
+        "node", "n", F.explode(F.array("before", F.struct("c.v", "c.m"))).alias("o")).where("o.v != node")
+    often = beside.select("node", "n", "o.v", "o.m").where(_similar_size(F.col("n"), F.col("m"), percent)).groupBy(
+        "node", "v", "n", "m").agg(F.count(F.lit(1)).alias("times"))
     enough = F.col("times") >= _needed_prefix(F.col("n"), F.col("m"), percent) / 2
     best = W.partitionBy("node").orderBy(F.desc("times"), "v")
     pairs = often.where(enough).withColumn("r", F.row_number().over(best)).where(F.col("r") <= NEIGHBOURS)
-    pairs = materialise(pairs.select(F.col("node").alias("u"), "v"), "ngram-first-pairs")
-    return _verified(pairs, classes, rows, size, percent)
+    pairs = _close_maps(pairs.select(F.col("node").alias("u"), "v", "n", "m"), classes, percent)
+    return _verified(materialise(pairs, "ngram-first-pairs"), classes, rows, size, percent)
+
+
+def _similar_size(n: Column, m: Column, percent: int) -> Column:
+    return (n * 100 >= percent * m) & (m * 100 >= percent * n)
+
+
+def _map_distance(left: str, right: str) -> Column:
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{left}{m}").bitwiseXOR(F.col(f"{right}{m}"))) for m in _MAP])
+
+
+def _close_maps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs whose maps differ in no more bits than linked sets can differ in n-grams."""
+    maps = classes.select("node", *_MAP)
+    both = pairs.join(maps.select(F.col("node").alias("u"), *[F.col(m).alias(f"a{m}") for m in _MAP]), "u").join(
+        maps.select(F.col("node").alias("v"), *[F.col(m).alias(f"b{m}") for m in _MAP]), "v")
+    most = F.col("n") + F.col("m") - 2 * needed_overlap(F.col("n"), F.col("m"), percent)
+    return both.where(_map_distance("a", "b") <= most).select("u", "v")
 
 
 def _needed_prefix(n: Column, m: Column, percent: int) -> Column:
@@ -240,14 +274,20 @@ def _other_links(
     placed = shared.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.join(
         placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram"),
-        "gram")
-    a = mixed.select("gram", F.col("node").alias("u"), F.col("n").alias("n"), F.col("root").alias("ru"))
-    b = mixed.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
-    similar = (F.col("n") * 100 >= percent * F.col("m")) & (
-        (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("u") < F.col("v"))))
-    met = a.join(b, "gram").where((F.col("ru") != F.col("rv")) & similar)
-    counted = met.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("common"))
-    pairs = counted.where(F.col("common") >= _needed_prefix(F.col("n"), F.col("m"), percent)).select("u", "v")
+        "gram").join(classes.select("node", *_MAP), "node")
+    a = mixed.select("gram", F.col("node").alias("u"), "n", F.col("place").alias("i"), F.col("root").alias("ru"),
+                     *[F.col(m).alias(f"a{m}") for m in _MAP])
+    b = mixed.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("root").alias("rv"),
+                     *[F.col(m).alias(f"b{m}") for m in _MAP])
+    n, m = F.col("n"), F.col("m")
+    overlap = needed_overlap(n, m, percent)
+    ordered = (n < m) | ((n == m) & (F.col("u") < F.col("v")))
+    # Where this n-gram is the first in common, what follows it must be enough.
+    room = (F.col("i") + overlap <= n) & (F.col("j") + overlap <= m)
+    near = _map_distance("a", "b") <= n + m - 2 * overlap
+    met = a.join(b, "gram").where(
+        (F.col("ru") != F.col("rv")) & ordered & _similar_size(n, m, percent) & room & near)
+    pairs = met.select("u", "v").distinct()
     return _verified(materialise(pairs, "ngram-pairs"), classes, rows, size, percent)
 
 
@@ -262,6 +302,4 @@ def drop_near_duplicates(
     kept = groups.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row_key")).alias("f")).select("f.id", "f.row_key")
     kept = kept.union(groups.where(F.col("n_shingles") == 0).select(id_col, "row_key").distinct())
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(
-        kept, keyed[id_col].cast("long").eqNullSafe(kept["id"]) & (keyed["_key"] == kept["row_key"]), "left_semi").drop("_key")
+    return keep_rows(docs.withColumn(id_col, F.col(id_col).cast("long")), kept, id_col, text_col)
