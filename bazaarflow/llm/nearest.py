@@ -189,7 +189,10 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             "sizes": sizes.tobytes(), "graph": graph.astype(np.int32).tobytes(),
             "entries": entries.astype(np.int32).tobytes()}])
 
-    return placed.withColumn("first", F.element_at("ids", 1)).groupBy("dim", "shard").applyInPandas(
+    # A fixed number of partitions: a shard is little data but much work, so small ones must not be merged.
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.withColumn("first", F.element_at("ids", 1)).repartition(partitions, "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInPandas(
         build, "dim int, shard int, longest double, points binary, ids binary, sizes binary, graph binary, entries binary")
 
 
