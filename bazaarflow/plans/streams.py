@@ -48,8 +48,7 @@ def _(t):
 @query("stream_completions", "bookings booking_status_events", _COMPLETIONS)
 def _(t):
     out, checkpoint = _folders(t, "completions")
-    events = folds.without_repeats(t.stream("booking_status_events"))
-    folds.track_completions(events, out, checkpoint, once=True).awaitTermination()
+    folds.track_completions(t.stream("booking_status_events"), out, checkpoint, once=True).awaitTermination()
     return folds.running_completions(t.spark, out, t("bookings"))
 
 
