@@ -52,7 +52,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False).drop("ids")
+    return packing.pack(
+        docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False, ranks_path=tokenizer_path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
 @query()
