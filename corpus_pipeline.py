@@ -38,7 +38,8 @@ def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of 1024 tokens, one row per piece."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(
+        docs, tokenizer_path("byte_bpe_50k.json"), ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
