@@ -170,8 +170,12 @@ def _document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 _, _, hashes, at, doc = _found_terms(part.column(2), bits)
-                pairs = np.unique(np.stack([hashes[at], doc.astype(np.uint64)]), axis=1)[0] if at.size else hashes[at]
-                terms, times = np.unique(pairs.view(np.int64), return_counts=True)
+                found = hashes[at].view(np.int64)
+                order = np.lexsort((found, doc))
+                found, doc = found[order], doc[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+                terms, times = np.unique(found[new], return_counts=True)
                 total.update(dict(zip(terms.tolist(), times.tolist())))
             if len(total) > 200_000:
                 yield _counted(total)
