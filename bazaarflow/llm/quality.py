@@ -9,6 +9,7 @@ paths and hosts warrants. All rates come from grouped sums over all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -21,6 +22,7 @@ from bazaarflow.session import materialise
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 50_000
+KINDS = ("good", "poor", "toxic")
 BUCKETS = 1 << 18
 CLEAR = 4.0
 LIMIT = 30.0
@@ -237,10 +239,9 @@ def score_documents(
     good = (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     marked = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(
         F.col(id_col).alias("id")).agg(
-        F.min(good).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("kind"))
-    marked = marked.withColumn("kind", F.concat_ws("-", "good", "kind"))
-    sample = _labelled_sample(rows, marked)
-    model = fit_documents(sample)
+        F.min(good).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    marked = marked.withColumn("kind", F.when(F.col("good"), KINDS[0]).when(F.col("toxic") == 0, KINDS[1]).otherwise(KINDS[2]))
+    model = fit_documents(_labelled_sample(rows, marked))
     evidence = document_evidence(rows, model, "text", [F.col(c) for c in ("id", "row_key", "host", "path")])
     truth = marked.select("id", F.col("good").cast("double").alias("label"))
     scored = materialise(evidence.join(truth, "id", "left"), "quality-evidence")
@@ -258,10 +259,11 @@ def score_documents(
 
 
 def _labelled_sample(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """Texts of a bounded choice of labelled ids (SAMPLE_ROWS of each kind, lowest hash first)."""
-    order = W.partitionBy("kind").orderBy(F.xxhash64("id", F.lit(5)), "id")
-    chosen = marked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * SAMPLE_ROWS).drop("r")
-    return rows.select("id", "text").join(F.broadcast(chosen), "id")  # at most 2 * SAMPLE_ROWS rows a kind
+    """Texts of a bounded choice of labelled ids: twice SAMPLE_ROWS of each kind, lowest hash first."""
+    chosen = reduce(DataFrame.unionByName, [
+        marked.where(F.col("kind") == kind).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(2 * SAMPLE_ROWS)
+        for kind in KINDS])
+    return rows.select("id", "text").join(F.broadcast(chosen.select("id", "good", "kind")), "id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
