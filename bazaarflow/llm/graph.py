@@ -54,10 +54,10 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the component's smallest node.
 
-    Batches of edges are folded into stars first. Then large-star and small-star steps alternate until nothing
-    changes: every node links its larger neighbours, then its smaller ones, to the smallest node
-    it knows. The edges of a round are written to the shared folder; only their number and a
-    checksum come to the driver.
+    Batches of edges are folded into stars first. Then large-star and small-star steps alternate
+    until nothing changes: every node links its larger neighbours, then its smaller ones, to the
+    smallest node it knows. The edges of a round are written to the shared folder; only their number
+    and a checksum come to the driver.
     """
     current = materialise(edges.select("u", "v").mapInArrow(_forests, "u long, v long").distinct(), "components")
     state = None
@@ -72,7 +72,8 @@ def components(edges: DataFrame) -> DataFrame:
         current = materialise(
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
                 least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        row = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("c")).first()
+        row = current.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("c")).first()
         if (row["n"], row["c"]) == state:
             break
         state = row["n"], row["c"]

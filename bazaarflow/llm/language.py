@@ -126,7 +126,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
     names = sorted(set(labels))
     k = len(names)
     if not names:
-        return Crf([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return Crf(
+            [], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     words = words_of(pa.array(texts, pa.string()), lower=True)
     of_text = np.array([names.index(x) for x in labels], np.int64)
     gold = np.repeat(of_text, np.diff(words.first))
@@ -161,8 +162,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
             at = np.concatenate(chosen)
             joined = [chosen[i:i + 3] for i in range(0, len(chosen), 3)]
             first = np.concatenate([[0], np.cumsum([sum(map(len, j)) for j in joined])])
-            spans = np.repeat(words.starts[at] - np.cumsum(length[at]) + length[at], length[at]) + np.arange(length[at].sum())
-            word = np.repeat(np.arange(len(at)), length[at])
+            size = length[at]
+            spans = np.repeat(words.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            word = np.repeat(np.arange(len(at)), size)
             scores = model.weights[single[at]].sum(axis=1)
             for label in range(k):
                 scores[:, label] += np.bincount(word, model.weights[tri[spans], label], len(at))
@@ -185,7 +187,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
                                             (model.transitions, (turn / len(joined)).astype(np.float32)))):
                 momentum[i] += 0.1 * (g - momentum[i])
                 variance[i] += 0.01 * (g * g - variance[i])
-                value -= 0.05 * (momentum[i] / (1 - 0.9 ** steps)) / (np.sqrt(variance[i] / (1 - 0.99 ** steps)) + 1e-6)
+                move = momentum[i] / (1 - 0.9 ** steps)
+                value -= 0.05 * move / (np.sqrt(variance[i] / (1 - 0.99 ** steps)) + 1e-6)
     return model
 
 
@@ -199,7 +202,8 @@ def training_sample(
     common = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages)
     names = [r["l"] for r in common.collect()]
     span = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
-    piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), span).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    begin = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), span).cast("int") + 1
+    piece = F.substring(F.col(text_col), begin, F.lit(SAMPLE_CHARS))
     ranked = rows.where(F.col(lang_col).isin(names)).select(
         F.col(lang_col).alias("l"), F.col(id_col).alias("i"), F.xxhash64(id_col).alias("h"),
         F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col, text_col)).alias("r"),

@@ -26,7 +26,9 @@ WIDTH = 4
 QUERIES_PER_BLOCK = 8192
 
 
-def distances(points: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
+def distances(
+    points: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
+) -> np.ndarray:
     """Squared distances of queries[b] to points[ids[b]]; own holds the queries' squared norms."""
     dots = np.matmul(points[ids], queries[:, :, None])[:, :, 0]
     return np.maximum(norms[ids] + own[:, None] - 2 * dots, 0)
@@ -115,7 +117,9 @@ def robust_prune(
     return kept
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(
+    points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX,
+) -> tuple[np.ndarray, np.ndarray]:
     """The graph (len(points) + 1 rows, the last one empty) and the nodes where searches start."""
     n = len(points)
     norms = (points * points).sum(axis=1)
@@ -167,8 +171,8 @@ def usable(vector: Column) -> Column:
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard: (dim, shard, points, ids, graph, entries), from rows (vector, ids).
 
-    ``ids`` are those of the rows that hold the vector. A shard's row holds about ``shard_rows`` vectors, so its
-    size is bounded; the number of shards of a dimension grows with its vectors.
+    ``ids`` are those of the rows that hold the vector. A shard's row holds about ``shard_rows``
+    vectors, so its size is bounded; the number of shards of a dimension grows with its vectors.
     """
     sized = vectors.withColumn("dim", F.size("vector"))
     shards = sized.groupBy("dim").agg(
@@ -185,8 +189,8 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame([{
             "dim": int(frame["dim"].iloc[0]), "shard": int(frame["shard"].iloc[0]),
             "longest": float(frame["longest"].iloc[0]),
-            "points": np.stack(frame["vector"].to_numpy()).astype(np.float64).tobytes(), "ids": ids.astype(np.int64).tobytes(),
-            "sizes": sizes.tobytes(), "graph": graph.astype(np.int32).tobytes(),
+            "points": np.stack(frame["vector"].to_numpy()).astype(np.float64).tobytes(),
+            "ids": ids.astype(np.int64).tobytes(), "sizes": sizes.tobytes(), "graph": graph.astype(np.int32).tobytes(),
             "entries": entries.astype(np.int32).tobytes()}])
 
     # A fixed number of partitions: a shard is little data but much work, so small ones must not be merged.
@@ -205,8 +209,8 @@ def _raised(points: np.ndarray, longest: float) -> np.ndarray:
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM) -> DataFrame:
     """(query, vec_id, score): for each row (query, vector), every shard's ``k`` best.
 
-    Queries go to each shard of their dimension in blocks of about QUERIES_PER_BLOCK; a task loads one shard and
-    one block.
+    Queries go to each shard of their dimension in blocks of about QUERIES_PER_BLOCK; a task loads
+    one shard and one block.
     """
     sized = queries.withColumn("dim", F.size("vector"))
     blocks = sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("blocks"))
@@ -214,7 +218,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY
     asked = sized.join(blocks, "dim").join(shards, "dim").withColumn(
         "block", F.pmod(F.xxhash64("query", F.lit(3)), F.col("blocks")).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), "last"))).select("dim", "shard", "block", "query", "vector")
-    served = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    served = index.join(blocks, "dim").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def search(key, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
@@ -258,9 +263,10 @@ def nearest_neighbours(
 
     Columns: query_id, rank from 1, vec_id, score (in double on the given vectors). Ties go to the
     smaller id; a row is no neighbour of itself. Of equal vectors only the k + 1 smallest ids can
-    be among the k nearest, so only those are indexed. Rows with a null id, and vectors that are null or zero
-    or have null or non-finite components, take no part; vectors of different length do not
-    compare; repeated rows count once; other columns are ignored; an empty table gives no rows.
+    be among the k nearest, so only those are indexed. Rows with a null id, and vectors that are
+    null or zero or have null or non-finite components, take no part; vectors of different length
+    do not compare; repeated rows count once; other columns are ignored; an empty table gives no
+    rows.
     """
     valid = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))

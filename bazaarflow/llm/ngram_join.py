@@ -115,8 +115,9 @@ def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int)
     """(doc_id, key, n, d1, d2, prefix, map) of every row; d1 and d2 are a digest of the set.
 
     A set of n shares at least percent * n / 100 with every set it links to, so one of the
-    n - ceil(percent * n / 100) + 1 rarest n-grams is among them. ``map`` has 64 * MAP_WORDS bits, each the
-    parity of the n-grams that hash to it: two maps differ in no more bits than the sets in n-grams.
+    n - ceil(percent * n / 100) + 1 rarest n-grams is among them. ``map`` has 64 * MAP_WORDS bits,
+    each the parity of the n-grams that hash to it: two maps differ in no more bits than the sets
+    in n-grams.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # COUNTERS bytes
 
@@ -132,7 +133,8 @@ def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int)
                 taken = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], length)
                 bits = 64 * MAP_WORDS
                 doc = np.repeat(np.arange(len(n)), n)
-                parity = np.bincount(doc * bits + (mix(grams) >> np.uint64(40)).astype(np.int64) % bits, minlength=len(n) * bits) & 1
+                place = doc * bits + (mix(grams) >> np.uint64(40)).astype(np.int64) % bits
+                parity = np.bincount(place, minlength=len(n) * bits) & 1
                 maps = np.packbits(parity.astype(bool).reshape(len(n), bits), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(n, pa.int32()),
@@ -189,7 +191,8 @@ def near_duplicates(
     repeat ids and texts; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
     described = materialise(describe_sets(rows, count_words(rows), size, percent), "ngram-sets")
 
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
@@ -197,11 +200,11 @@ def near_duplicates(
         described.where("n > 0").groupBy("d1", "d2", "n").agg(first_row, *[F.max(m).alias(m) for m in _MAP]).select(
             F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "f.doc_id", "f.key", *_MAP), "ngram-classes")
     same = described["doc_id"].eqNullSafe(classes["doc_id"]) & (described["key"] == classes["key"])
-    met = described.select("doc_id", "key", "prefix").join(classes.select("node", "n", "doc_id", "key"), same).dropDuplicates(
-        ["node"]).select("node", "n", F.posexplode("prefix").alias("place", "gram"))
-    several = W.partitionBy("gram")
-    shared = materialise(
-        met.withColumn("several", F.count(F.lit(1)).over(several)).where("several > 1").drop("several"), "ngram-prefixes")
+    met = described.select("doc_id", "key", "prefix").join(
+        classes.select("node", "n", "doc_id", "key"), same).dropDuplicates(["node"]).select(
+        "node", "n", F.posexplode("prefix").alias("place", "gram"))
+    several = met.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    shared = materialise(met.join(several.select("gram"), "gram", "left_semi"), "ngram-prefixes")
 
     links = _first_links(shared, classes, rows, size, percent)
     part = components(links)
@@ -218,20 +221,18 @@ def near_duplicates(
 
 
 def _first_links(shared: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of each set to the most typical one of its n-grams' lists, and to its neighbours by size.
+    """Links of each set to the most typical sets in the lists of its n-grams.
 
-    The text that many were copied from has most n-grams in common with others, so it is what its copies
-    are compared with first. This pass only saves work for the next one: what it leaves out is met there.
+    The text that many were copied from has most n-grams in common with others, so it is what its
+    copies are compared with first. This pass only saves work for the next one: what it leaves out
+    is met there.
     """
-    typical = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    weighed = shared.join(typical, "node")
-    by_size = W.partitionBy("gram").orderBy("n", "node")
-    whole = W.partitionBy("gram")
-    one = F.struct(F.col("node").alias("v"), F.col("n").alias("m"))
-    centre = F.max(F.struct(F.col("weight"), (-F.col("node")).alias("least"), F.col("node").alias("v"), F.col("n").alias("m"))).over(whole)
-    beside = weighed.select("node", "n", F.lag(one).over(by_size).alias("before"), centre.alias("c")).select(
-        "node", "n", F.explode(F.array("before", F.struct("c.v", "c.m"))).alias("o")).where("o.v != node")
-    often = beside.select("node", "n", "o.v", "o.m").where(_similar_size(F.col("n"), F.col("m"), percent)).groupBy(
+    weight = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    typical = shared.join(weight, "node").groupBy("gram").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("least"), "n")).alias("t")).select(
+        "gram", (-F.col("t.least")).alias("v"), F.col("t.n").alias("m"))
+    often = shared.join(typical, "gram").where(
+        (F.col("v") != F.col("node")) & _similar_size(F.col("n"), F.col("m"), percent)).groupBy(
         "node", "v", "n", "m").agg(F.count(F.lit(1)).alias("times"))
     enough = F.col("times") >= _needed_prefix(F.col("n"), F.col("m"), percent) / 2
     best = W.partitionBy("node").orderBy(F.desc("times"), "v")
@@ -260,8 +261,8 @@ def _close_maps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 def _needed_prefix(n: Column, m: Column, percent: int) -> Column:
     """How many n-grams two prefixes must share at least.
 
-    The prefix that ends at the rarer n-gram has all its common n-grams in the other prefix too; what the
-    sets share beyond is at most the rest of that set.
+    The prefix that ends at the rarer n-gram has all its common n-grams in the other prefix too;
+    what the sets share beyond is at most the rest of that set.
     """
     rest = F.ceil(percent * F.greatest(n, m) / 100 - 1e-9) - 1
     return F.greatest(needed_overlap(n, m, percent) - rest, F.lit(1))
@@ -273,12 +274,14 @@ def _other_links(
     """Links among the sets that are not connected yet."""
     placed = shared.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.join(
-        placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram"),
-        "gram").join(classes.select("node", *_MAP), "node")
-    a = mixed.select("gram", F.col("node").alias("u"), "n", F.col("place").alias("i"), F.col("root").alias("ru"),
-                     *[F.col(m).alias(f"a{m}") for m in _MAP])
-    b = mixed.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("root").alias("rv"),
-                     *[F.col(m).alias(f"b{m}") for m in _MAP])
+        placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+            "low < high").select("gram"), "gram").join(classes.select("node", *_MAP), "node")
+    a = mixed.select(
+        "gram", F.col("node").alias("u"), "n", F.col("place").alias("i"), F.col("root").alias("ru"),
+        *[F.col(m).alias(f"a{m}") for m in _MAP])
+    b = mixed.select(
+        "gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("root").alias("rv"),
+        *[F.col(m).alias(f"b{m}") for m in _MAP])
     n, m = F.col("n"), F.col("m")
     overlap = needed_overlap(n, m, percent)
     ordered = (n < m) | ((n == m) & (F.col("u") < F.col("v")))

@@ -237,10 +237,11 @@ def score_documents(
         F.col(id_col).alias("id"), text.alias("text"), text_key(text_col).alias("row_key"),
         _site(host).alias("host"), _site(path).alias("path"))
     good = (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    marked = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(
-        F.col(id_col).alias("id")).agg(
+    given = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
+    marked = labels.where(F.col(id_col).isNotNull() & given).groupBy(F.col(id_col).alias("id")).agg(
         F.min(good).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    marked = marked.withColumn("kind", F.when(F.col("good"), KINDS[0]).when(F.col("toxic") == 0, KINDS[1]).otherwise(KINDS[2]))
+    marked = marked.withColumn(
+        "kind", F.when(F.col("good"), KINDS[0]).when(F.col("toxic") == 0, KINDS[1]).otherwise(KINDS[2]))
     model = fit_documents(_labelled_sample(rows, marked))
     evidence = document_evidence(rows, model, "text", [F.col(c) for c in ("id", "row_key", "host", "path")])
     truth = marked.select("id", F.col("good").cast("double").alias("label"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarflow.llm import bpe, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise, substrings
+from bazaarflow.llm import (
+    bpe, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise, substrings,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +55,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(
-        docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False, ranks_path=tokenizer_path("byte_bpe_50k.tiktoken")).drop("ids")
+        docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False,
+        ranks_path=tokenizer_path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
 @query()

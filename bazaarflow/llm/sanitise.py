@@ -151,8 +151,10 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
         "near array<struct<entity:string,term:long,context:long>>"))
 
 
-def _found_terms(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of some texts, their terms, the terms' hashes, which of them pass the filter, and in which text."""
+def _found_terms(
+    column: pa.Array, bits: np.ndarray,
+) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some texts, their terms and hashes, which of them pass the filter, and in which text."""
     data, offsets = text_bytes(column)
     words = terms_of(data, offsets)
     hashes = word_hashes(words)

@@ -83,7 +83,8 @@ class _Packer:
         base = len(self.docs)
         self.docs += zip(ids, keys)
         known = self.known
-        for d, s, n, b, x, y in zip((doc + base).tolist(), start.tolist(), count.tolist(), bucket.tolist(), low.tolist(), high.tolist()):
+        columns = (doc + base, start, count, bucket, low, high)
+        for d, s, n, b, x, y in zip(*[c.tolist() for c in columns]):
             piece = text[x:y]
             old = known.get(piece)
             if old is None:
@@ -93,17 +94,17 @@ class _Packer:
         self.bytes += len(text)
 
     def _meet(self, old: list, d: int, s: int, n: int) -> None:
-        a, b = (*self._order(old[0]), old[1]), (*self._order(d), s)
-        a, b = (a[0], a[2], a[1]), (b[0], b[2], b[1])
+        """Two equal super-k-mers of one task: the earlier one stays, the other is repeated."""
+        a, b = self._order(old[0], old[1]), self._order(d, s)
         if b < a:
             self.repeated.append((old[0], old[1], n))
             old[0], old[1] = d, s
         elif a < b:
             self.repeated.append((d, s, n))
 
-    def _order(self, d: int) -> tuple[int, int]:
+    def _order(self, d: int, start: int) -> tuple[int, int, int]:
         doc, key = self.docs[d]
-        return (_LAST_ID if doc is None else doc), key
+        return (_LAST_ID if doc is None else doc), start, key
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
@@ -219,7 +220,8 @@ def _ranges(ids, missing, keys, start, count) -> pd.DataFrame:
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
     """(doc_id, key, ranges): the ranges (start, windows) of each row's repeated windows.
 
-    ``rows`` has doc_id, key (a hash of the text) and text. There are as many buckets as shuffle partitions.
+    ``rows`` has doc_id, key (a hash of the text) and text. There are as many buckets as shuffle
+    partitions.
     """
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(rows, buckets, window, size)
@@ -245,9 +247,9 @@ def remove_repeats(
     A word goes when a window of ``window`` words that covers it begins earlier too: in a row with
     a smaller id (a null id is the largest), or earlier in the same document. All windows are
     judged on the input. Kept words are joined by one space. Null and empty texts have no words;
-    rows with equal id and text have equal results and do not remove each other's words; rows with one id and
-    different texts are one document to the order of windows; other columns are ignored; an empty table gives no
-    rows.
+    rows with equal id and text have equal results and do not remove each other's words; rows with
+    one id and different texts are one document to the order of windows; other columns are ignored;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text.alias("text"))
@@ -273,5 +275,6 @@ def remove_repeats(
                     pa.array(digests, pa.string()), pa.array(texts, pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("doc_id", id_col) if keep_text else out.drop("kept_text").withColumnRenamed("doc_id", id_col)
+    out = joined.mapInArrow(
+        run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return (out if keep_text else out.drop("kept_text")).withColumnRenamed("doc_id", id_col)

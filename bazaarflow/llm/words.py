@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,14 +49,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``limit`` bytes of text each, so scratch arrays stay small."""
+    """Slices of whole rows with about ``limit`` bytes of text and at most CHUNK_ROWS rows each.
+
+    Scratch arrays of a slice stay small that way.
+    """
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes, dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for begin, end in zip(cuts, cuts[1:]):
-        yield batch.slice(begin, end - begin)
+        for start in range(begin, end, CHUNK_ROWS):
+            yield batch.slice(start, min(CHUNK_ROWS, end - start))
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = False) -> Words:
