@@ -176,8 +176,13 @@ def test_rollups(tables):
     assert rows["p1"] == (4, 1, Decimal(250), Decimal(5), 1)
     assert rows["p4"] == (1, 1, Decimal(0), Decimal(4), 1)
     assert rollups.provider_rollup(jobs, "2024-05").where("monthly_earnings <> 0").count() == 0
-    drift = {r["id"]: tuple(r)[1:] for r in rollups.counter_drift(sellers, rebuilt).collect()}
-    assert drift == {"p1": (3, 4, 1, 1), "p2": (0, 1, 0, 0), "p4": (0, 1, 0, 1)}
+    drift = {r["id"]: r for r in rollups.counter_drift(sellers, rebuilt).collect()}
+    pairs = {i: [tuple(float(r[f"{side}_{c}"]) for c in rollups.COUNTERS) for side in ("stored", "rebuilt")] for i, r in drift.items()}
+    assert pairs == {
+        "p1": [(3, 1, 0, 4.9, 0), (4, 1, 250, 5, 1)], "p2": [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0)],
+        "p3": [(0, 0, 0, 4.9, 0), (0, 0, 0, 0, 0)], "p4": [(0, 0, 0, 4.1, 0), (1, 1, 0, 4, 1)]}
+    jobs_only = rollups.counter_drift(sellers, rebuilt, ("total_jobs", "completed_jobs"))
+    assert {r["id"]: tuple(r)[1:] for r in jobs_only.collect()} == {"p1": (3, 4, 1, 1), "p2": (0, 1, 0, 0), "p4": (0, 1, 0, 1)}
     totals = rollups.revenue_rollup(jobs, sellers, people)
     assert tuple(totals.where("level = 7").select("bookings", "revenue").first()) == (8, 250)
     assert totals.where("level = 0").agg(F.sum("bookings")).first()[0] == 8
