@@ -206,10 +206,9 @@ def near_duplicates(
     several = met.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     shared = materialise(met.join(several.select("gram"), "gram", "left_semi"), "ngram-prefixes")
 
-    links = _first_links(shared, classes, rows, size, percent)
-    part = components(links)
-    links = _other_links(shared, part, classes, rows, size, percent)
-    joined = components(part.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v").union(links))
+    first = materialise(_first_links(shared, classes, rows, size, percent), "ngram-links")
+    other = _other_links(shared, _near_labels(first), classes, rows, size, percent)
+    joined = components(first.union(other))
 
     placed = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -241,6 +240,15 @@ def _first_links(shared: DataFrame, classes: DataFrame, rows: DataFrame, size: i
     return _verified(materialise(pairs, "ngram-first-pairs"), classes, rows, size, percent)
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node within two links. Equal roots are connected, others may be."""
+    both = links.union(links.select("v", "u"))
+    one = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    two = both.join(one, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("least"))
+    return materialise(
+        two.join(one, F.col("u") == F.col("node")).select("node", F.least("label", "least").alias("root")), "ngram-labels")
+
+
 def _similar_size(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= percent * m) & (m * 100 >= percent * n)
 
