@@ -99,7 +99,34 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
-@query()
+@query(r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+runs AS (
+  SELECT doc_id, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS c FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM runs WHERE c = 3
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+sized AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+ranked AS (
+  SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r
+  FROM shingles JOIN sized USING (doc_id) JOIN (SELECT s, count(*) AS df FROM shingles GROUP BY s) USING (s)),
+prefixes AS (SELECT doc_id, s, n FROM ranked WHERE r <= n - (90 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny
+  FROM prefixes a JOIN prefixes b ON a.s = b.s AND a.doc_id < b.doc_id WHERE 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n),
+links AS (
+  SELECT x, y FROM pairs JOIN shingles a ON a.doc_id = x JOIN shingles b ON b.doc_id = y AND b.s = a.s
+  GROUP BY x, y, nx, ny HAVING 100 * count(*) >= 90 * (nx + ny - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM d LEFT JOIN sized USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
+""")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("row_key")
 
