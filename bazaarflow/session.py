@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -35,20 +35,25 @@ _shipped: set[str] = set()
 def ship_library(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once per application, as --py-files would.
 
-    The archive is made on the driver; Spark itself sends it to the executors.
+    The archive is put in the shared folder; Spark sends it to the executors.
     """
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="bazaarflow-code-"), "bazaarflow.zip")
-    with zipfile.ZipFile(archive, "w") as target:
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
         for folder, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     target.write(path, os.path.relpath(path, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(archive)
+    path = f"{scratch_path(spark, 'code')}/bazaarflow.zip"
+    system, target = _file_system(spark, path)
+    stream = system.create(target)
+    stream.write(archive.getvalue())
+    stream.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(application)
 
 
