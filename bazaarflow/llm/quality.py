@@ -145,7 +145,8 @@ def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> Document
     lists = rows["buckets"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     dense = rows["dense"].combine_chunks().flatten().to_numpy().reshape(len(good), -1)
-    return _fit(np.repeat(np.arange(len(good)), sizes), lists.flatten().to_numpy().astype(np.int64), dense, good)
+    doc = np.repeat(np.arange(len(good), dtype=np.int32), sizes)
+    return _fit(doc, lists.flatten().to_numpy(), dense, good)
 
 
 def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: str, carried: list[Column]) -> DataFrame:
