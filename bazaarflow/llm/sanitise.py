@@ -25,9 +25,10 @@ from bazaarflow.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.8, 0.95
-SUPPORT = 5
+SUPPORT = 3
 REACH = 8
-VARIETY = 0.33
+ALIKE = 0.75
+SALTS = 32
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -106,8 +107,8 @@ def _is_term(words: Words) -> np.ndarray:
     return (words.ends - words.starts >= 4) & ((first >= 97) & (first <= 122) | (first >= 128))
 
 
-def _neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """(entity, term hash, hash of the surrounding words) of the terms near each span."""
+def _neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Per span with terms nearby: entity, a hash of its surroundings, and the hashes of their words and terms."""
     found = []
     for start, kind, end in spans:
         before, after = text[max(0, start - 40 * REACH):start], text[end:end + 40 * REACH]
@@ -117,8 +118,12 @@ def _neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
         column = pa.array([" ".join(around)])
         words = terms_of(*text_bytes(column))
         context = int.from_bytes(hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest(), "little", signed=True)
-        hashes = np.unique(word_hashes(words)[_is_term(words)]).view(np.int64)
-        found += [(_entity(kind, text[start:end]), h, context) for h in hashes.tolist()]
+        hashes = word_hashes(words)
+        terms = np.unique(hashes[_is_term(words)]).view(np.int64)
+        if terms.size:
+            found.append({
+                "entity": _entity(kind, text[start:end]), "context": context,
+                "around": np.unique(hashes).view(np.int64), "terms": terms})
     return found
 
 
@@ -126,7 +131,9 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, key, text): its pattern spans, their digest and the terms around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("context", pa.int64())]))
+        near_type = pa.list_(pa.struct([
+            ("entity", pa.string()), ("context", pa.int64()), ("around", pa.list_(pa.int64())),
+            ("terms", pa.list_(pa.int64()))]))
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in batches:
             counts, spans_out, base, digest, near = [], [], [], [], []
@@ -137,7 +144,7 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
                 spans_out.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 base.append(_as_text(spans))
                 digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                near.append([{"entity": e, "term": t, "context": c} for e, t, c in _neighbours(text, spans)])
+                near.append(_neighbours(text, spans))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
                 *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)],
@@ -148,7 +155,7 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, (
         "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
         "base string, found array<struct<start:long,kind:int,end:long>>, "
-        "near array<struct<entity:string,term:long,context:long>>"))
+        "near array<struct<entity:string,context:long,around:array<long>,terms:array<long>>>"))
 
 
 def _found_terms(
@@ -223,35 +230,86 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return _readable(docs, bits).mapInArrow(run, "doc_id long, key long, term long, starts array<long>, ends array<long>")
 
 
-def _candidates(scan: DataFrame, support: int) -> DataFrame:
-    """(entity, term) pairs that stand together in ``support`` different surroundings.
+def _surroundings(scan: DataFrame) -> DataFrame:
+    """(entity, context, around, terms): every different surrounding of an entity once."""
+    return scan.select(F.explode("near").alias("x")).select("x.*").groupBy("entity", "context").agg(
+        F.min_by(F.struct("around", "terms"), F.struct("around", "terms")).alias("x")).select(
+        "entity", "context", "x.around", "x.terms")
 
-    Copies of one passage with small changes are no independent evidence: an entity counts only
-    where its surroundings vary, that is, where its distinct terms are at least VARIETY of all
-    (term, surroundings) pairs.
+
+def _candidates(surroundings: DataFrame, support: int) -> DataFrame:
+    """(entity, term) pairs that stand together in ``support`` surroundings, near copies counted."""
+    return surroundings.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support).select("entity", "term")
+
+
+def _alike(a: frozenset[int], b: frozenset[int]) -> bool:
+    """Near copies share more than ALIKE of the words of the larger one."""
+    return len(a & b) > ALIKE * max(len(a), len(b))
+
+
+def _apart(support: int, last: bool):
+    """Of each run of rows with one (entity, term, salt): up to ``support`` rows no two of which are alike.
+
+    Rows come sorted, so only the rows kept of one run are held. The ``last`` time the salt is not part of
+    the run, and one row is left of a run that has ``support`` of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+        for batch in batches:
+            entity, term, salt = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for row, key in enumerate(zip(entity, term, [0] * len(salt) if last else salt)):
+                if key != now:
+                    now, kept = key, []
+                if len(kept) == support:
+                    continue
+                around = frozenset(batch.column(4)[row].as_py())
+                if any(_alike(around, other) for other in kept):
+                    continue
+                kept.append(around)
+                if not last or len(kept) == support:
+                    out.append(row)
+            yield batch.take(pa.array(out, pa.int64()))
+
+    return run
+
+
+def _independent(surroundings: DataFrame, pairs: DataFrame, support: int) -> DataFrame:
+    """The (entity, term) pairs with ``support`` surroundings no two of which are near copies.
+
+    Copies of one passage with small changes are no independent evidence, so they count once. The
+    surroundings of a pair are first thinned in SALTS parts by their hash.
     """
-    pairs = scan.select(F.explode("near").alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("contexts"))
-    varied = pairs.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("terms"), F.sum("contexts").alias("all")).where(F.col("terms") >= VARIETY * F.col("all"))
-    return pairs.where(F.col("contexts") >= support).join(varied.select("entity"), "entity", "left_semi")
+    parts = int(surroundings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "entity string, term long, salt int, context long, around array<long>"
+    rows = surroundings.select("entity", F.explode("terms").alias("term"), "context", "around").join(
+        pairs.select("entity", "term"), ["entity", "term"], "left_semi").select(
+        "entity", "term", F.pmod("context", F.lit(SALTS)).cast("int").alias("salt"), "context", "around")
+    order = ["entity", "term", "salt", "context"]
+    thinned = rows.repartition(parts, "entity", "term", "salt").sortWithinPartitions(*order).mapInArrow(
+        _apart(support, False), kind)
+    found = thinned.repartition(parts, "entity", "term").sortWithinPartitions(*order).mapInArrow(
+        _apart(support, True), kind)
+    return found.select("entity", "term")
 
 
 def term_disclosure(scan: DataFrame, counts: DataFrame, near: DataFrame) -> DataFrame:
-    """(term, disclosure): the largest share of an entity's information that the term gives.
+    """(entity, term, disclosure): the share of the entity's information that the term gives, for the pairs ``near``.
 
     Counts are documents; N is all of them. An entity in every document has no information.
     """
     total = scan.agg(F.count(F.lit(1)).alias("n"))
     entity = scan.select("doc_id", "key", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy(
         "entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = scan.select("doc_id", "key", F.explode(F.array_distinct(F.transform(
-        "near", lambda x: F.struct(x["entity"], x["term"])))).alias("p")).groupBy("p.entity", "p.term").agg(
+    both = scan.select("doc_id", "key", F.explode(F.array_distinct(F.flatten(F.transform(
+        "near", lambda x: F.transform(x["terms"], lambda t: F.struct(
+            x["entity"].alias("entity"), t.alias("term"))))))).alias("p")).groupBy("p.entity", "p.term").agg(
         F.count(F.lit(1)).alias("n_both"))
     scored = near.join(both, ["entity", "term"]).join(entity, "entity").join(counts, "term").join(F.broadcast(total))
     pmi = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.col("n") / F.col("n_entity"))
-    return scored.where("n > n_entity").groupBy("term").agg(F.max(pmi / information).alias("disclosure"))
+    return scored.where("n > n_entity").select("entity", "term", (pmi / information).alias("disclosure"))
 
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -261,10 +319,13 @@ def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _term_spans(rows: DataFrame, scan: DataFrame, support: int, generalise: float) -> DataFrame:
     """(doc_id, key, terms): start, end and disclosure of the terms over the threshold."""
-    near = materialise(_candidates(scan, support), "pii-near")
+    surroundings = _surroundings(scan)
+    near = materialise(_candidates(surroundings, support), "pii-near")
     counts = _document_counts(rows, bit_filter(near, "term"))
-    risky = materialise(
-        term_disclosure(scan, counts, near).where(F.col("disclosure") >= generalise), "pii-terms")
+    pairs = materialise(
+        term_disclosure(scan, counts, near).where(F.col("disclosure") >= generalise), "pii-pairs")
+    risky = materialise(pairs.join(_independent(surroundings, pairs, support), ["entity", "term"]).groupBy("term").agg(
+        F.max("disclosure").alias("disclosure")), "pii-terms")
     hits = _occurrences(rows, bit_filter(risky, "term"))
     return hits.join(risky, "term").select(
         "doc_id", "key", "disclosure", F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy(
@@ -283,8 +344,8 @@ def find_spans(
     """One row per input row: pattern counts, ``base_sha256`` of the pattern spans, and all ``spans``.
 
     A term is looked at when it stands within REACH words of one entity in at least ``support``
-    different surroundings (see ``_candidates``); it is a span where its disclosure reaches
-    ``generalise``. Offsets are code points. Null text is empty and has no
+    surroundings that are not near copies (see ``_independent``); it is a span where its disclosure
+    reaches ``generalise``. Offsets are code points. Null text is empty and has no
     spans; ids may be null or repeated (equal rows have equal results); other columns are ignored;
     an empty table gives no rows.
     """

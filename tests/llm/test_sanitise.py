@@ -64,6 +64,20 @@ def test_copies_are_no_evidence(spark):
     assert not any("term" in r["spans"] for r in got)
 
 
+def test_recurring_lines_are_evidence(spark):
+    """Twelve of sixteen words fixed, four that vary, in few and in many documents; and a copied line next to them."""
+    line = "please write to our helpful office manager zebulon {} at any time during regular working hours".format
+    for n in (10, 400):
+        rows = [(i, f"alpha{i} beta{i} kind regards from zebulon acme office acme@corp.example.com phone desk open "
+                    f"every weekday morning gamma{i} delta{i}") for i in range(n)]
+        rows += [(1000 + i, line(f"bob@corp.example.com edit{i}")) for i in range(n)]
+        rows += [(5000 + i, f"plain other words{i} about things") for i in range(5 * n)]
+        rows.append((9000, "plain zebulon text about weekday"))
+        spans = {r["doc_id"]: r["spans"] for r in S.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert "term" in spans[3] and spans[9000].endswith("term:25:32"), n
+        assert "term" not in spans[1003] and spans[5003] == "", n
+
+
 def test_edges(spark):
     got = S.find_spans(edges.documents(spark)).collect()
     want = []
