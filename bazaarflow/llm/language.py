@@ -20,7 +20,8 @@ from bazaarflow.llm.words import Words, chunks, mix, word_hashes, words_of
 UNKNOWN = "und"
 SAMPLE_TEXTS = 300
 SAMPLE_CHARS = 3000
-LANGUAGES = 64
+LANGUAGES = 1024  # more distinct labels than this are an error
+CHUNK_LABELS = 64
 BUCKETS = 1 << 17
 LEXICON = 100_000
 EPOCHS = 6
@@ -133,12 +134,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
     gold = np.repeat(of_text, np.diff(words.first))
     hashes = word_hashes(words)
     keys, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    by_label = np.zeros((len(keys), k))
-    np.add.at(by_label, (at, gold), 1)
+    pair, times = np.unique(at * k + gold, return_counts=True)
+    order = np.lexsort((pair, -times, pair // k))
+    top = pair[order][np.unique(pair[order] // k, return_index=True)[1]] % k  # ties go to the first label
     enough = np.flatnonzero(counts >= 3)
     enough = np.sort(enough[np.argsort(-counts[enough], kind="stable")[:LEXICON]])
     model = Crf(names, np.zeros((BUCKETS + 1 + k, k), np.float32), np.zeros((k, k), np.float32),
-                keys[enough], by_label[enough].argmax(axis=1))
+                keys[enough], top[enough])
     if k < 2 or not len(gold):
         return model
 
@@ -178,9 +180,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = EPOC
                 for column in range(4):
                     slope[:, label] += np.bincount(single[at, column], error[:, label], len(slope))
             inner = np.setdiff1d(np.arange(len(at)), first[1:] - 1)
-            pair = forward[inner][:, :, None] * np.exp(model.transitions) * beta[inner + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            turn = pair.sum(axis=0)
+            step, begun, ended = np.exp(model.transitions), forward[inner], beta[inner + 1]
+            begun /= ((begun @ step) * ended).sum(axis=1, keepdims=True)
+            turn = step * (begun.T @ ended)  # the pair posteriors, summed without one table per word
             np.subtract.at(turn, (gold[at[inner]], gold[at[inner + 1]]), 1)
             steps += 1
             for i, (value, g) in enumerate(((model.weights, slope + 1e-4 * model.weights),
@@ -196,15 +198,16 @@ def training_sample(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = SAMPLE_TEXTS, languages: int = LANGUAGES,
 ) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` pieces of at most SAMPLE_CHARS characters for each of the
-    ``languages`` most frequent labels, chosen by a hash of the id: the model's bounded sample."""
+    """At most ``per_language`` pieces of at most SAMPLE_CHARS characters for every label, chosen by a
+    hash of the id: the model's bounded sample. More than ``languages`` labels are a ValueError."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages)
-    names = [r["l"] for r in common.collect()]
+    if rows.select(lang_col).distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"{lang_col} has more than {languages} labels; none is left out of the model, so raise "
+                         f"languages (each takes {BUCKETS * 4 >> 10} kB of weights) or clean the column")
     span = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
     begin = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), span).cast("int") + 1
     piece = F.substring(F.col(text_col), begin, F.lit(SAMPLE_CHARS))
-    ranked = rows.where(F.col(lang_col).isin(names)).select(
+    ranked = rows.select(
         F.col(lang_col).alias("l"), F.col(id_col).alias("i"), F.xxhash64(id_col).alias("h"),
         F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col, text_col)).alias("r"),
         piece.alias("t")).where(F.col("r") <= per_language)
@@ -232,11 +235,12 @@ def predict(
     source = docs.select(*carried, F.col(text_col).alias("_text"))
     fields = source.schema.fields[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, LANGUAGES and LEXICON
+    size = (1 << 21) * CHUNK_LABELS // max(len(model.labels), CHUNK_LABELS)  # a word takes memory per label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text", 1 << 21):
+            for part in chunks(batch, "_text", size):
                 column = part.column(part.num_columns - 1)
                 words = words_of(column, lower=True)
                 n = part.num_rows
@@ -277,8 +281,8 @@ def identify_languages(
 ) -> DataFrame:
     """Id, ``held_out``, ``lang_pred`` and ``score`` of every row, as ``predict`` defines them.
 
-    The model is fitted on a bounded sample of the rows that are not held out and have a text and
-    a language; a prediction sees nothing but the text.
+    The model is fitted on a bounded sample of every language among the rows that are not held out and
+    have a text and a language; a prediction sees nothing but the text.
     """
     out = held_out(id_col, parts)
     model = train(*training_sample(docs.where(~out), id_col, text_col, lang_col))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from bazaarflow.llm import language as L
 from tests.llm import edges
@@ -33,6 +34,23 @@ def test_held_out_accuracy_and_code_switching(spark, folder):
     assert (np.argmax(model.transitions, axis=1) == np.arange(len(model.labels))).all()
 
 
+def test_every_label_is_learned(spark):
+    """Seventy languages, the rare ones too, each with words of its own."""
+    random = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = [["".join(random.choice(letters, 6)) for _ in range(6)] for _ in range(70)]
+    rows = [(f"l{k:02}", " ".join(random.choice(vocabulary[k], 40))) for k in range(70) for _ in range(12 if k else 40)]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
+    texts, labels = L.training_sample(docs)
+    assert len(texts) == len(rows) and len(set(labels)) == 70
+    got = L.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len({r["lang_pred"] for r in got}) == 70 and len(held) > 100
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+    with pytest.raises(ValueError, match="more than 69 labels"):
+        L.training_sample(docs, languages=69)
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     rows = L.identify_languages(docs).collect()
