@@ -118,11 +118,13 @@ def _fit(doc: np.ndarray, bucket: np.ndarray, dense: np.ndarray, good: np.ndarra
 def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> DocumentModel | None:
     """The document classifier, from rows (id, text, good, kind); None where a class is missing.
 
-    The sample is bounded: of each kind, ``per_class`` rows of at most SAMPLE_CHARS characters,
-    chosen by a hash of the id.
+    The sample is bounded: of each kind, ``per_class`` rows chosen by a hash of the id, and of each
+    row a piece of at most SAMPLE_CHARS characters.
     """
-    short = labelled.where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.withColumn("r", F.row_number().over(
+    span = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64("id", F.lit(7)), span).cast("int") + 1
+    pieces = labelled.withColumn("text", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)))
+    sample = pieces.withColumn("r", F.row_number().over(
         W.partitionBy("kind").orderBy(F.xxhash64("id", F.lit(5)), "id", "text"))).where(F.col("r") <= per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +263,10 @@ def score_documents(
 
 
 def _labelled_sample(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """Texts of a bounded choice of labelled ids: twice SAMPLE_ROWS of each kind, lowest hash first."""
+    """Texts of a bounded choice of the labelled ids that have rows: twice SAMPLE_ROWS of each kind, lowest hash first."""
+    present = marked.join(rows.select("id"), "id", "left_semi")
     chosen = reduce(DataFrame.unionByName, [
-        marked.where(F.col("kind") == kind).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(2 * SAMPLE_ROWS)
+        present.where(F.col("kind") == kind).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(2 * SAMPLE_ROWS)
         for kind in KINDS])
     return rows.select("id", "text").join(F.broadcast(chosen.select("id", "good", "kind")), "id")
 

@@ -33,6 +33,18 @@ def test_sparse_sites_shrink(spark):
     assert all(0 < r["path_rate"] < 1 for r in rates.values())
 
 
+def test_sample_comes_from_the_documents(spark, monkeypatch):
+    """Far more labels than documents, and a class of long texts only."""
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", 10)
+    rows = [(i, "useful careful words about gardens" if i < 20 else "click spam offers now " * 3000, "s", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), ((F.col("id") < 20) | (F.col("id") % 2 == 0) & (F.col("id") >= 40)).cast("int").alias("quality"),
+        F.lit(0).alias("toxic"))
+    keep = {r["doc_id"]: r["keep"] for r in Q.score_documents(docs, labels).collect()}
+    assert all(keep[i] == (i < 20) for i in range(40))
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     rows = Q.score_documents(docs, edges.labels(spark)).collect()
