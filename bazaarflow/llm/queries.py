@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarflow.llm import (
     bpe, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise, substrings,
+    token_files,
 )
+from bazaarflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +136,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_tokens(spark, out, keep_ids=False).drop("ids")
