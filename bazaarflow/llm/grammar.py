@@ -15,8 +15,8 @@ import numpy as np
 
 from bazaarflow.llm.blobs import pack_arrays, unpack_arrays
 
-LEAST_COUNT = 16
-LEAST_GAIN = 0.04
+LEAST_COUNT = 8
+LEAST_GAIN = 0.001
 _BUCKET_BITS = 17
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarflow.llm import (
-    bpe, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise, substrings,
-    token_files,
+    bpe, conversations, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise,
+    substrings, token_files,
 )
 from bazaarflow.session import scratch_path
 
@@ -143,3 +143,70 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return token_files.read_tokens(spark, out, keep_ids=False).drop("ids")
+
+
+@query(r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS varchar), ' ') || ':' || coalesce(CAST(turn AS varchar), ' ') AS k
+  FROM conversations),
+bits AS (SELECT range AS byte, range AS c FROM range(256)),
+crc_steps(byte, c, n) AS (
+  SELECT byte, c, 0 FROM bits
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM crc_steps WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS t FROM crc_steps WHERE n = 8),
+hashed AS (
+  SELECT given.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(unicode(x) AS bigint))),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS fate
+  FROM given, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE fate <> 0),
+rows AS (
+  SELECT conv_id, turn, role, text, row_number() OVER o AS i, lag(left(role, 1)) OVER o AS before,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS times
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+faults AS (
+  SELECT *, left(role, 1) AS x, CASE WHEN core = '' THEN 'blank' WHEN times > 1 THEN 'duplicate'
+    WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM rows),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id),
+due(state, nxt, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserts AS (
+  SELECT state, state AS nxt, 0 AS cost, '' AS edits, '' AS put FROM due
+  UNION ALL SELECT state, nxt, 2, 'I', name || ':' || chr(10) FROM due
+  UNION ALL SELECT a.state, b.nxt, 4, 'II', a.name || ':' || chr(10) || b.name || ':' || chr(10) FROM due a JOIN due b ON b.state = a.nxt),
+edits AS (
+  SELECT conv_id, i, state, state AS nxt, 3 AS cost, 'D' AS edit, '' AS put FROM faults, due
+  UNION ALL SELECT conv_id, i, state, nxt, 2 + CAST(fault = 'truncated' AS integer), 'R', name || ':' || text || chr(10)
+    FROM faults, due WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, state, CASE x WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CAST(fault = 'truncated' AS integer), 'K',
+    role || ':' || text || chr(10) FROM faults, due
+    WHERE fault NOT IN ('blank', 'duplicate') AND ((x = 'u' AND nxt = 2) OR (x = 'a' AND nxt = 3) OR (x = 's' AND state = 0))),
+labels(conv_id, i, state, b) AS (
+  SELECT conv_id, 0, 0, {'cost': 0, 'audit': '', 'put': ''} FROM counted
+  UNION ALL
+  SELECT l.conv_id, l.i + 1, e.nxt, min({'cost': l.b.cost + s.cost + e.cost, 'audit': l.b.audit || s.edits || e.edit, 'put': l.b.put || s.put || e.put})
+  FROM labels l JOIN inserts s ON s.state = l.state
+    JOIN edits e ON e.conv_id IS NOT DISTINCT FROM l.conv_id AND e.i = l.i + 1 AND e.state = s.nxt
+  GROUP BY l.conv_id, l.i, e.nxt),
+best AS (
+  SELECT l.conv_id, min({'cost': l.b.cost + s.cost, 'audit': l.b.audit || s.edits, 'put': l.b.put || s.put}) AS b
+  FROM labels l JOIN counted c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.n = l.i JOIN inserts s ON s.state = l.state
+  WHERE s.nxt IN (0, 3) GROUP BY l.conv_id)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS bigint) AS cost,
+  coalesce(b.audit, '') AS audit, sha256(coalesce(CASE WHEN b.put = '' THEN '' ELSE left(b.put, length(b.put) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+  LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM g.conv_id
+""")
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
