@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarflow.llm import (
-    bpe, conversations, exact_dedup, language, nearest, ngram_join, packing, pitman_yor, quality, sanitise,
-    substrings, token_files,
+    bpe, conversations, exact_dedup, language, nearest, negatives, ngram_join, packing, pitman_yor, quality,
+    sanitise, substrings, token_files,
 )
 from bazaarflow.session import scratch_path
 
@@ -210,3 +210,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) g
 """)
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS bigint) AS score
+  FROM v a JOIN v b ON a.id <> b.id AND len(a.x) = len(b.x) WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS integer) AS rank, s.id AS negative_id, positive_score,
+  s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
