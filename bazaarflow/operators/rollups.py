@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarflow.operators.admin import revenue
+from bazaarflow.schemas import MONEY, NUMBER
 
 
 def _month(day: Column) -> Column:
@@ -18,16 +19,15 @@ def provider_rollup(bookings: DataFrame, month: str) -> DataFrame:
     """Per provider: jobs, completed jobs, earnings of ``month`` (yyyy-MM), rating and reviews.
 
     ``monthly_earnings`` sums completed prices by booking date; an unrated provider has rating 0.
-    Ratings of more than 14 digits before the point are left out of the mean.
     """
     in_month = F.when(_month(F.col("booking_date")) == month, F.col("price"))
-    stars = F.col("rating").try_cast("decimal(18,4)")
+    stars = F.col("rating").cast(NUMBER)
     return bookings.where(F.col("provider_id").isNotNull()).groupBy("provider_id").agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.count_if(F.col("status") == "completed").alias("completed_jobs"),
         revenue(in_month, F.col("status")).alias("monthly_earnings"),
         F.coalesce(F.round(F.sum(stars) / F.count(stars), 2), F.lit(0))
-        .cast("decimal(18,2)").alias("rating"),
+        .cast(MONEY).alias("rating"),
         F.count(stars).alias("reviews_count"),
     )
 

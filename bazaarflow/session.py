@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -120,3 +121,36 @@ def discard(spark: SparkSession, path: str) -> None:
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file the library wrote."""
+    system, target = _file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, target = _file_system(spark, path)
+    stream = system.create(target, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def rename_to_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file in one step; False, and nothing changed, where the target is there already."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        jvm.org.apache.hadoop.fs.Path(source).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(
+            jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
