@@ -1,11 +1,12 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-A word's restaurant is its context: the last two bytes of the word before it (nothing at the
-start of a text). Restaurants whose contexts end in the same byte share a parent, all of those share the
-unigram restaurant, and its base is uniform over the training vocabulary and one unknown word.
-Counts, tables and probabilities of a word depend on other words only through totals per
-restaurant, so words are dealt to buckets, every sweep seats all buckets in parallel, and the totals
-(a table of fixed size) are what sweeps exchange.
+A word's restaurant is the word before it (nothing at the start of a text), found by a hash of
+``CONTEXT_BITS``. Restaurants of words that end alike (the last two bytes, in 256 classes) share a
+parent, all classes share the unigram restaurant, and its base is uniform over the training vocabulary
+and one unknown word. Counts, tables and probabilities of a word depend on other words only through
+totals per restaurant, so words are dealt to buckets, every sweep seats all buckets in parallel, and
+the totals (a table of fixed size) are what sweeps exchange. A word with a large share of all tokens is
+dealt out by class, and what its parts must know of each other is among the totals.
 """
 
 from __future__ import annotations
@@ -21,22 +22,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.llm.blobs import pack_arrays, unpack_arrays
 from bazaarflow.llm.language import held_out
-from bazaarflow.llm.words import chunks, word_hashes, words_of
+from bazaarflow.llm.words import chunks, mix, word_hashes, words_of
 from bazaarflow.session import materialise
 
-DISCOUNTS = (0.6, 0.7, 0.8)  # unigram, last byte, last two bytes
-STRENGTHS = (1.0, 1.0, 1.0)
-BURN_IN = 1
+BURN_IN = 2
 SAMPLES = 3
-SALTS = 2
-FLUSH_BYTES = 1 << 23
-ONE_BY_ONE = 32
+FLUSH_BYTES = 1 << 24
+ONE_BY_ONE = 256
+CONTEXT_BITS = 20
+HOT_SHARE = 4  # a word is hot from 1 / (HOT_SHARE * buckets) of all tokens
+SLICES = 64
 END = np.uint64(0x454E444F46544558)
-_CONTEXTS = 1 << 16
+CLASSES = 256
+# Discounts and strengths that are tried, from the parents down: unigram, class, word.
+DISCOUNTS = (0.4, 0.55, 0.7, 0.85)
+STRENGTHS = (0.2, 2.0, 20.0, 200.0)
+
+
+class Params(NamedTuple):
+    """Discount and strength of the unigram, class and word restaurants."""
+
+    discounts: tuple[float, float, float] = (0.7, 0.7, 0.55)
+    strengths: tuple[float, float, float] = (20.0, 2.0, 0.2)
 
 
 class Totals(NamedTuple):
-    """Customers and tables of every restaurant, from all words."""
+    """Customers and tables of every restaurant, from all words, and what is known of each hot word."""
 
     c2: np.ndarray
     t2: np.ndarray
@@ -45,14 +56,13 @@ class Totals(NamedTuple):
     c0: int
     t0: int
     words: int  # V
-
-    @property
-    def tokens(self) -> int:
-        return int(self.c2.sum())
+    tokens: int
+    hot_c0: np.ndarray
+    hot_n: np.ndarray  # how often it occurs
 
 
 class Counts(NamedTuple):
-    """A bucket's words (sorted) and their counts by context, in order of word and context."""
+    """A bucket's words (sorted) and their training counts by context, in order of word and context."""
 
     words: np.ndarray
     of: np.ndarray  # the pair's word
@@ -60,14 +70,11 @@ class Counts(NamedTuple):
     count: np.ndarray
 
 
-_NO_COUNTS = Counts(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.uint16, np.int64)])
-
-
 class Seating(NamedTuple):
     t2: np.ndarray
     c1: np.ndarray
     t1: np.ndarray
-    c0: np.ndarray
+    c0: np.ndarray  # own tables of the classes in this bucket; all buckets' for a hot word
     t0: np.ndarray
 
 
@@ -79,25 +86,52 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     doc = np.repeat(np.arange(n), count + 1)
     first = np.concatenate([[0], np.cumsum(count + 1)])
     token = np.full(len(doc), END, np.uint64)
-    last = np.zeros(len(words.starts), np.uint16)
+    hashes = word_hashes(words)
+    last = np.zeros(len(words.starts), np.uint64)
     if len(last):
         last[:] = words.data[words.ends - 1]
         longer = words.ends - words.starts > 1
-        last[longer] |= words.data[words.ends[longer] - 2].astype(np.uint16) << np.uint16(8)
+        last[longer] |= words.data[words.ends[longer] - 2].astype(np.uint64) << np.uint64(8)
+    ending = mix(last + np.uint64(1)) & np.uint64(CLASSES - 1)
+    own = hashes >> np.uint64(64 - (CONTEXT_BITS - 8)) << np.uint64(8)
     is_word = np.ones(len(doc), bool)
     is_word[first[1:] - 1] = False
-    token[is_word] = word_hashes(words)
-    context = np.zeros(len(doc), np.uint16)
+    token[is_word] = hashes
+    context = np.zeros(len(doc), np.int32)
     after = np.flatnonzero(is_word) + 1
-    context[after] = last
+    context[after] = (own | ending).astype(np.int32)
     return token, context, doc, count + 1
 
 
-def _gather(docs: DataFrame, buckets: int) -> DataFrame:
+def _hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
+    """The words with at least 1 / (HOT_SHARE * buckets) of all tokens; at most twice as many come back.
+
+    A task reports the words that have half that share of what it has just read, so no word of that
+    share is missed.
+    """
+    least = 1 / (2 * HOT_SHARE * buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                token = _tokens(part.column(0))[0]
+                words, count = np.unique(token, return_counts=True)
+                some = count >= least * len(token)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.append(words[some], np.uint64(0)).view(np.int64)), pa.array(np.append(count[some], len(token)))],
+                    ["word", "n"])
+
+    seen = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.broadcast(seen.where("word = 0").select(F.col("n").alias("total")))  # one row
+    rows = seen.where("word <> 0").join(total).where(F.col("n") >= least * F.col("total")).select("word").collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+
+
+def _gather(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Counts of (word, context, document), packed by bucket for some documents at a time.
 
-    Rows are (part, bucket, blob) and, with bucket -1, the documents of the part: (part, place, doc_id,
-    held_out, n_tokens).
+    Rows are (bucket, part, blob). A negative bucket's blob has the documents of the part themselves:
+    doc_id and whether it is null, held_out and n_tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +143,15 @@ def _gather(docs: DataFrame, buckets: int) -> DataFrame:
                 held.append((part, _tokens(part.column(2))))
                 size += part.column(2).nbytes
                 if size >= FLUSH_BYTES:
-                    yield from _flush(held, task, buckets)
+                    yield from _flush(held, task, buckets, hot)
                     held, size, task = [], 0, task + 1
         if held:
-            yield from _flush(held, task, buckets)
+            yield from _flush(held, task, buckets, hot)
 
-    return docs.mapInArrow(run, (
-        "part long, bucket int, blob binary, place int, doc_id long, held_out boolean, n_tokens long"))
+    return docs.mapInArrow(run, "bucket int, part long, blob binary")
 
 
-def _flush(held: list[tuple], part: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _flush(held: list[tuple], part: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches([p for p, _ in held]).select([0, 1]).combine_chunks()
     n = rows.num_rows
     token = np.concatenate([t[0] for _, t in held])
@@ -126,110 +159,97 @@ def _flush(held: list[tuple], part: int, buckets: int) -> Iterator[pa.RecordBatc
     base = np.cumsum([0, *[p.num_rows for p, _ in held[:-1]]])
     doc = np.concatenate([t[2] + b for b, (_, t) in zip(base, held)])
     tokens = np.concatenate([t[3] for _, t in held])
-    out_of = rows.column(1).to_numpy()
-    bucket = (token % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+    flags = rows.column(1).to_numpy().astype(np.uint8)
+    spread = np.where(_find(hot, token) >= 0, (context & (CLASSES - 1)).astype(np.uint64), np.uint64(0))
+    bucket = ((token % np.uint64(buckets) + spread) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((context, token, bucket))  # stable: documents stay in order
     token, context, doc, bucket = token[order], context[order], doc[order], bucket[order]
-    new_pair = np.ones(len(token), bool)
-    new_pair[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
+    new_word = np.ones(len(token), bool)
+    new_word[1:] = (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1])
+    new_pair = new_word.copy()
+    new_pair[1:] |= context[1:] != context[:-1]
     new = new_pair.copy()
     new[1:] |= doc[1:] != doc[:-1]
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(token)))
-    new_word = np.ones(len(token), bool)
-    new_word[1:] = token[1:] != token[:-1]
     cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
-    flags = out_of.astype(np.uint8)
     numbers, blobs = [], []
     for b in range(buckets):
         a = at[cuts[b]:cuts[b + 1]]
         if not a.size:
             continue
-        words = token[a[new_word[a]]]
         pairs = a[new_pair[a]]
         per_word = np.diff(np.append(np.flatnonzero(new_word[pairs]), len(pairs)))
         per_pair = np.diff(np.append(np.flatnonzero(new_pair[a]), len(a)))
         blobs.append(pack_arrays(
-            np.diff(words, prepend=np.uint64(0)), per_word.astype(np.int32), context[pairs], per_pair.astype(np.int32),
-            doc[a].astype(np.uint16 if n < 1 << 16 else np.int32), times[cuts[b]:cuts[b + 1]].astype(np.int32), flags))
+            np.diff(token[a[new_word[a]]], prepend=np.uint64(0)), per_word.astype(np.int32), _steps(context[pairs]),
+            per_pair.astype(np.int32), doc[a].astype(np.uint16 if n < 1 << 16 else np.int32),
+            times[cuts[b]:cuts[b + 1]].astype(np.int32), flags))
         numbers.append(b)
-    k = len(numbers)
-    yield pa.RecordBatch.from_arrays([
-        pa.array([part] * k, pa.int64()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary()),
-        pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64())], _GATHERED)
-    yield pa.RecordBatch.from_arrays([
-        pa.array([part] * n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()),
-        pa.array(range(n), pa.int32()), rows.column(0).combine_chunks(), rows.column(1).combine_chunks(),
-        pa.array(tokens, pa.int64())], _GATHERED)
+    ids = rows.column(0).combine_chunks()
+    numbers.append(-1 - part % buckets)
+    blobs.append(pack_arrays(
+        ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
+        flags, tokens.astype(np.int64)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(numbers, pa.int32()), pa.array([part] * len(numbers), pa.int64()), pa.array(blobs, pa.binary())],
+        ["bucket", "part", "blob"])
 
 
-_GATHERED = ["part", "bucket", "blob", "place", "doc_id", "held_out", "n_tokens"]
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=np.int32(0)).astype(np.int32)
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     """Words; each pair's word, context and entries; each entry's document and times; the documents' flags."""
     steps, per_word, context, per_pair, doc, times, flags = unpack_arrays(blob)
     words = np.cumsum(steps, dtype=np.uint64)
+    context = np.cumsum(context, dtype=np.int32)
     return words, np.repeat(np.arange(len(words)), per_word), context, per_pair, doc.astype(np.int64), times, flags
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Counts:
     """Add up (word, context, count) lists."""
     token, context, count = map(np.concatenate, zip(*parts))
-    order = np.lexsort((context, token))
-    token, context, count = token[order], context[order], count[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(count, at) if at.size else count
-    words, of = np.unique(token[at], return_inverse=True)
-    return Counts(words, of, context[at], count)
+    words, of = np.unique(token, return_inverse=True)
+    key, at = np.unique(of << CONTEXT_BITS | context, return_inverse=True)
+    total = np.bincount(at, count, len(key)).astype(np.int64)
+    return Counts(words, key >> CONTEXT_BITS, (key & ((1 << CONTEXT_BITS) - 1)).astype(np.int32), total)
 
 
 def _pack_counts(c: Counts) -> bytes:
     per_word = np.bincount(c.of, minlength=len(c.words)).astype(np.int32)
-    return pack_arrays(np.diff(c.words, prepend=np.uint64(0)), per_word, c.context, c.count.astype(np.int64))
+    return pack_arrays(np.diff(c.words, prepend=np.uint64(0)), per_word, _steps(c.context), c.count.astype(np.int64))
 
 
 def _unpack_counts(blob: bytes) -> Counts:
     steps, per_word, context, count = unpack_arrays(blob)
-    return Counts(np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(per_word)), per_word), context, count)
-
-
-def _training_counts(gathered: DataFrame) -> DataFrame:
-    """(bucket, counts) of the documents that are not held out; tasks add up before the shuffle."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
-        size = 0
-
-        def flush():
-            merged = {b: _merge(parts) for b, parts in waiting.items()}
-            return pa.RecordBatch.from_arrays([
-                pa.array(merged.keys(), pa.int32()), pa.array(map(_pack_counts, merged.values()), pa.binary())],
-                ["bucket", "counts"])
-
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words, of, context, per_pair, doc, times, flags = _entries(blob.as_py())
-                pair = np.repeat(np.arange(len(of)), per_pair)
-                count = np.bincount(pair, times * (flags[doc] == 0), len(of)).astype(np.int64)
-                seen = count > 0
-                waiting.setdefault(bucket, []).append((words[of[seen]], context[seen], count[seen]))
-                size += int(seen.sum())
-                if size > 4_000_000:
-                    yield flush()
-                    waiting, size = {}, 0
-        if waiting:
-            yield flush()
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack_counts(b) for b in frame["counts"]]
-        total = _merge([(p.words[p.of], p.context, p.count) for p in parts])
-        return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "counts": [_pack_counts(total)]})
-
-    packed = gathered.where("bucket >= 0").select("bucket", "blob").mapInArrow(local, "bucket int, counts binary")
-    return packed.groupBy("bucket").applyInPandas(add, "bucket int, counts binary")
+    return Counts(np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(per_word)), per_word),
+                  np.cumsum(context, dtype=np.int32), count)
+
+
+def _collected(frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's parts as one row: its pairs with their training counts, and each part's entries by pair."""
+    if frame["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"bucket": frame["bucket"], "counts": None, "parts": [[p] for p in frame["part"]],
+                             "entries": [[b] for b in frame["blob"]]})
+    frame = frame.sort_values("part")
+    lists, rest = [], []
+    for blob in frame["blob"]:
+        words, of, context, per_pair, doc, times, flags = _entries(blob)
+        pair = np.repeat(np.arange(len(of)), per_pair)
+        lists.append((words[of], context, np.bincount(pair, times * (flags[doc] == 0), len(of))))
+        rest.append((per_pair, doc, times, len(flags)))
+    merged = _merge(lists)
+    key = merged.of << CONTEXT_BITS | merged.context
+    entries = []
+    for (token, context, _), (per_pair, doc, times, n) in zip(lists, rest):
+        place = np.searchsorted(key, np.searchsorted(merged.words, token) << CONTEXT_BITS | context)
+        entries.append(pack_arrays(
+            np.diff(place, prepend=0).astype(np.int32), per_pair, doc.astype(np.uint16 if n < 1 << 16 else np.int32),
+            times, np.array([n], np.int64)))
+    return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "counts": [_pack_counts(merged)],
+                         "parts": [frame["part"].tolist()], "entries": [entries]})
 
 
 def seat(count: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
@@ -258,105 +278,169 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, random: np.rand
 class Bucket:
     """The words of one bucket in all restaurants."""
 
-    def __init__(self, counts: Counts):
-        self.counts = counts
-        key = counts.of * 256 + (counts.context & np.uint16(255))
-        middle, self.up = np.unique(key, return_inverse=True)
-        self.middle_of, self.last = middle // 256, middle % 256
-        self.middle = middle
+    def __init__(self, counts: Counts, number: int, buckets: int, hot: np.ndarray, params: Params = Params()):
+        self.counts, self.number, self.params = counts, number, params
+        key = counts.of * CLASSES + (counts.context & (CLASSES - 1))
+        self.middle, self.up = np.unique(key, return_inverse=True)
+        self.middle_of, self.last = self.middle // CLASSES, self.middle % CLASSES
         self.total = np.bincount(counts.of, counts.count, len(counts.words)).astype(np.int64)
+        self.hot = _find(hot, counts.words)
+        self.is_hot, self.hots = self.hot >= 0, len(hot)
+        # A hot word is in many buckets; one of them speaks for it.
+        self.speaks = ~self.is_hot | (counts.words % np.uint64(buckets) == np.uint64(number))
 
     def start(self) -> Seating:
-        return self._seating(np.ones(len(self.counts.of), np.int64), np.ones(len(self.middle), np.int64),
-                             np.ones(len(self.counts.words), np.int64))
+        return self._seating((self.counts.count > 0).astype(np.int64), None, None, None)
 
-    def _seating(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> Seating:
-        return Seating(t2, np.bincount(self.up, t2, len(self.middle)).astype(np.int64), t1,
-                       np.bincount(self.middle_of, t1, len(t0)).astype(np.int64), t0)
+    def _seating(self, t2: np.ndarray, t1: np.ndarray | None, all_: Totals | None, t0: np.ndarray | None) -> Seating:
+        c1 = np.bincount(self.up, t2, len(self.middle)).astype(np.int64)
+        t1 = (c1 > 0).astype(np.int64) if t1 is None else t1
+        own = np.bincount(self.middle_of, t1, len(self.total)).astype(np.int64)
+        c0 = own if all_ is None else np.where(self.is_hot, all_.hot_c0[np.maximum(self.hot, 0)], own) \
+            if self.hots else own
+        return Seating(t2, c1, t1, c0, (c0 > 0).astype(np.int64) if t0 is None else t0)
 
     def totals(self, s: Seating) -> Totals:
         add = lambda at, value, n: np.bincount(at, value, n).astype(np.int64)
         context = self.counts.context
+        own = add(self.middle_of, s.t1, len(self.total))
+        here = np.flatnonzero(self.is_hot)
+        # Of a hot word the bucket that speaks for it gives the tables, all others only what they add.
         return Totals(
-            add(context, self.counts.count, _CONTEXTS), add(context, s.t2, _CONTEXTS),
-            add(self.last, s.c1, 256), add(self.last, s.t1, 256),
-            int(s.c0.sum()), int(s.t0.sum()), len(self.counts.words))
+            add(context, self.counts.count, 1 << CONTEXT_BITS), add(context, s.t2, 1 << CONTEXT_BITS),
+            add(self.last, s.c1, CLASSES), add(self.last, s.t1, CLASSES), int(own.sum()),
+            int(s.t0[self.speaks].sum()), 0, int(self.counts.count.sum()),
+            add(self.hot[here], own[here], self.hots), add(self.hot[here], self.total[here], self.hots),
+        )._replace(words=int((self.total[~self.is_hot] > 0).sum()))
 
-    def sweep(self, s: Seating, all_: Totals, random: np.random.Generator) -> Seating:
+    def sweep(self, s: Seating, all_: Totals, turn: int) -> Seating:
         """Each word's customers leave a restaurant and are seated anew, from the leaves to the root."""
-        p0 = unigram(s.c0, s.t0, all_)
+        random = np.random.default_rng((self.number, turn, 20060717))
+        (d0, d1, d2), (b0, b1, b2) = self.params
+        c0 = np.where(self.is_hot, all_.hot_c0[np.maximum(self.hot, 0)], s.c0) if self.hots else s.c0
+        p0 = unigram(c0, s.t0, all_, self.params)
         rest = s.c1[self.up] - s.t2  # the parent without this restaurant's customers
-        p1 = lower(1, rest, np.minimum(s.t1[self.up], rest), all_.c1, all_.t1, self.last[self.up],
-                   p0[self.middle_of[self.up]])
-        d, b = DISCOUNTS[2], STRENGTHS[2]
-        t2 = seat(self.counts.count, (b + d * all_.t2[self.counts.context]) * p1, d, random)
+        p1 = lower(rest, np.minimum(s.t1[self.up], rest), all_.c1, all_.t1, self.last[self.up],
+                   p0[self.middle_of[self.up]], d1, b1)
+        t2 = seat(self.counts.count, (b2 + d2 * all_.t2[self.counts.context]) * p1, d2, random)
         c1 = np.bincount(self.up, t2, len(self.middle)).astype(np.int64)
-        rest = s.c0[self.middle_of] - s.t1
-        p0 = unigram(rest, np.minimum(s.t0[self.middle_of], rest), all_)
-        t1 = seat(c1, (STRENGTHS[1] + DISCOUNTS[1] * all_.t1[self.last]) * p0, DISCOUNTS[1], random)
-        c0 = np.bincount(self.middle_of, t1, len(s.t0)).astype(np.int64)
-        base = (STRENGTHS[0] + DISCOUNTS[0] * all_.t0) / (all_.words + 1)
-        t0 = seat(c0, np.full(len(c0), base), DISCOUNTS[0], random)
-        return self._seating(t2, t1, t0)
-
-    def probability(
-        self, s: Seating, all_: Totals, word: np.ndarray, pair: np.ndarray, middle: np.ndarray, context: np.ndarray,
-    ) -> np.ndarray:
-        """The predictive probability of words in contexts; -1 stands for unseen."""
-        def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return np.where(at >= 0, values[np.maximum(at, 0)], 0) if len(values) else np.zeros(len(at))
-
-        p0 = unigram(pick(s.c0, word), pick(s.t0, word), all_)
-        p1 = lower(1, pick(s.c1, middle), pick(s.t1, middle), all_.c1, all_.t1, context & np.uint16(255), p0)
-        return lower(2, pick(self.counts.count, pair), pick(s.t2, pair), all_.c2, all_.t2, context, p1)
-
-
-def unigram(c: np.ndarray, t: np.ndarray, all_: Totals) -> np.ndarray:
-    d, b = DISCOUNTS[0], STRENGTHS[0]
+        rest = np.maximum(c0[self.middle_of] - s.t1, 0)
+        p0 = unigram(rest, np.minimum(s.t0[self.middle_of], rest), all_, self.params)
+        t1 = seat(c1, (b1 + d1 * all_.t1[self.last]) * p0, d1, random)
+        own = np.bincount(self.middle_of, t1, len(s.t0)).astype(np.int64)
+        c0 = np.where(self.is_hot, c0, own)
+        base = (b0 + d0 * all_.t0) / (all_.words + 1)
+        t0 = seat(c0, np.full(len(c0), base), d0, random)
+        if self.is_hot.any():  # every bucket draws the same for a hot word
+            alike = np.random.default_rng((turn, 20060718))
+            every = seat(all_.hot_c0, np.full(self.hots, base), d0, alike)
+            t0[self.is_hot] = every[self.hot[self.is_hot]]
+        return Seating(t2, c1, t1, c0, t0)
+
+    def probability(self, s: Seating, all_: Totals) -> np.ndarray:
+        """The predictive probability of every pair's word in its context; of words not learned, the unknown word's."""
+        (_, d1, d2), (_, b1, b2) = self.params
+        p0 = unigram(s.c0, s.t0, all_, self.params)
+        p1 = lower(s.c1, s.t1, all_.c1, all_.t1, self.last, p0[self.middle_of], d1, b1)
+        return lower(self.counts.count, s.t2, all_.c2, all_.t2, self.counts.context, p1[self.up], d2, b2)
+
+    def fit(self, all_: Totals) -> np.ndarray:
+        """Log likelihood of every token when it alone is taken away, by level, discount and strength."""
+        s = self.start()
+        c0 = np.where(self.is_hot, all_.hot_c0[np.maximum(self.hot, 0)], s.c0) if self.hots else s.c0
+        out = np.zeros((3, len(DISCOUNTS), len(STRENGTHS)))
+        uniform = np.full(len(c0), 1 / (all_.words + 1))
+        p0 = unigram(np.maximum(c0 - 1, 0), (c0 > 1).astype(int), all_, self.params)
+        p1 = lower(np.maximum(s.c1 - 1, 0), (s.c1 > 1).astype(int), all_.c1, all_.t1, self.last, p0[self.middle_of],
+                   self.params.discounts[1], self.params.strengths[1])
+        levels = (
+            (c0[self.speaks], np.full(1, all_.c0), np.full(1, all_.t0), np.zeros(int(self.speaks.sum()), int), uniform[self.speaks]),
+            (s.c1, all_.c1, all_.t1, self.last, p0[self.middle_of]),
+            (self.counts.count, all_.c2, all_.t2, self.counts.context, p1[self.up]))
+        for level, (count, customers, tables, at, parent) in enumerate(levels):
+            some = count > 0
+            count, at, parent = count[some], at[some], parent[some]
+            alone = count == 1
+            for i, d in enumerate(DISCOUNTS):
+                for j, b in enumerate(STRENGTHS):
+                    p = (np.where(alone, 0, count - 1 - d) + (b + d * (tables[at] - alone)) * parent) / (b + customers[at] - 1)
+                    out[level, i, j] = (count * np.log(p)).sum()
+        return out
+
+
+def unigram(c: np.ndarray, t: np.ndarray, all_: Totals, params: Params) -> np.ndarray:
+    d, b = params.discounts[0], params.strengths[0]
     return (c - d * t + (b + d * all_.t0) / (all_.words + 1)) / (b + all_.c0)
 
 
 def lower(
-    level: int, c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, at: np.ndarray,
-    parent: np.ndarray,
+    c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, at: np.ndarray, parent: np.ndarray,
+    d: float, b: float,
 ) -> np.ndarray:
     """The probability in restaurant ``at`` of a dish with c customers at t tables."""
-    d, b = DISCOUNTS[level], STRENGTHS[level]
     return (c - d * t + (b + d * tables[at]) * parent) / (b + customers[at])
 
 
-def _seatings(bucket: Bucket, number: int, history: list[Totals]) -> list[Seating]:
-    """The seating after each sweep; drawn again from the same seeds whenever it is needed."""
-    found = [bucket.start()]
-    for turn, totals in enumerate(history):
-        found.append(bucket.sweep(found[-1], totals, np.random.default_rng((number, turn, 20060717))))
-    return found
+class Model:
+    """What every task is told: fixed in size, but for the number of hot words, which the buckets bound."""
+
+    def __init__(self, buckets: int, hot: np.ndarray):
+        self.buckets, self.hot, self.params = buckets, hot, Params()
+        self.history: list[bytes] = []
+
+    def bucket(self, counts: bytes, number: int) -> Bucket:
+        return Bucket(_unpack_counts(counts), number, self.buckets, self.hot, self.params)
 
+    def seatings(self, bucket: Bucket) -> Iterator[tuple[Seating, Totals]]:
+        """The seating after each sweep, with its totals; drawn again from the same seeds whenever it is needed."""
+        seating = bucket.start()
+        for turn, packed in enumerate(self.history):
+            totals = _unpack_totals(packed)
+            yield seating, totals
+            seating = bucket.sweep(seating, totals, turn)
+        yield seating, None
 
-def _next_totals(counts: DataFrame, history: list[Totals]) -> Totals:
-    """The totals after one more sweep; they are added up in groups, so 64 rows reach the driver."""
-    shared = counts.sparkSession.sparkContext.broadcast(history)  # fixed size per sweep
+
+def _add_up(table: DataFrame, model: Model) -> Totals:
+    """The totals after one more sweep; every task adds up its own buckets, and slices of the sums are added up."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bucket = Bucket(_unpack_counts(blob.as_py()))
-                own = bucket.totals(_seatings(bucket, number, shared.value)[-1])
+                bucket = shared.value.bucket(blob.as_py(), number)
+                *_, (seating, _) = shared.value.seatings(bucket)
+                own = bucket.totals(seating)
                 total = own if total is None else _sum([total, own])
         if total is not None:
             yield pa.RecordBatch.from_arrays([
-                pa.array([TaskContext.get().partitionId() % 64], pa.int32()),
-                pa.array([_pack_totals(total)], pa.binary())], ["place", "totals"])
+                pa.array(range(SLICES), pa.int32()), pa.array([_pack_totals(_cut(total, k)) for k in range(SLICES)])],
+                ["slice", "totals"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = _sum([_unpack_totals(b) for b in frame["totals"]])
-        return pd.DataFrame({"place": [int(frame["place"].iloc[0])], "totals": [_pack_totals(total)]})
+        return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "totals": [_pack_totals(total)]})
+
+    kind = "slice int, totals binary"
+    rows = table.select("bucket", "counts").mapInArrow(run, kind).groupBy("slice").applyInPandas(add, kind).collect()
+    parts = [_unpack_totals(r["totals"]) for r in sorted(rows, key=lambda r: r["slice"])]
+    if not parts:
+        wide = np.zeros(1 << CONTEXT_BITS, np.int64)
+        return Totals(wide, wide, wide[:CLASSES], wide[:CLASSES], 0, 0, 0, 0, wide[:0], wide[:0])
+    total = Totals(np.concatenate([p.c2 for p in parts]), np.concatenate([p.t2 for p in parts]), *parts[0][2:])
+    return total._replace(words=total.words + int((total.hot_n > 0).sum())) if model.history == [] else \
+        total._replace(words=_unpack_totals(model.history[0]).words)
+
 
-    kind = "place int, totals binary"
-    rows = counts.mapInArrow(run, kind).groupBy("place").applyInPandas(add, kind).collect()
-    zero = Totals(*[np.zeros(n, np.int64) for n in (_CONTEXTS, _CONTEXTS, 256, 256)], 0, 0, 0)
-    return _sum([zero, *[_unpack_totals(r["totals"]) for r in rows]])
+def _cut(t: Totals, k: int) -> Totals:
+    """A slice of the wide tables; the first one has the rest."""
+    size = (1 << CONTEXT_BITS) // SLICES
+    wide = [a[k * size:(k + 1) * size] for a in (t.c2, t.t2)]
+    if k == 0:
+        return Totals(*wide, *t[2:])
+    none = np.zeros(0, np.int64)
+    return Totals(*wide, none, none, 0, 0, 0, 0, none, none)
 
 
 def _sum(parts: list[Totals]) -> Totals:
@@ -364,12 +448,35 @@ def _sum(parts: list[Totals]) -> Totals:
 
 
 def _pack_totals(t: Totals) -> bytes:
-    return pack_arrays(t.c2, t.t2, t.c1, t.t1, np.array([t.c0, t.t0, t.words], np.int64))
+    return pack_arrays(t.c2, t.t2, t.c1, t.t1, t.hot_c0, t.hot_n, np.array([t.c0, t.t0, t.words, t.tokens], np.int64))
 
 
 def _unpack_totals(blob: bytes) -> Totals:
-    *tables, rest = unpack_arrays(blob)
-    return Totals(*tables, *rest.tolist())
+    c2, t2, c1, t1, hot_c0, hot_n, rest = unpack_arrays(blob)
+    return Totals(c2, t2, c1, t1, *rest.tolist(), hot_c0, hot_n)
+
+
+def _fitted(table: DataFrame, model: Model) -> Params:
+    """The discount and strength of each level under which tokens, each left out in turn, are likeliest."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = _unpack_totals(shared.value.history[0])
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shared.value.bucket(blob.as_py(), number).fit(totals)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(found.size), pa.int32()), pa.array(found.ravel())], ["choice", "likelihood"])
+
+    rows = table.select("bucket", "counts").mapInArrow(run, "choice int, likelihood double").groupBy("choice").agg(
+        F.sum("likelihood").alias("likelihood")).collect()  # one row per choice
+    if not rows:
+        return model.params
+    found = np.zeros(3 * len(DISCOUNTS) * len(STRENGTHS))
+    for r in rows:
+        found[r["choice"]] = r["likelihood"]
+    best = found.reshape(3, -1).argmax(axis=1)
+    return Params(tuple(DISCOUNTS[i // len(STRENGTHS)] for i in best), tuple(STRENGTHS[i % len(STRENGTHS)] for i in best))
 
 
 def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -379,25 +486,21 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == wanted, at, -1)
 
 
-def _score_blobs(
-    bucket: Bucket, seatings: list[tuple[Seating, Totals]], totals: Totals, blobs: list[bytes],
+def _score_parts(
+    bucket: Bucket, seatings: list[tuple[Seating, Totals]], totals: Totals, entries: list[bytes],
 ) -> Iterator[bytes]:
-    """Per blob: score, base score and known tokens of its part's documents, from this bucket's words."""
-    c = bucket.counts
-    pair_key = c.of * _CONTEXTS + c.context
+    """Per part: score, base score and known tokens of its documents, from this bucket's words."""
+    mean = sum(bucket.probability(s, t) for s, t in seatings) / len(seatings)
+    count = np.where(bucket.is_hot, totals.hot_n[np.maximum(bucket.hot, 0)], bucket.total) if bucket.hots else bucket.total
     floor = totals.tokens + 0.1 * (totals.words + 1)
-    for blob in blobs:
-        words, of, context, per_pair, doc, times, flags = _entries(blob)
-        word = _find(c.words, words)[of]
-        known = word >= 0
-        pair = np.where(known, _find(pair_key, word * _CONTEXTS + context), -1)
-        middle = np.where(known, _find(bucket.middle, word * 256 + (context & np.uint16(255))), -1)
-        mean = sum(bucket.probability(s, t, word, pair, middle, context) for s, t in seatings) / len(seatings)
-        count = np.where(known, bucket.total[np.maximum(word, 0)], 0) if len(bucket.total) else np.zeros(len(word))
-        entry = np.repeat(np.arange(len(of)), per_pair)
-        add = lambda value: np.bincount(doc, value[entry] * times, len(flags))
-        sums = [add(np.log10(mean)), add(np.log10((count + 0.1) / floor)), add((count > 0).astype(float))]
-        some = np.flatnonzero(np.bincount(doc, minlength=len(flags)))
+    of = bucket.counts.of
+    values = (np.log10(mean), np.log10((count + 0.1) / floor)[of], (count > 0).astype(float)[of])
+    for blob in entries:
+        place, per_pair, doc, times, n = unpack_arrays(blob)
+        pair = np.repeat(np.cumsum(place), per_pair)
+        doc = doc.astype(np.int64)
+        sums = [np.bincount(doc, value[pair] * times, int(n[0])) for value in values]
+        some = np.flatnonzero(np.bincount(doc, minlength=int(n[0])))
         yield pack_arrays(
             some.astype(np.int32), *[s[some].view(np.int64) for s in sums[:2]], sums[2][some].astype(np.int32), level=1)
 
@@ -411,53 +514,53 @@ def score_texts(
     The model learns from the rows that are not held out (``language.held_out``). Texts are
     lower-cased (A-Z), cut into words and closed by an end token. ``score`` is the log10
     probability of the text under the predictive probabilities averaged over ``samples`` Gibbs
-    sweeps; ``base_score`` that of an add-0.1 unigram model. Null and empty texts are the end token
-    alone. Ids may be null or repeated; rows are scored one by one; other columns are ignored;
-    without training rows every word has probability one in the base; an empty table gives no rows.
+    sweeps; ``base_score`` that of an add-0.1 unigram model. Discounts and strengths are those under which
+    the training tokens, each left out in turn, are likeliest. Null and empty texts are the end token
+    alone; a text of any length is scored whole. Ids may be null or repeated; rows are scored one by
+    one; other columns are ignored; without training rows every word has probability one in the
+    base; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, parts).alias("held_out"),
         F.col(text_col).alias("text"))
-    gathered = materialise(_gather(source, buckets), "lm-gathered")
-    counts = materialise(_training_counts(gathered), "lm-counts")
-    history: list[Totals] = [_next_totals(counts, [])]
+    model = Model(buckets, _hot_words(source, buckets))
+    table = materialise(_gather(source, buckets, model.hot).groupBy("bucket").applyInPandas(
+        _collected, "bucket int, counts binary, parts array<long>, entries array<binary>"), "lm-buckets")
+    counted = table.where("bucket >= 0")
+    model.history.append(_pack_totals(_add_up(counted, model)))
+    model.params = _fitted(counted, model)
     for _ in range(burn_in + samples):
-        history.append(_next_totals(counts, history))
-    totals = history[-1]
-    shared = spark.sparkContext.broadcast(history)
-
-    def score(key, model: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        number, _ = key
-        parts_of, blobs = rows["part"].tolist(), rows["blob"].tolist()
-        if not blobs:
-            return pd.DataFrame({"part": [], "sums": []})
-        bucket = Bucket(_unpack_counts(model["counts"].iloc[0]) if len(model) else _NO_COUNTS)
-        drawn = _seatings(bucket, number, shared.value[:-1])
-        used = list(zip(drawn, shared.value))[1 + burn_in:]
-        return pd.DataFrame({"part": parts_of, "sums": list(_score_blobs(bucket, used, totals, blobs))})
-
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    entries = gathered.where("bucket >= 0").select(
-        "part", "bucket", "blob", F.pmod("part", F.lit(SALTS)).cast("int").alias("salt"))
-    sums = salted.groupBy("bucket", "salt").cogroup(entries.groupBy("bucket", "salt")).applyInPandas(
-        score, "part long, sums binary")
+        model.history.append(_pack_totals(_add_up(counted, model)))
+    totals = _unpack_totals(model.history[-1])
+    shared = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, counts, part, entries in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                bucket = shared.value.bucket(counts, number)
+                drawn = [x for x in shared.value.seatings(bucket) if x[1] is not None][1 + burn_in:]
+                last = _unpack_totals(shared.value.history[-1])
+                for at, sums in zip(part, _score_parts(bucket, drawn, last, entries)):
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sums])], ["part", "sums"])
+
+    sums = counted.select("bucket", "counts", "parts", "entries").mapInArrow(score, "part long, sums binary")
 
     def collect(key, rows: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        out = [np.zeros(len(rows)) for _ in range(3)]
+        ids, absent, flags, tokens = unpack_arrays(rows["blob"].iloc[0])
+        out = [np.zeros(len(ids)) for _ in range(3)]
         for blob in blobs["sums"]:
             place, total, base, known = unpack_arrays(blob)
             out[0][place] += total.view(np.float64)
             out[1][place] += base.view(np.float64)
             out[2][place] += known
         return pd.DataFrame({
-            "doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"].astype(bool),
-            "n_tokens": rows["n_tokens"].astype(np.int64), "n_known": out[2].astype(np.int64),
-            "base_score": out[1], "score": out[0]})
+            "doc_id": pd.array(ids, "Int64").copy() if not absent.any() else pd.Series(
+                pd.array(ids.tolist(), "Int64")).mask(absent.astype(bool)), "held_out": flags.astype(bool),
+            "n_tokens": tokens, "n_known": out[2].astype(np.int64), "base_score": out[1], "score": out[0]})
 
-    listed = gathered.where("bucket = -1").select("part", "place", "doc_id", "held_out", "n_tokens")
+    listed = table.where("bucket < 0").select(F.col("parts")[0].alias("part"), F.col("entries")[0].alias("blob"))
     scored = listed.groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(
         collect, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
