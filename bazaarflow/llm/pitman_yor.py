@@ -224,7 +224,7 @@ def _pack_counts(c: Counts) -> bytes:
 
 def _unpack_counts(blob: bytes) -> Counts:
     steps, per_word, context, count = unpack_arrays(blob)
-    return Counts(np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(per_word)), per_word),
+    return Counts(np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(per_word), dtype=np.int32), per_word),
                   np.cumsum(context, dtype=np.int32), count)
 
 
@@ -280,8 +280,9 @@ class Bucket:
 
     def __init__(self, counts: Counts, number: int, buckets: int, hot: np.ndarray, params: Params = Params()):
         self.counts, self.number, self.params = counts, number, params
-        key = counts.of * CLASSES + (counts.context & (CLASSES - 1))
-        self.middle, self.up = np.unique(key, return_inverse=True)
+        key = counts.of.astype(np.int64) * CLASSES + (counts.context & (CLASSES - 1))
+        self.middle, up = np.unique(key, return_inverse=True)
+        self.up = up.astype(np.int32)
         self.middle_of, self.last = self.middle // CLASSES, self.middle % CLASSES
         self.total = np.bincount(counts.of, counts.count, len(counts.words)).astype(np.int64)
         self.hot = _find(hot, counts.words)
@@ -410,7 +411,8 @@ def _add_up(table: DataFrame, model: Model) -> Totals:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 bucket = shared.value.bucket(blob.as_py(), number)
-                *_, (seating, _) = shared.value.seatings(bucket)
+                for seating, _ in shared.value.seatings(bucket):
+                    pass
                 own = bucket.totals(seating)
                 total = own if total is None else _sum([total, own])
         if total is not None:
@@ -486,11 +488,8 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == wanted, at, -1)
 
 
-def _score_parts(
-    bucket: Bucket, seatings: list[tuple[Seating, Totals]], totals: Totals, entries: list[bytes],
-) -> Iterator[bytes]:
+def _score_parts(bucket: Bucket, mean: np.ndarray, totals: Totals, entries: Iterator[bytes]) -> Iterator[bytes]:
     """Per part: score, base score and known tokens of its documents, from this bucket's words."""
-    mean = sum(bucket.probability(s, t) for s, t in seatings) / len(seatings)
     count = np.where(bucket.is_hot, totals.hot_n[np.maximum(bucket.hot, 0)], bucket.total) if bucket.hots else bucket.total
     floor = totals.tokens + 0.1 * (totals.words + 1)
     of = bucket.counts.of
@@ -537,13 +536,18 @@ def score_texts(
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _unpack_totals(shared.value.history[-1])
         for batch in batches:
-            for number, counts, part, entries in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                bucket = shared.value.bucket(counts, number)
-                drawn = [x for x in shared.value.seatings(bucket) if x[1] is not None][1 + burn_in:]
-                last = _unpack_totals(shared.value.history[-1])
-                for at, sums in zip(part, _score_parts(bucket, drawn, last, entries)):
-                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sums])], ["part", "sums"])
+            for row in range(batch.num_rows):  # one bucket's entries at a time
+                number, counts, part, entries = (batch.column(i)[row] for i in range(4))
+                bucket = shared.value.bucket(counts.as_py(), number.as_py())
+                mean = np.zeros(len(bucket.counts.of))
+                for turn, (seating, totals) in enumerate(shared.value.seatings(bucket)):
+                    if totals is not None and turn > burn_in:
+                        mean += bucket.probability(seating, totals) / samples
+                for at, sums in zip(part, _score_parts(bucket, mean, last, (e.as_py() for e in entries))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at.as_py()]), pa.array([sums])], ["part", "sums"])
 
     sums = counted.select("bucket", "counts", "parts", "entries").mapInArrow(score, "part long, sums binary")
 
