@@ -19,10 +19,10 @@ def _folders(t, name):
     return f"{base}/out", f"{base}/checkpoint"
 
 
-def _accepted_and_rejected(t):
+def _accepted_and_rejected(t, requests="booking_requests"):
     out, checkpoint = _folders(t, "requests")
     folds.accept_requests(
-        t.stream("booking_requests"), t("providers_core"), t("profiles"), out, checkpoint, once=True,
+        t.stream(requests), t("providers_core"), t("profiles"), out, checkpoint, once=True,
     ).awaitTermination()
     return out
 
@@ -37,6 +37,19 @@ def _(t):
     return t.spark.read.parquet(f"{_accepted_and_rejected(t)}/rejected").drop(BATCH)
 
 
+@query("stream_accept_resent", REQUEST_VIEWS, ACCEPTED, ctes=_SCREENED)
+def _(t):
+    return t.spark.read.parquet(f"{_accepted_and_rejected(t, 'resent_requests')}/accepted").drop(BATCH)
+
+
+@query("stream_repeated_requests", f"{REQUEST_VIEWS} resent_requests", """
+SELECT request_id, count(*) - 1 AS repeats FROM resent_requests
+WHERE request_id IN (SELECT request_id FROM screened WHERE reason IS NULL) GROUP BY request_id HAVING count(*) > 1""", ctes=_SCREENED)
+def _(t):
+    sent = read_batches(t.spark, f"{_accepted_and_rejected(t, 'resent_requests')}/repeated", folds.REPEATED)
+    return sent.groupBy("request_id").agg(F.sum("repeats").alias("repeats"))
+
+
 @query("stream_current_status", "booking_status_events", f"""
 SELECT booking_id, status, {time_sql('ts')} AS ts, event_id FROM latest""", ctes=_LATEST_STATUS)
 def _(t):
@@ -75,6 +88,18 @@ def _(t):
     return read_batches(t.spark, out, folds.DAILY).drop(BATCH)
 
 
+@query("daily_totals_corrected", "booking_amounts", f"""
+SELECT {time_sql("date_trunc('day', created_at)")} AS day, count(*) AS bookings, count(*) FILTER (WHERE status = 'pending') AS pending,
+ CAST(coalesce(sum(price) FILTER (WHERE status = 'completed'), 0) AS double) AS revenue
+FROM booking_amounts GROUP BY date_trunc('day', created_at)""")
+def _(t):
+    out, checkpoint = _folders(t, "corrected")
+    folds.track_daily_totals(t.stream("late_amounts", "arrived"), out, checkpoint, once=True).awaitTermination()
+    revised = read_batches(t.spark, f"{out}/revisions", folds.DAILY)
+    return revised.groupBy("day").agg(F.max_by(F.struct("bookings", "pending", "revenue"), BATCH).alias("last")).select(
+        "day", "last.*")
+
+
 @query("stream_code_match", "otp_issues otp_attempts", code_sql("verify"))
 def _(t):
     out, checkpoint = _folders(t, "codes")

@@ -125,6 +125,14 @@ SELECT o_orderkey AS request_id, concat('C', CAST(o_custkey AS {S})) AS customer
  CASE WHEN o_orderkey % 29 = 0 THEN 'short' ELSE concat('No. 12, Long Street, Old Town, ', o_orderpriority) END AS address,
  o_orderpriority = '1-URGENT' AS is_emergency, CAST(o_orderdate AS timestamp) AS ts FROM {orders}""",
 
+    # One request in fifty is sent again, some in the same batch and most of them in a later one.
+    "resent_requests": """
+SELECT * FROM {booking_requests}
+UNION ALL SELECT request_id, customer_id, role, provider_id, booking_date, booking_time, description, address, is_emergency,
+ ts + INTERVAL '90' DAY FROM {booking_requests} WHERE request_id % 50 = 7
+UNION ALL SELECT request_id, customer_id, role, provider_id, booking_date, booking_time, description, address, is_emergency,
+ ts + INTERVAL '900' DAY FROM {booking_requests} WHERE request_id % 100 = 7""",
+
     "customer_applications": """
 SELECT c_custkey AS app_id, 'New' AS first_name, c_name AS last_name,
  CASE c_custkey % 4 WHEN 0 THEN CAST(7000000000 + c_custkey AS {S}) WHEN 1 THEN concat('+91', CAST(6000000000 + c_custkey % 400 AS {S}))
@@ -172,6 +180,11 @@ SELECT event_id, concat(CASE WHEN event_type = 'signup' OR event_id % 3 = 0 THEN
 SELECT concat('TF-', CAST(o_orderkey AS {S})) AS id, CAST(o_totalprice AS decimal(14,2)) AS price,
  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'accepted' END AS status,
  CAST(o_orderdate AS timestamp) AS created_at FROM {orders}""",
+
+    # The same, with the time of arrival: one in seven comes more than a year late.
+    "late_amounts": """
+SELECT a.*, CASE WHEN CAST(substr(a.id, 4) AS bigint) % 7 = 0 THEN created_at + INTERVAL '400' DAY ELSE created_at END AS arrived
+FROM {booking_amounts} a""",
 }
 
 _TOKEN = re.compile(r"\{(\w+)(?:\((\w+)\))?\}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bazaarflow.operators.admin import revenue
+from bazaarflow.operators.latest import first_per_key
 from bazaarflow.operators.lifecycle import (
     FIRST_BOOKING_NUMBER, accepted_rows, rejected_rows, screen_requests,
 )
@@ -14,30 +15,59 @@ from bazaarflow.session import discard, materialise
 from bazaarflow.streaming.batches import BATCH, Snapshots, Table, as_of_now, start, write_batch
 
 
+SNAPSHOT_EVERY = 50
+
+ACCEPTED_IDS = T.StructType([T.StructField("request_id", T.LongType())])
+REPEATED = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("repeats", T.LongType())])
+
+
+def _accepted_ids(spark: SparkSession, out: str, every: int) -> Snapshots:
+    return Snapshots(spark, f"{out}/ids", ACCEPTED_IDS, lambda rows: rows.select("request_id"), every)
+
+
 def accept_requests(
     requests: DataFrame, providers: Table, profiles: Table, out: str, checkpoint: str,
-    first_number: int = FIRST_BOOKING_NUMBER, once: bool = False,
+    first_number: int = FIRST_BOOKING_NUMBER, once: bool = False, snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
-    """New bookings to ``out/accepted`` and refusals to ``out/rejected``.
-
-    Each batch is written once, joined to the tables (as they are then, when given as
-    functions) and written with its outcome; both parts are read from that.
+    """New bookings to ``out/accepted``, refusals to ``out/rejected``, repeats to ``out/repeated``.
+
+    A request is accepted once, however often and in whatever batch it is sent: of equal request ids the
+    first acceptable one by (ts, customer, provider) makes the booking, and the others are counted per
+    id. A refused request may be sent again; one without an id is refused, as it could get no number. The ids accepted before are read as one sorted column, of which
+    the id range of the batch is pushed down to the files. Each batch is written once, joined to the
+    tables (as they are then, when given as functions) and written with its outcome; all parts are
+    read from that.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         work = f"{out}/work/{BATCH}={batch_id}"
         arrived = materialise(batch, "requests", f"{work}/arrived")
+        judged = screen_requests(arrived, as_of_now(providers), as_of_now(profiles))
+        nameless = F.when(F.col("request_id").isNull(), "missing_field")
         screened = materialise(
-            screen_requests(arrived, as_of_now(providers), as_of_now(profiles)), "requests", f"{work}/screened")
-        write_batch(accepted_rows(screened, first_number), f"{out}/accepted", batch_id)
+            judged.withColumn("reason", F.coalesce("reason", nameless)), "requests", f"{work}/screened")
         write_batch(rejected_rows(screened), f"{out}/rejected", batch_id)
+        valid = screened.where(F.col("reason").isNull())
+        ids = _accepted_ids(spark, out, snapshot_every)
+        low, high = valid.agg(F.min("request_id"), F.max("request_id")).first()  # one row
+        before = ids.state(batch_id).where(
+            F.col("request_id").between(low, high) if low is not None else F.lit(False))
+        order = [F.col(c).asc_nulls_last() for c in ("ts", "customer_id", "provider_id")]
+        new = materialise(
+            first_per_key(valid, ["request_id"], order).join(before, "request_id", "left_anti").select(*valid.columns),
+            "requests", f"{work}/new")
+        write_batch(accepted_rows(new, first_number), f"{out}/accepted", batch_id)
+        taken = new.select("request_id", F.lit(1).alias("_taken"))
+        write_batch(
+            valid.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).join(taken, "request_id", "left").select(
+                "request_id", (F.col("n") - F.coalesce("_taken", F.lit(0))).alias("repeats")).where("repeats > 0"),
+            f"{out}/repeated", batch_id)
+        ids.add(new.select("request_id").sort("request_id"), batch_id)
         discard(spark, work)
 
     return start(requests, write, checkpoint, once=once)
 
 
-SNAPSHOT_EVERY = 50
-
 STATUS_UPDATE = T.StructType([
     T.StructField("booking_id", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
@@ -139,6 +169,56 @@ def daily_totals(bookings: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(F.col("window.start").alias("day"), "bookings", "pending", "revenue")
 
 
+LATE = T.StructType([T.StructField("day", T.TimestampType()), T.StructField("rows", T.LongType())])
+
+
+def _add_days(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day").agg(
+        F.sum("bookings").alias("bookings"), F.sum("pending").alias("pending"),
+        F.sum("revenue").cast(MONEY).alias("revenue"))
+
+
+def _days(spark: SparkSession, out: str, every: int) -> Snapshots:
+    return Snapshots(spark, f"{out}/days", DAILY, _add_days, every)
+
+
+def track_daily_totals(
+    bookings: DataFrame, out: str, checkpoint: str, delay: str = "1 day", once: bool = False,
+    snapshot_every: int = SNAPSHOT_EVERY,
+) -> StreamingQuery:
+    """Totals per day that late bookings correct; nothing is dropped, however late.
+
+    Every batch writes the new totals of the days it has bookings of to ``out/revisions``, where the
+    batch id is the revision number, and to ``out/late`` how many of its rows belong to days that
+    ended more than ``delay`` before the newest day of earlier batches. Days are kept as sums of batches, so
+    a batch that is run again replaces its own part. Bookings without a time form a day of their own (null).
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        days = _days(spark, out, snapshot_every)
+        own = batch.groupBy(F.date_trunc("day", "created_at").alias("day")).agg(
+            F.count(F.lit(1)).alias("bookings"), F.count_if(F.col("status") == "pending").alias("pending"),
+            revenue(F.col("price"), F.col("status")).cast(MONEY).alias("revenue"))
+        work = f"{out}/work/{BATCH}={batch_id}"
+        own = materialise(own, "days", f"{work}/own")
+        before = days.state(batch_id)
+        newest = before.agg(F.max("day")).first()[0]  # one row
+        mark = own["day"].eqNullSafe(before["day"])
+        earlier = before.join(own, mark, "left_semi")
+        write_batch(_add_days(earlier.unionByName(own)), f"{out}/revisions", batch_id)
+        closed = F.col("day") + F.expr(f"INTERVAL 1 DAY + INTERVAL {delay}") <= F.lit(newest)
+        write_batch(own.where(closed).select("day", F.col("bookings").alias("rows")), f"{out}/late", batch_id)
+        days.add(own, batch_id)
+        discard(spark, work)
+
+    return start(bookings, write, checkpoint, once=once)
+
+
+def daily_totals_so_far(spark: SparkSession, out: str, snapshot_every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """The totals of every day over all batches so far."""
+    return _days(spark, out, snapshot_every).current()
+
+
 def write_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append a stream's rows to batch folders."""
     return start(stream, lambda df, n: write_batch(df, out, n), checkpoint, once=once)

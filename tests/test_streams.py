@@ -115,6 +115,63 @@ def test_requests_split_like_the_batch(spark, paths):
         assert got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
 
 
+def sent(number, **changes):
+    return tuple(request(number, **changes)[f.name] for f in BOOKING_REQUESTS.fields)
+
+
+def test_a_resent_request_is_accepted_once(spark, paths):
+    """Resent in the same batch, in a later one, after a refusal, and over snapshots."""
+    late = T0 + timedelta(days=3)
+    batches = [
+        [sent(1), sent(1, ts=late, description="again"), sent(2, address="short"), sent(3)],
+        [sent(1, ts=late), sent(4), sent(2)],
+        [sent(2), sent(3), sent(3), sent(5)],
+        [sent(n) for n in (1, 2, 3, 4, 5, 6)],
+        [sent(6), sent(None)],
+    ]
+    stream = file_stream(spark, batches, BOOKING_REQUESTS, paths["in"])
+    folds.accept_requests(
+        stream, golden.providers(spark), golden.profiles(spark), paths["out"], paths["checkpoint"], once=True,
+        snapshot_every=2).awaitTermination()
+    accepted = spark.read.parquet(f"{paths['out']}/accepted").collect()
+    assert sorted((r["id"], r["batch_id"]) for r in accepted) == [
+        ("TF-100001", 0), ("TF-100002", 1), ("TF-100003", 0), ("TF-100004", 1), ("TF-100005", 2), ("TF-100006", 3)]
+    assert {r["description"] for r in accepted if r["id"] == "TF-100001"} == {"Fan"}
+    repeated = read_batches(spark, f"{paths['out']}/repeated", folds.REPEATED).collect()
+    assert sorted((r["batch_id"], r["request_id"], r["repeats"]) for r in repeated) == [
+        (0, 1, 1), (1, 1, 1), (2, 2, 1), (2, 3, 2), (3, 1, 1), (3, 2, 1), (3, 3, 1), (3, 4, 1), (3, 5, 1), (4, 6, 1)]
+    refused = spark.read.parquet(f"{paths['out']}/rejected").collect()
+    assert {(r["request_id"], r["reason"]) for r in refused} == {(2, "address_too_short"), (None, "missing_field")}
+
+
+def test_late_bookings_correct_their_day(spark, paths):
+    from decimal import Decimal as D
+
+    def row(i, status, price, day):
+        return (str(i), status, D(price), None if day is None else T0 + timedelta(days=day, hours=3))
+
+    batches = [
+        [row(1, "completed", 10, 0), row(2, "pending", 5, 0)],
+        [row(3, "completed", 1, 4), row(4, "completed", 2, 1)],
+        [row(5, "completed", 100, 0), row(6, "pending", 1, 4), row(7, "completed", 7, None)],
+        [row(8, "completed", 50, 0), row(9, "pending", 1, 3)],
+    ]
+    stream = file_stream(
+        spark, batches, "id string, status string, price decimal(14,2), created_at timestamp", paths["in"])
+    folds.track_daily_totals(
+        stream, paths["out"], paths["checkpoint"], once=True, snapshot_every=2).awaitTermination()
+    revised = sorted(((r["batch_id"], r["day"], r["bookings"], r["pending"], r["revenue"]) for r in read_batches(
+        spark, f"{paths['out']}/revisions", folds.DAILY).where("day IS NOT NULL").collect()))
+    day = [T0 + timedelta(n) for n in range(5)]
+    assert revised == [
+        (0, day[0], 2, 1, 10), (1, day[1], 1, 0, 2), (1, day[4], 1, 0, 1),
+        (2, day[0], 3, 1, 110), (2, day[4], 2, 1, 1), (3, day[0], 4, 1, 160), (3, day[3], 1, 1, 0)]
+    found = {r["day"]: r["revenue"] for r in folds.daily_totals_so_far(spark, paths["out"], 2).collect()}
+    assert found == {None: 7, day[0]: 160, day[1]: 2, day[3]: 0, day[4]: 1}
+    late = read_batches(spark, f"{paths['out']}/late", folds.LATE).collect()
+    assert sorted((r["batch_id"], r["day"], r["rows"]) for r in late) == [(2, day[0], 1), (3, day[0], 1)]
+
+
 def test_repeated_events_are_dropped(spark, paths):
     rows = [(n, "TF-1", "completed", T0 + timedelta(minutes=n)) for n in range(6)]
     stream = file_stream(spark, [rows[:4] + rows[:2], rows[3:], rows[:1]], BOOKING_STATUS_EVENTS, paths["in"])
