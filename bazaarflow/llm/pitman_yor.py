@@ -11,6 +11,7 @@ dealt out by class, and what its parts must know of each other is among the tota
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +28,7 @@ from bazaarflow.session import materialise
 
 BURN_IN = 2
 SAMPLES = 3
-FLUSH_BYTES = 1 << 24
+FLUSH_BYTES = 1 << 23
 ONE_BY_ONE = 256
 CONTEXT_BITS = 20
 HOT_SHARE = 4  # a word is hot from 1 / (HOT_SHARE * buckets) of all tokens
@@ -83,7 +84,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     words = words_of(column, lower=True)
     count = np.diff(words.first)
     n = len(count)
-    doc = np.repeat(np.arange(n), count + 1)
+    doc = np.repeat(np.arange(n, dtype=np.int32), count + 1)
     first = np.concatenate([[0], np.cumsum(count + 1)])
     token = np.full(len(doc), END, np.uint64)
     hashes = word_hashes(words)
@@ -145,8 +146,11 @@ def _gather(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 if size >= FLUSH_BYTES:
                     yield from _flush(held, task, buckets, hot)
                     held, size, task = [], 0, task + 1
+                    _release()
         if held:
             yield from _flush(held, task, buckets, hot)
+        held = []
+        _release()
 
     return docs.mapInArrow(run, "bucket int, part long, blob binary")
 
@@ -156,7 +160,7 @@ def _flush(held: list[tuple], part: int, buckets: int, hot: np.ndarray) -> Itera
     n = rows.num_rows
     token = np.concatenate([t[0] for _, t in held])
     context = np.concatenate([t[1] for _, t in held])
-    base = np.cumsum([0, *[p.num_rows for p, _ in held[:-1]]])
+    base = np.cumsum([0, *[p.num_rows for p, _ in held[:-1]]]).astype(np.int32)
     doc = np.concatenate([t[2] + b for b, (_, t) in zip(base, held)])
     tokens = np.concatenate([t[3] for _, t in held])
     flags = rows.column(1).to_numpy().astype(np.uint8)
@@ -238,7 +242,7 @@ def _collected(frame: pd.DataFrame) -> pd.DataFrame:
     for blob in frame["blob"]:
         words, of, context, per_pair, doc, times, flags = _entries(blob)
         pair = np.repeat(np.arange(len(of)), per_pair)
-        lists.append((words[of], context, np.bincount(pair, times * (flags[doc] == 0), len(of))))
+        lists.append((words[of], context, np.bincount(pair, times * (flags[doc] == 0), len(of)).astype(np.int32)))
         rest.append((per_pair, doc, times, len(flags)))
     merged = _merge(lists)
     key = merged.of << CONTEXT_BITS | merged.context
@@ -248,6 +252,8 @@ def _collected(frame: pd.DataFrame) -> pd.DataFrame:
         entries.append(pack_arrays(
             np.diff(place, prepend=0).astype(np.int32), per_pair, doc.astype(np.uint16 if n < 1 << 16 else np.int32),
             times, np.array([n], np.int64)))
+    del lists, rest, key
+    _release()
     return pd.DataFrame({"bucket": [int(frame["bucket"].iloc[0])], "counts": [_pack_counts(merged)],
                          "parts": [frame["part"].tolist()], "entries": [entries]})
 
@@ -275,6 +281,13 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, random: np.rand
     return tables
 
 
+def _release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 class Bucket:
     """The words of one bucket in all restaurants."""
 
@@ -415,6 +428,8 @@ def _add_up(table: DataFrame, model: Model) -> Totals:
                     pass
                 own = bucket.totals(seating)
                 total = own if total is None else _sum([total, own])
+                del bucket, seating, own
+                _release()
         if total is not None:
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(SLICES), pa.int32()), pa.array([_pack_totals(_cut(total, k)) for k in range(SLICES)])],
@@ -520,7 +535,7 @@ def score_texts(
     base; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, parts).alias("held_out"),
         F.col(text_col).alias("text"))
@@ -548,6 +563,8 @@ def score_texts(
                 for at, sums in zip(part, _score_parts(bucket, mean, last, (e.as_py() for e in entries))):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([at.as_py()]), pa.array([sums])], ["part", "sums"])
+                del bucket, mean, seating, totals
+                _release()
 
     sums = counted.select("bucket", "counts", "parts", "entries").mapInArrow(score, "part long, sums binary")
 
