@@ -12,8 +12,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bazaarflow.functions import is_unfit_number, js_number
+from bazaarflow.operators.feed import FEED_COUNTS, bookings_at, feed_counts, notices_at, summed_counts
 from bazaarflow.operators.latest import last_event
 from bazaarflow.operators.lifecycle import apply_completions, completion_counts
+from bazaarflow.operators.notifications import notification_events
 from bazaarflow.schemas import BOOKING_STATUSES, BOOKINGS, MONEY, NUMBER, PROVIDER_STATUSES, PROVIDERS, conform
 from bazaarflow.session import materialise
 from bazaarflow.sources.loads import insert_if_absent
@@ -34,9 +36,10 @@ PARTIALS = T.StructType([
     T.StructField("revenue", NUMBER), T.StructField("stars", NUMBER), T.StructField("ratings", T.LongType())])
 
 LAYOUTS = {
-    "bookings": Layout(BOOKING_STATE, month_cell("created_at")),
+    "bookings": Layout(BOOKING_STATE, month_cell("created_at"), ("provider_id",)),
     "providers": Layout(PROVIDER_STATE, bucket_cell("id", PROVIDER_BUCKETS)),
     "partials": Layout(PARTIALS, bucket_cell("provider_id", PARTIAL_BUCKETS)),
+    "feed_counts": Layout(FEED_COUNTS, bucket_cell("provider_id", PARTIAL_BUCKETS), ("provider_id",)),
 }
 _SUMS = ("jobs", "completed", "revenue", "stars", "ratings")
 
@@ -55,7 +58,7 @@ def _state(rows: DataFrame, name: str, schema: T.StructType) -> DataFrame:
 
 
 def load_tables(store: Store, tables: Mapping[str, DataFrame], batch: int = 0) -> bool:
-    """Replace bookings and providers, and the counters of the bookings, in one version."""
+    """Replace bookings and providers, and the counters and feed counts of the bookings, in one version."""
     def write(change: Change) -> None:
         if "providers" in tables:
             change.replace("providers", _state(tables["providers"], "providers", PROVIDER_STATE))
@@ -63,6 +66,7 @@ def load_tables(store: Store, tables: Mapping[str, DataFrame], batch: int = 0) -
             rows = _state(tables["bookings"], "bookings", BOOKING_STATE)
             change.replace("bookings", rows)
             change.replace("partials", _summed(rows.select(_counts("").alias("c")).select("c.*")))
+            change.replace("feed_counts", feed_counts(rows))
 
     return store.publish("load", batch, write)
 
@@ -119,9 +123,10 @@ def maintained_rollup(store: Store, month: str) -> DataFrame:
 def compact_counters(store: Store, batch: int, folders: int = FOLDERS_PER_CELL) -> bool:
     """Sum up the buckets of providers whose counters lie in more than ``folders`` folders."""
     def write(change: Change) -> None:
-        many = [c for c, f in change.base.tables.get("partials", {}).items() if len(f) > folders]
-        if many:
-            change.rewrite("partials", _summed(change.read("partials", many)), many)
+        for table, total in (("partials", _summed), ("feed_counts", summed_counts)):
+            many = [c for c, f in change.base.tables.get(table, {}).items() if len(f) > folders]
+            if many:
+                change.rewrite(table, total(change.read(table, many)), many)
 
     return store.publish("compact", batch, write)
 
@@ -153,7 +158,9 @@ def _fold_bookings(change: Change, latest: DataFrame, at: str, event: str, value
     change.append("partials", _differences(judged.where("_newer")))
 
 
-def publish_status(store: Store, events: DataFrame, batch: int, count_completions: bool = False) -> bool:
+def publish_status(
+    store: Store, events: DataFrame, batch: int, count_completions: bool = False, source: str = "status",
+) -> bool:
     """Apply a batch of status events to the bookings as one version; False if it was applied before.
 
     As ``lifecycle.apply_status``, over all batches together: the greatest (ts, event_id) wins
@@ -173,7 +180,7 @@ def publish_status(store: Store, events: DataFrame, batch: int, count_completion
             cells = change.touched("providers", owners)
             change.rewrite("providers", apply_completions(change.read("providers", cells), counts), cells)
 
-    return store.publish("status", batch, write)
+    return store.publish(source, batch, write)
 
 
 def publish_ratings(store: Store, events: DataFrame, batch: int) -> bool:
@@ -220,9 +227,39 @@ def publish_bookings(store: Store, rows: DataFrame, batch: int) -> bool:
             "bookings-batch")
         change.append("bookings", new)
         change.append("partials", _summed(new.select(_counts("").alias("c")).select("c.*")))
+        change.append("feed_counts", feed_counts(new))
 
     return store.publish("bookings", batch, write)
 
 
+# --- feeds ----------------------------------------------------------------------------------
+
+def _feed_tables(store: Store, version: int | None):
+    """The reader of some months' bookings and the feed counts, both of one version."""
+    manifest = store.manifest(version)
+    return (lambda months: store.read("bookings", months, manifest)), store.read("feed_counts", manifest=manifest)
+
+
+def stored_notices(store: Store, wanted: DataFrame, profiles: DataFrame, version: int | None = None) -> DataFrame:
+    """The notifications with the ids in ``wanted`` (provider_id, id), as of a version, by default the newest.
+
+    Reads the counts and the months that hold such a notification.
+    """
+    return notices_at(*_feed_tables(store, version), wanted, profiles)
+
+
+def publish_answers(store: Store, answers: DataFrame, batch: int, version: int | None = None) -> bool:
+    """Apply answers (event_id, provider_id, id, accept, ts) to notifications as one version of the bookings.
+
+    As ``notifications.notification_events`` and ``publish_status``. Ids are places, which move as bookings
+    come: ``version`` is the one whose feeds were answered. An answer to a place that is not there does nothing.
+    """
+    if batch <= store.manifest().applied.get("answers", -1):
+        return False
+    behind = bookings_at(*_feed_tables(store, version), answers)
+    targets = behind.select("provider_id", F.col("notice_id").alias("id"), F.col("id").alias("booking_id"))
+    return publish_status(store, notification_events(answers, targets), batch, source="answers")
+
+
 def _latest(events: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return last_event(events, key, [*columns, "event_id"]).withColumnRenamed(key, "id")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bazaarflow.operators import published
+from bazaarflow.operators import feed, published
 from bazaarflow.plans.catalog import query, time_sql
 from bazaarflow.plans.folds import _COMPLETIONS, _LATEST_STATUS
-from bazaarflow.plans.reads import ROLLUP_MONTH
+from bazaarflow.plans.reads import _FEED_CTES, ROLLUP_MONTH
 from bazaarflow.session import scratch_path
 
 _LATEST_RATING = """latest_rating AS (
@@ -70,3 +70,51 @@ def _(t):
     _in_batches(t("booking_rating_events"), lambda e, n: published.publish_ratings(store, e, n))
     published.compact_counters(store, 0, folders=3)
     return published.maintained_rollup(store, ROLLUP_MONTH)
+
+
+def _store_in_parts(t):
+    """A store of which the later bookings were published after the first ones, in an order of their own."""
+    bookings = t("bookings")
+    late = F.xxhash64("id") % 3 == 0
+    store = published.open_store(t.spark, scratch_path(t.spark, "store"))
+    published.load_tables(store, {"bookings": bookings.where(~late)})
+    published.publish_bookings(store, bookings.where(late), 0)
+    return store
+
+
+# Every provider asks for some places of its feed, of which a short feed does not have the last.
+_ASKED = """asked AS (SELECT id AS provider_id, 1000 + (s_suppkey * 7 + k * 53) % 160 AS place, s_suppkey % 2 = 0 AS accept
+FROM providers_core, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def _asked(t):
+    place = F.lit(1000) + (F.col("s_suppkey") * 7 + F.col("k") * 53) % 160
+    return t("providers_core").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select(
+        F.col("id").alias("provider_id"), place.cast("long").alias("id"), (F.col("s_suppkey") % 2 == 0).alias("accept"))
+
+
+@query("notices_by_place", "bookings profiles providers_core", """
+SELECT DISTINCT f.* FROM feed f JOIN asked a ON f.provider_id = a.provider_id AND f.id = a.place""", ctes=f"{_FEED_CTES},\n{_ASKED}")
+def _(t):
+    return published.stored_notices(_store_in_parts(t), _asked(t), t("profiles"))
+
+
+@query("feed_third_page", "bookings profiles providers_core", """
+SELECT f.* FROM feed f JOIN providers_core p ON f.provider_id = p.id WHERE f.id BETWEEN 1040 AND 1059""", ctes=_FEED_CTES)
+def _(t):
+    pages = feed.page(t("providers_core").select(F.col("id").alias("provider_id")), 40, 20)
+    return published.stored_notices(_store_in_parts(t), pages, t("profiles"))
+
+
+@query("answers_published", "bookings profiles providers_core", """
+SELECT b.id, CASE WHEN a.provider_id IS NULL THEN b.status WHEN a.accept THEN 'accepted' ELSE 'cancelled' END AS status
+FROM bookings b LEFT JOIN feed f ON b.id = f.booking_id
+LEFT JOIN (SELECT DISTINCT * FROM asked) a ON f.provider_id = a.provider_id AND f.id = a.place""", ctes=f"{_FEED_CTES},\n{_ASKED}")
+def _(t):
+    store = _store_in_parts(t)
+    answers = _asked(t).withColumns({
+        "event_id": F.xxhash64("provider_id", "id"), "ts": F.lit("2025-01-01 00:00:00").cast("timestamp")})
+    seen = store.manifest().version
+    for _ in range(2):  # the second time does nothing
+        published.publish_answers(store, answers, 0, seen)
+    return store.read("bookings").select("id", "status")

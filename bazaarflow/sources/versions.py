@@ -29,10 +29,11 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Layout:
-    """A table's schema, and the text column that says which cell a row is in."""
+    """A table's schema, the text column that says which cell a row is in, and what a cell's files are sorted by."""
 
     schema: T.StructType
     cell: Callable[[], Column]
+    sort: tuple[str, ...] = ()
 
 
 @dataclass
@@ -164,7 +165,7 @@ class Change:
         path = f"{self.store.path}/data/{folder}"
         placed = rows.select(
             *[F.col(f.name).cast(f.dataType) for f in layout.schema.fields], layout.cell().alias(CELL)).hint("rebalance", F.col(CELL))
-        placed.sortWithinPartitions(CELL).write.partitionBy(CELL).parquet(path)
+        placed.sortWithinPartitions(CELL, *layout.sort).write.partitionBy(CELL).parquet(path)
         return {n.removeprefix(f"{CELL}="): f"{folder}/{n}"
                 for n in child_names(self.store.spark, path) if n.startswith(f"{CELL}=")}
 
