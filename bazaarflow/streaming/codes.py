@@ -2,7 +2,7 @@
 
 Each micro-batch runs the batch recipe, which spreads even one very busy phone over many tasks;
 keyed state would give a phone to a single task. Between batches only the live issue of each
-phone is kept: a batch writes the phones it touched, and snapshots bound what a batch reads.
+phone is kept, in buckets of phones, of which a batch reads those it touches.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from bazaarflow.functions import normalize_phone
 from bazaarflow.operators.codes import TTL, judge_timeline
 from bazaarflow.operators.skew import sliced_left_join
 from bazaarflow.session import discard, materialise
-from bazaarflow.streaming.batches import (
-    BATCH, Snapshots, Table, as_of_now, read_batches, start, write_batch,
-)
+from bazaarflow.streaming.batches import BATCH, Table, as_of_now, read_batches, start, write_batch
+from bazaarflow.streaming.keyed import CELL_KEYS, FOLDERS, KeyedState
 
 OUTCOMES = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("phone", T.StringType()),
@@ -32,20 +31,23 @@ _LIVE = T.StructType([
 
 def match_code_stream(
     events: DataFrame, out: str, checkpoint: str, *, ttl: str = TTL, kind: str = "verify",
-    profiles: Table | None = None, snapshot_every: int = 50, once: bool = False,
+    profiles: Table | None = None, cell_keys: int = CELL_KEYS, folders: int = FOLDERS, once: bool = False,
 ) -> StreamingQuery:
     """Outcomes of attempts to ``out/outcomes``.
 
     ``events`` has event_id, phone, code, purpose, ts and is_issue (and ``kind`` when uses are
-    mixed). Batches are taken in order of arrival; within one, rows go by time.
+    mixed). Batches are taken in order of arrival; within one, rows go by time. ``cell_keys`` and
+    ``folders`` are those of the ``KeyedState``. ``out`` belongs to one ``checkpoint``: a batch that
+    it has is not written again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        issues = KeyedState(spark, f"{out}/live", _LIVE, "phone", F.col("live"), cell_keys, folders)
+        if issues.applied(batch_id):  # its outcomes were written before
+            return
         work = f"{out}/work/{BATCH}={batch_id}"
         arrived = materialise(_prepared(batch, kind, profiles), "codes", f"{work}/arrived")
-        touched = arrived.select("phone").distinct()
-        issues = _live_issues(spark, out, snapshot_every)
-        carried = issues.state(batch_id).join(touched, "phone", "left_semi").where("live").select(
+        carried = issues.of(arrived.select("phone").distinct()).where("live").select(
             "event_id", "phone", "code", "purpose", "ts", F.lit(None).cast("string").alias("kind"),
             F.lit(True).alias("has_account"), F.lit(True).alias("is_issue"),
             F.lit(False).alias("as_kept"), F.lit(True).alias("carried"))
@@ -90,14 +92,3 @@ def _held_after(judged: DataFrame) -> DataFrame:
         "phone", F.col("last")["event_id"].alias("event_id"), F.col("last")["ts"].alias("ts"),
         F.col("last")["code"].alias("code"), F.col("last")["purpose"].alias("purpose"),
         (~F.col("last")["place"].eqNullSafe(F.col("used"))).alias("live"))
-
-
-def _latest_issue(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("phone").agg(
-        F.max_by(F.struct("event_id", "ts", "code", "purpose", "live"), F.col(BATCH)).alias("last")
-    ).select("phone", "last.*")
-
-
-def _live_issues(spark: SparkSession, out: str, snapshot_every: int) -> Snapshots:
-    """The latest issue of each phone; what a batch changes is decided by its id, so a rerun is harmless."""
-    return Snapshots(spark, f"{out}/live", _LIVE, _latest_issue, snapshot_every)

@@ -210,7 +210,7 @@ def test_codes_equal_a_replay(spark, paths, kind):
     stream = file_stream(spark, batches_of(rows, 120), STREAM_EVENT, paths["in"])
     people = spark.createDataFrame([(p,) for p in sorted(accounts)], "phone string")
     codes.match_code_stream(
-        stream, paths["out"], paths["checkpoint"], kind=kind, profiles=people, snapshot_every=2, once=True,
+        stream, paths["out"], paths["checkpoint"], kind=kind, profiles=people, cell_keys=3, folders=2, once=True,
     ).awaitTermination()
     got = codes.outcomes(spark, paths["out"]).collect()
     assert len(got) == len(attempts)
