@@ -63,7 +63,7 @@ class Totals(NamedTuple):
 
 
 class Counts(NamedTuple):
-    """A bucket's words (sorted) and their training counts by context, in order of word and context."""
+    """A bucket's words (sorted) and their training counts by context, in order of word, class and context."""
 
     words: np.ndarray
     of: np.ndarray  # the pair's word
@@ -116,7 +116,9 @@ def _hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
         for batch in batches:
             for part in chunks(batch, "text"):
                 token = _tokens(part.column(0))[0]
-                words, count = np.unique(token, return_counts=True)
+                cell = (token & np.uint64(0xFFFF)).astype(np.int64)
+                heavy = np.bincount(cell, minlength=1 << 16) >= least * len(token)  # a word has no more than its cell
+                words, count = np.unique(token[heavy[cell]], return_counts=True)
                 some = count >= least * len(token)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.append(words[some], np.uint64(0)).view(np.int64)), pa.array(np.append(count[some], len(token)))],
@@ -159,12 +161,12 @@ def _flush(held: list[tuple], part: int, buckets: int, hot: np.ndarray) -> Itera
     rows = pa.Table.from_batches([p for p, _ in held]).select([0, 1]).combine_chunks()
     n = rows.num_rows
     token = np.concatenate([t[0] for _, t in held])
-    context = np.concatenate([t[1] for _, t in held])
+    context = _by_class(np.concatenate([t[1] for _, t in held]))
     base = np.cumsum([0, *[p.num_rows for p, _ in held[:-1]]]).astype(np.int32)
     doc = np.concatenate([t[2] + b for b, (_, t) in zip(base, held)])
     tokens = np.concatenate([t[3] for _, t in held])
     flags = rows.column(1).to_numpy().astype(np.uint8)
-    spread = np.where(_find(hot, token) >= 0, (context & (CLASSES - 1)).astype(np.uint64), np.uint64(0))
+    spread = np.where(_find(hot, token) >= 0, (context >> (CONTEXT_BITS - 8)).astype(np.uint64), np.uint64(0))
     bucket = ((token % np.uint64(buckets) + spread) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((context, token, bucket))  # stable: documents stay in order
     token, context, doc, bucket = token[order], context[order], doc[order], bucket[order]
@@ -201,14 +203,30 @@ def _flush(held: list[tuple], part: int, buckets: int, hot: np.ndarray) -> Itera
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
-    return np.diff(values, prepend=np.int32(0)).astype(np.int32)
+    """Differences, their bytes by significance: the high ones are nearly all zero."""
+    steps = np.diff(values, prepend=np.int32(0)).astype(np.int32)
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _values(steps: np.ndarray) -> np.ndarray:
+    """What ``_steps`` was made of."""
+    return np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
+
+
+def _by_class(context: np.ndarray) -> np.ndarray:
+    """A context's place when contexts are ordered by class."""
+    return (context & (CLASSES - 1)) << (CONTEXT_BITS - 8) | context >> 8
+
+
+def _from_class(place: np.ndarray) -> np.ndarray:
+    return (place & ((1 << CONTEXT_BITS - 8) - 1)) << 8 | place >> (CONTEXT_BITS - 8)
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     """Words; each pair's word, context and entries; each entry's document and times; the documents' flags."""
     steps, per_word, context, per_pair, doc, times, flags = unpack_arrays(blob)
     words = np.cumsum(steps, dtype=np.uint64)
-    context = np.cumsum(context, dtype=np.int32)
+    context = _from_class(_values(context))
     return words, np.repeat(np.arange(len(words)), per_word), context, per_pair, doc.astype(np.int64), times, flags
 
 
@@ -216,20 +234,20 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Counts:
     """Add up (word, context, count) lists."""
     token, context, count = map(np.concatenate, zip(*parts))
     words, of = np.unique(token, return_inverse=True)
-    key, at = np.unique(of << CONTEXT_BITS | context, return_inverse=True)
+    key, at = np.unique(of << CONTEXT_BITS | _by_class(context), return_inverse=True)
     total = np.bincount(at, count, len(key)).astype(np.int64)
-    return Counts(words, key >> CONTEXT_BITS, (key & ((1 << CONTEXT_BITS) - 1)).astype(np.int32), total)
+    return Counts(words, key >> CONTEXT_BITS, _from_class((key & ((1 << CONTEXT_BITS) - 1)).astype(np.int32)), total)
 
 
 def _pack_counts(c: Counts) -> bytes:
     per_word = np.bincount(c.of, minlength=len(c.words)).astype(np.int32)
-    return pack_arrays(np.diff(c.words, prepend=np.uint64(0)), per_word, _steps(c.context), c.count.astype(np.int64))
+    return pack_arrays(np.diff(c.words, prepend=np.uint64(0)), per_word, _steps(_by_class(c.context)), c.count.astype(np.int64))
 
 
 def _unpack_counts(blob: bytes) -> Counts:
     steps, per_word, context, count = unpack_arrays(blob)
     return Counts(np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(per_word), dtype=np.int32), per_word),
-                  np.cumsum(context, dtype=np.int32), count)
+                  _from_class(_values(context)), count)
 
 
 def _collected(frame: pd.DataFrame) -> pd.DataFrame:
@@ -245,12 +263,12 @@ def _collected(frame: pd.DataFrame) -> pd.DataFrame:
         lists.append((words[of], context, np.bincount(pair, times * (flags[doc] == 0), len(of)).astype(np.int32)))
         rest.append((per_pair, doc, times, len(flags)))
     merged = _merge(lists)
-    key = merged.of << CONTEXT_BITS | merged.context
+    key = merged.of << CONTEXT_BITS | _by_class(merged.context)
     entries = []
     for (token, context, _), (per_pair, doc, times, n) in zip(lists, rest):
-        place = np.searchsorted(key, np.searchsorted(merged.words, token) << CONTEXT_BITS | context)
+        place = np.searchsorted(key, np.searchsorted(merged.words, token) << CONTEXT_BITS | _by_class(context))
         entries.append(pack_arrays(
-            np.diff(place, prepend=0).astype(np.int32), per_pair, doc.astype(np.uint16 if n < 1 << 16 else np.int32),
+            _steps(place.astype(np.int32)), per_pair, doc.astype(np.uint16 if n < 1 << 16 else np.int32),
             times, np.array([n], np.int64)))
     del lists, rest, key
     _release()
@@ -265,19 +283,24 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, random: np.rand
     come in groups of an eighth of those seated, who see the odds of the group's middle.
     """
     tables = (count > 0).astype(np.int64)
-    coming = np.flatnonzero(count > 1)
+    many = np.flatnonzero(count > 1)
+    many = many[np.argsort(-count[many], kind="stable")]  # those who still come are always the first ones
+    least, weight = -count[many], weight[many]
+    taken = np.ones(len(many))
     seated = 1
-    while coming.size:
-        group = 1 if seated < ONE_BY_ONE else seated // 8
-        some = np.minimum(count[coming] - seated, group)
-        present = seated + (some - 1) / 2
-        odds = weight[coming] / (present - discount * tables[coming] + weight[coming])
-        if group == 1:
-            tables[coming] += random.random(len(coming)) < odds
+    while n := int(np.searchsorted(least, -seated)):
+        w = weight[:n]
+        if seated < ONE_BY_ONE:
+            odds = w / (seated - discount * taken[:n] + w)
+            taken[:n] += random.random(n) < odds
+            seated += 1
         else:
-            tables[coming] += random.binomial(some, np.clip(odds, 0, 1))
-        seated += group
-        coming = coming[count[coming] > seated]
+            group = seated // 8
+            some = np.minimum(-least[:n] - seated, group)
+            odds = w / (seated + (some - 1) / 2 - discount * taken[:n] + w)
+            taken[:n] += random.binomial(some, np.clip(odds, 0, 1))
+            seated += group
+    tables[many] = taken
     return tables
 
 
@@ -293,10 +316,16 @@ class Bucket:
 
     def __init__(self, counts: Counts, number: int, buckets: int, hot: np.ndarray, params: Params = Params()):
         self.counts, self.number, self.params = counts, number, params
-        key = counts.of.astype(np.int64) * CLASSES + (counts.context & (CLASSES - 1))
-        self.middle, up = np.unique(key, return_inverse=True)
-        self.up = up.astype(np.int32)
-        self.middle_of, self.last = self.middle // CLASSES, self.middle % CLASSES
+        last = counts.context & (CLASSES - 1)
+        new = np.ones(len(last), bool)
+        new[1:] = (counts.of[1:] != counts.of[:-1]) | (last[1:] != last[:-1])
+        self.up = (np.cumsum(new) - 1).astype(np.int32)
+        self.middle_of, self.last = counts.of[new], last[new]
+        # Where one customer sits, the table is certain; sweeps draw only for the others.
+        self.once = (counts.count > 0).astype(np.int64)
+        many = np.flatnonzero(counts.count > 1)
+        self.many = many[np.argsort(-counts.count[many], kind="stable")]
+        self.alone = np.bincount(self.up[counts.count == 1], minlength=len(self.last))
         self.total = np.bincount(counts.of, counts.count, len(counts.words)).astype(np.int64)
         self.hot = _find(hot, counts.words)
         self.is_hot, self.hots = self.hot >= 0, len(hot)
@@ -304,25 +333,29 @@ class Bucket:
         self.speaks = ~self.is_hot | (counts.words % np.uint64(buckets) == np.uint64(number))
 
     def start(self) -> Seating:
-        return self._seating((self.counts.count > 0).astype(np.int64), None, None, None)
+        c1 = np.bincount(self.up, self.once, len(self.last)).astype(np.int64)
+        t1 = (c1 > 0).astype(np.int64)
+        c0 = np.bincount(self.middle_of, t1, len(self.total)).astype(np.int64)
+        return Seating(self.once, c1, t1, c0, (c0 > 0).astype(np.int64))
 
-    def _seating(self, t2: np.ndarray, t1: np.ndarray | None, all_: Totals | None, t0: np.ndarray | None) -> Seating:
-        c1 = np.bincount(self.up, t2, len(self.middle)).astype(np.int64)
-        t1 = (c1 > 0).astype(np.int64) if t1 is None else t1
-        own = np.bincount(self.middle_of, t1, len(self.total)).astype(np.int64)
-        c0 = own if all_ is None else np.where(self.is_hot, all_.hot_c0[np.maximum(self.hot, 0)], own) \
-            if self.hots else own
-        return Seating(t2, c1, t1, c0, (c0 > 0).astype(np.int64) if t0 is None else t0)
+    def totals(self, s: Seating, wide: tuple[np.ndarray, np.ndarray] | None = None) -> Totals:
+        """The bucket's share of the totals; c2 and t2 are added to ``wide``.
 
-    def totals(self, s: Seating) -> Totals:
+        Where ``wide`` has no place for c2, t2 gets only the tables beyond those there were at the start.
+        """
         add = lambda at, value, n: np.bincount(at, value, n).astype(np.int64)
-        context = self.counts.context
+        c2, t2 = wide or np.zeros((2, 1 << CONTEXT_BITS), np.int64)
+        if len(c2):
+            c2 += add(self.counts.context, self.counts.count, len(c2))
+            t2 += add(self.counts.context, s.t2, len(t2))
+        else:
+            more = self.many[s.t2[self.many] > 1]
+            np.add.at(t2, self.counts.context[more], s.t2[more] - 1)
         own = add(self.middle_of, s.t1, len(self.total))
         here = np.flatnonzero(self.is_hot)
         # Of a hot word the bucket that speaks for it gives the tables, all others only what they add.
         return Totals(
-            add(context, self.counts.count, 1 << CONTEXT_BITS), add(context, s.t2, 1 << CONTEXT_BITS),
-            add(self.last, s.c1, CLASSES), add(self.last, s.t1, CLASSES), int(own.sum()),
+            c2, t2, add(self.last, s.c1, CLASSES), add(self.last, s.t1, CLASSES), int(own.sum()),
             int(s.t0[self.speaks].sum()), 0, int(self.counts.count.sum()),
             add(self.hot[here], own[here], self.hots), add(self.hot[here], self.total[here], self.hots),
         )._replace(words=int((self.total[~self.is_hot] > 0).sum()))
@@ -333,14 +366,19 @@ class Bucket:
         (d0, d1, d2), (b0, b1, b2) = self.params
         c0 = np.where(self.is_hot, all_.hot_c0[np.maximum(self.hot, 0)], s.c0) if self.hots else s.c0
         p0 = unigram(c0, s.t0, all_, self.params)
-        rest = s.c1[self.up] - s.t2  # the parent without this restaurant's customers
-        p1 = lower(rest, np.minimum(s.t1[self.up], rest), all_.c1, all_.t1, self.last[self.up],
-                   p0[self.middle_of[self.up]], d1, b1)
-        t2 = seat(self.counts.count, (b2 + d2 * all_.t2[self.counts.context]) * p1, d2, random)
-        c1 = np.bincount(self.up, t2, len(self.middle)).astype(np.int64)
-        rest = np.maximum(c0[self.middle_of] - s.t1, 0)
-        p0 = unigram(rest, np.minimum(s.t0[self.middle_of], rest), all_, self.params)
-        t1 = seat(c1, (b1 + d1 * all_.t1[self.last]) * p0, d1, random)
+        up = self.up[self.many]
+        rest = s.c1[up] - s.t2[self.many]  # the parent without this restaurant's customers
+        p1 = lower(rest, np.minimum(s.t1[up], rest), all_.c1, all_.t1, self.last[up], p0[self.middle_of[up]], d1, b1)
+        seated = seat(self.counts.count[self.many], (b2 + d2 * all_.t2[self.counts.context[self.many]]) * p1, d2, random)
+        t2 = self.once.copy()
+        t2[self.many] = seated
+        c1 = self.alone + np.bincount(up, seated, len(self.last)).astype(np.int64)
+        t1 = (c1 > 0).astype(np.int64)
+        many = np.flatnonzero(c1 > 1)
+        of = self.middle_of[many]
+        rest = np.maximum(c0[of] - s.t1[many], 0)
+        p0 = unigram(rest, np.minimum(s.t0[of], rest), all_, self.params)
+        t1[many] = seat(c1[many], (b1 + d1 * all_.t1[self.last[many]]) * p0, d1, random)
         own = np.bincount(self.middle_of, t1, len(s.t0)).astype(np.int64)
         c0 = np.where(self.is_hot, c0, own)
         base = (b0 + d0 * all_.t0) / (all_.words + 1)
@@ -372,13 +410,18 @@ class Bucket:
             (s.c1, all_.c1, all_.t1, self.last, p0[self.middle_of]),
             (self.counts.count, all_.c2, all_.t2, self.counts.context, p1[self.up]))
         for level, (count, customers, tables, at, parent) in enumerate(levels):
-            some = count > 0
-            count, at, parent = count[some], at[some], parent[some]
-            alone = count == 1
-            for i, d in enumerate(DISCOUNTS):
-                for j, b in enumerate(STRENGTHS):
-                    p = (np.where(alone, 0, count - 1 - d) + (b + d * (tables[at] - alone)) * parent) / (b + customers[at] - 1)
-                    out[level, i, j] = (count * np.log(p)).sum()
+            alone, more = count == 1, count > 1
+            # Of a dish had once nothing is left: such tokens differ by restaurant and parent only.
+            times = np.bincount(at[alone], minlength=len(tables))
+            where = np.flatnonzero(times)
+            times, others, kept = times[where], customers[where] - 1, tables[where] - 1
+            count, at, up = count[more], at[more], parent[more]
+            given = np.log(parent[alone]).sum()
+            for j, b in enumerate(STRENGTHS):
+                alike = given - (times * np.log(b + others)).sum()
+                for i, d in enumerate(DISCOUNTS):
+                    p = (count - 1 - d + (b + d * tables[at]) * up) / (b + customers[at] - 1)
+                    out[level, i, j] = (count * np.log(p)).sum() + (times * np.log(b + d * kept)).sum() + alike
         return out
 
 
@@ -401,6 +444,17 @@ class Model:
     def __init__(self, buckets: int, hot: np.ndarray):
         self.buckets, self.hot, self.params = buckets, hot, Params()
         self.history: list[bytes] = []
+        self._open: list[Totals] = []
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_open": []}
+
+    def totals(self, turn: int) -> Totals:
+        """The totals after a sweep; later ones are kept as what they add to the first ones."""
+        for packed in self.history[len(self._open):]:
+            t, first = _unpack_totals(packed), self._open[0] if self._open else None
+            self._open.append(t._replace(c2=first.c2, t2=first.t2 + t.t2, words=first.words) if first else t)
+        return self._open[turn]
 
     def bucket(self, counts: bytes, number: int) -> Bucket:
         return Bucket(_unpack_counts(counts), number, self.buckets, self.hot, self.params)
@@ -408,29 +462,36 @@ class Model:
     def seatings(self, bucket: Bucket) -> Iterator[tuple[Seating, Totals]]:
         """The seating after each sweep, with its totals; drawn again from the same seeds whenever it is needed."""
         seating = bucket.start()
-        for turn, packed in enumerate(self.history):
-            totals = _unpack_totals(packed)
+        for turn in range(len(self.history)):
+            totals = self.totals(turn)
             yield seating, totals
             seating = bucket.sweep(seating, totals, turn)
         yield seating, None
 
 
 def _add_up(table: DataFrame, model: Model) -> Totals:
-    """The totals after one more sweep; every task adds up its own buckets, and slices of the sums are added up."""
+    """The totals after one more sweep, without c2 and the first tables of t2 but for the first time.
+
+    Every task adds up its own buckets, and slices of the sums are added up.
+    """
     shared = table.sparkSession.sparkContext.broadcast(model)
+    first = not model.history
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
+        none = np.zeros(0, np.int64)
+        wide = (np.zeros(1 << CONTEXT_BITS, np.int64) if first else none), np.zeros(1 << CONTEXT_BITS, np.int64)
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 bucket = shared.value.bucket(blob.as_py(), number)
                 for seating, _ in shared.value.seatings(bucket):
                     pass
-                own = bucket.totals(seating)
+                own = bucket.totals(seating, wide)._replace(c2=none, t2=none)
                 total = own if total is None else _sum([total, own])
                 del bucket, seating, own
                 _release()
         if total is not None:
+            total = total._replace(c2=wide[0], t2=wide[1])
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(SLICES), pa.int32()), pa.array([_pack_totals(_cut(total, k)) for k in range(SLICES)])],
                 ["slice", "totals"])
@@ -446,8 +507,7 @@ def _add_up(table: DataFrame, model: Model) -> Totals:
         wide = np.zeros(1 << CONTEXT_BITS, np.int64)
         return Totals(wide, wide, wide[:CLASSES], wide[:CLASSES], 0, 0, 0, 0, wide[:0], wide[:0])
     total = Totals(np.concatenate([p.c2 for p in parts]), np.concatenate([p.t2 for p in parts]), *parts[0][2:])
-    return total._replace(words=total.words + int((total.hot_n > 0).sum())) if model.history == [] else \
-        total._replace(words=_unpack_totals(model.history[0]).words)
+    return total._replace(words=total.words + int((total.hot_n > 0).sum()))
 
 
 def _cut(t: Totals, k: int) -> Totals:
@@ -478,7 +538,7 @@ def _fitted(table: DataFrame, model: Model) -> Params:
     shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = _unpack_totals(shared.value.history[0])
+        totals = shared.value.totals(0)
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shared.value.bucket(blob.as_py(), number).fit(totals)
@@ -511,7 +571,7 @@ def _score_parts(bucket: Bucket, mean: np.ndarray, totals: Totals, entries: Iter
     values = (np.log10(mean), np.log10((count + 0.1) / floor)[of], (count > 0).astype(float)[of])
     for blob in entries:
         place, per_pair, doc, times, n = unpack_arrays(blob)
-        pair = np.repeat(np.cumsum(place), per_pair)
+        pair = np.repeat(_values(place), per_pair)
         doc = doc.astype(np.int64)
         sums = [np.bincount(doc, value[pair] * times, int(n[0])) for value in values]
         some = np.flatnonzero(np.bincount(doc, minlength=int(n[0])))
@@ -547,11 +607,11 @@ def score_texts(
     model.params = _fitted(counted, model)
     for _ in range(burn_in + samples):
         model.history.append(_pack_totals(_add_up(counted, model)))
-    totals = _unpack_totals(model.history[-1])
+    totals = model.totals(-1)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = _unpack_totals(shared.value.history[-1])
+        last = shared.value.totals(-1)
         for batch in batches:
             for row in range(batch.num_rows):  # one bucket's entries at a time
                 number, counts, part, entries = (batch.column(i)[row] for i in range(4))
