@@ -33,6 +33,7 @@ ONE_BY_ONE = 256
 CONTEXT_BITS = 20
 HOT_SHARE = 4  # a word is hot from 1 / (HOT_SHARE * buckets) of all tokens
 SLICES = 64
+UNITS = (1 << 26, 1 << 30)  # a bucket's share of a document's score and base score is sent in whole parts of this size
 END = np.uint64(0x454E444F46544558)
 CLASSES = 256
 # Discounts and strengths that are tried, from the parents down: unigram, class, word.
@@ -204,13 +205,20 @@ def _flush(held: list[tuple], part: int, buckets: int, hot: np.ndarray) -> Itera
 
 def _steps(values: np.ndarray) -> np.ndarray:
     """Differences, their bytes by significance: the high ones are nearly all zero."""
-    steps = np.diff(values, prepend=np.int32(0)).astype(np.int32)
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).ravel()
+    return _planes(np.diff(values, prepend=np.int32(0)).astype(np.int32))
 
 
 def _values(steps: np.ndarray) -> np.ndarray:
     """What ``_steps`` was made of."""
-    return np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
+    return np.cumsum(_whole(steps, np.int32), dtype=np.int32)
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).ravel()
+
+
+def _whole(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _by_class(context: np.ndarray) -> np.ndarray:
@@ -576,7 +584,8 @@ def _score_parts(bucket: Bucket, mean: np.ndarray, totals: Totals, entries: Iter
         sums = [np.bincount(doc, value[pair] * times, int(n[0])) for value in values]
         some = np.flatnonzero(np.bincount(doc, minlength=int(n[0])))
         yield pack_arrays(
-            some.astype(np.int32), *[s[some].view(np.int64) for s in sums[:2]], sums[2][some].astype(np.int32), level=1)
+            _steps(some.astype(np.int32)), *[_planes(np.rint(s[some] * unit).astype(np.int64)) for s, unit in zip(sums, UNITS)],
+            _planes(sums[2][some].astype(np.int32)), level=1)
 
 
 def score_texts(
@@ -592,7 +601,8 @@ def score_texts(
     the training tokens, each left out in turn, are likeliest. Null and empty texts are the end token
     alone; a text of any length is scored whole. Ids may be null or repeated; rows are scored one by
     one; other columns are ignored; without training rows every word has probability one in the
-    base; an empty table gives no rows.
+    base; an empty table gives no rows. Per document and bucket of words the score is rounded to 2**-26, the
+    base score to 2**-30.
     """
     spark = docs.sparkSession
     buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -633,9 +643,10 @@ def score_texts(
         out = [np.zeros(len(ids)) for _ in range(3)]
         for blob in blobs["sums"]:
             place, total, base, known = unpack_arrays(blob)
-            out[0][place] += total.view(np.float64)
-            out[1][place] += base.view(np.float64)
-            out[2][place] += known
+            place = _values(place)
+            out[0][place] += _whole(total, np.int64) / UNITS[0]
+            out[1][place] += _whole(base, np.int64) / UNITS[1]
+            out[2][place] += _whole(known, np.int32)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64").copy() if not absent.any() else pd.Series(
                 pd.array(ids.tolist(), "Int64")).mask(absent.astype(bool)), "held_out": flags.astype(bool),
