@@ -7,13 +7,15 @@ that the fallbacks have work to do.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.session import scratch_path
+from bazaarflow.session import child_names, scratch_path
 
+ROWS_PER_FILE = 200_000
 BASE_TABLES = ("nation", "customer", "supplier", "orders", "lineitem", "events")
 
 VIEWS = {
@@ -216,18 +218,29 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_view(
     spark: SparkSession, folder: str, name: str, moment: str, files: int,
 ) -> DataFrame:
-    """The view as a stream that delivers its rows in ``files`` batches by the time column ``moment``."""
+    """The view as a stream that delivers its rows in ``files`` batches by the time column ``moment``.
+
+    Each batch is one file per ``ROWS_PER_FILE`` rows of a mean batch, so that tasks share a large one.
+    """
     rows = view(spark, folder, name)
-    limits = rows.agg(F.percentile_approx(
-        F.unix_micros(moment), [i / files for i in range(1, files)])).first()[0] or []
-    target = scratch_path(spark, f"stream-{name}")
     time = F.unix_micros(moment)
-    bounds = [None, *sorted(set(limits)), None]
-    for low, high in zip(bounds, bounds[1:]):
+    limits, count = rows.agg(
+        F.percentile_approx(time, [i / files for i in range(1, files)]), F.count(F.lit(1))).first()  # one row
+    parts = max(1, math.ceil(count / files / ROWS_PER_FILE))
+    target = scratch_path(spark, f"stream-{name}")
+    bounds = [None, *sorted(set(limits or [])), None]
+    for number, (low, high) in enumerate(zip(bounds, bounds[1:]), 1):
         inside = (F.lit(True) if low is None else time > low) & (F.lit(True) if high is None else time <= high)
         undated = F.col(moment).isNull() & F.lit(low is None)
-        rows.where(F.coalesce(inside, F.lit(False)) | undated).coalesce(1).write.mode("append").parquet(target)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
+        chosen = rows.where(F.coalesce(inside, F.lit(False)) | undated)
+        (chosen.repartition(parts) if parts > 1 else chosen.coalesce(1)).write.mode("append").parquet(target)
+        for _ in range(number * parts - _data_files(spark, target)):  # a batch is so many files, also of few rows
+            rows.limit(0).coalesce(1).write.mode("append").parquet(target)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(target)
+
+
+def _data_files(spark: SparkSession, folder: str) -> int:
+    return sum(n.startswith("part-") for n in child_names(spark, folder))
 
 
 def _duckdb_text(name: str) -> tuple[str, list[str]]:

@@ -89,15 +89,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, path: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once, below the shared folder or to ``path``, and read it back.
 
     Cuts lineage like a checkpoint, but in a columnar file, so each later reader loads only
-    its own columns.
+    its own columns. With ``rows_per_file`` a task that holds more rows writes several files,
+    which as many tasks can read.
     """
     path = path or scratch_path(df.sparkSession, label)
     schema = df.schema
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ from bazaarflow.streaming.batches import BATCH, Snapshots, Table, as_of_now, sta
 
 
 SNAPSHOT_EVERY = 50
+ROWS_PER_FILE = 200_000
 
 ACCEPTED_IDS = T.StructType([T.StructField("request_id", T.LongType())])
 REPEATED = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("repeats", T.LongType())])
@@ -36,12 +37,12 @@ def accept_requests(
     id. A refused request may be sent again; one without an id is refused, as it could get no number. The ids accepted before are read as one sorted column, of which
     the id range of the batch is pushed down to the files. Each batch is written once, joined to the
     tables (as they are then, when given as functions) and written with its outcome; all parts are
-    read from that.
+    read from that. What arrives in few large files is written in more, so that all tasks share the rest.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         work = f"{out}/work/{BATCH}={batch_id}"
-        arrived = materialise(batch, "requests", f"{work}/arrived")
+        arrived = materialise(batch, "requests", f"{work}/arrived", ROWS_PER_FILE)
         judged = screen_requests(arrived, as_of_now(providers), as_of_now(profiles))
         nameless = F.when(F.col("request_id").isNull(), "missing_field")
         screened = materialise(
