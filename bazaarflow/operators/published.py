@@ -19,11 +19,13 @@ from bazaarflow.operators.notifications import notification_events
 from bazaarflow.schemas import BOOKING_STATUSES, BOOKINGS, MONEY, NUMBER, PROVIDER_STATUSES, PROVIDERS, conform
 from bazaarflow.session import materialise
 from bazaarflow.sources.loads import insert_if_absent
-from bazaarflow.sources.versions import Change, Layout, Store, bucket_cell, month_cell
+from bazaarflow.sources.versions import CELL, Change, Layout, Store, bucket_cell, month_cell
 
 PROVIDER_BUCKETS = 16
 PARTIAL_BUCKETS = 4
 FOLDERS_PER_CELL = 16
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 48  # of a change beside its texts
 
 BOOKING_STATE = T.StructType([
     *BOOKINGS.fields, T.StructField("status_at", T.TimestampType()), T.StructField("status_event", T.LongType()),
@@ -42,6 +44,7 @@ LAYOUTS = {
     "feed_counts": Layout(FEED_COUNTS, bucket_cell("provider_id", PARTIAL_BUCKETS), ("provider_id",)),
 }
 _SUMS = ("jobs", "completed", "revenue", "stars", "ratings")
+_COUNTED = ("provider_id", "booking_date", "price", "status", "rating")  # what ``_counts`` reads of a booking
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
@@ -63,8 +66,7 @@ def load_tables(store: Store, tables: Mapping[str, DataFrame], batch: int = 0) -
         if "providers" in tables:
             change.replace("providers", _state(tables["providers"], "providers", PROVIDER_STATE))
         if "bookings" in tables:
-            rows = _state(tables["bookings"], "bookings", BOOKING_STATE)
-            change.replace("bookings", rows)
+            rows = change.replace("bookings", _state(tables["bookings"], "bookings", BOOKING_STATE))
             change.replace("partials", _summed(rows.select(_counts("").alias("c")).select("c.*")))
             change.replace("feed_counts", feed_counts(rows))
 
@@ -137,25 +139,34 @@ def _fold_bookings(change: Change, latest: DataFrame, at: str, event: str, value
     """Apply the latest event of each booking, where it is newer than what the booking has had.
 
     ``latest`` is (id, event_id, ts, ...); ``values`` maps columns of a booking to those of ``latest``.
-    Only the months that hold such bookings are read and written again.
+    The bookings that change are found once, with the few columns that they are counted by; only the
+    months that hold one are then read whole and written again. Changes of up to ``BROADCAST_BYTES`` go to
+    every task, and months that were written at once are then not shuffled.
     """
-    cells = change.touched("bookings", latest)
-    before = change.read("bookings", cells)
     sent = latest.select("id", F.lit(True).alias("_sent"), F.col("ts").alias("_ts"), F.col("event_id").alias("_event"),
                          *[F.col(source).alias(f"_{name}") for name, source in values.items()])
-    joined = before.join(sent, "id", "left")
     seen = F.col(at).isNull() & F.col(event).isNull()
     newer = F.col("_sent").isNotNull() & (seen | (F.struct("_ts", "_event") > F.struct(at, event)))
-    judged = joined.withColumn("_newer", newer).withColumns({
-        f"new_{name}": F.when(F.col("_newer"), F.col(f"_{name}")).otherwise(F.col(name))
-        if name in values else F.col(name) for name in {"status", "rating", *values}})
-    after = judged.withColumns({
-        **{name: F.col(f"new_{name}") for name in values},
+    cell = change.store.layouts["bookings"].cell().alias(CELL)
+    held = change.read("bookings", change.touched("bookings", latest)).select("id", cell, *_COUNTED, at, event)
+    changed = materialise(held.join(sent, "id").where(newer), "changed-bookings")
+    texts = F.sum(F.octet_length(F.concat_ws("", "id", *[F.col(f"_{name}").cast("string") for name in values])))
+    sizes = changed.groupBy(CELL).agg((texts + ROW_BYTES * F.count(F.lit(1))).alias("size")).collect()  # a row per month
+    if not sizes:
+        return
+    cells = sorted(r[CELL] for r in sizes)
+    applied = changed.select(*sent.columns).dropDuplicates(["id"])
+    in_place = sum(r["size"] for r in sizes) <= BROADCAST_BYTES and change.gathered("bookings", cells)
+    if in_place:
+        applied = F.broadcast(applied)
+    judged = change.read("bookings", cells).join(applied, "id", "left").withColumn("_newer", newer)
+    change.rewrite("bookings", judged.withColumns({
+        **{name: F.when(F.col("_newer"), F.col(f"_{name}")).otherwise(F.col(name)) for name in values},
         "updated_at": F.when(F.col("_newer"), F.greatest("updated_at", "_ts")).otherwise(F.col("updated_at")),
         at: F.when(F.col("_newer"), F.col("_ts")).otherwise(F.col(at)),
-        event: F.when(F.col("_newer"), F.col("_event")).otherwise(F.col(event))})
-    change.rewrite("bookings", after, cells)
-    change.append("partials", _differences(judged.where("_newer")))
+        event: F.when(F.col("_newer"), F.col("_event")).otherwise(F.col(event))}), cells, in_place)
+    change.append("partials", _differences(changed.withColumns({
+        f"new_{name}": F.col(f"_{name}" if name in values else name) for name in ("status", "rating")})))
 
 
 def publish_status(
@@ -168,6 +179,8 @@ def publish_status(
     ``count_completions`` every completion event of a known booking adds one to its provider's
     completed_jobs, in the same version.
     """
+    if store.manifest().has(source, batch):
+        return False
     valid = events.where(F.col("status").isin(*BOOKING_STATUSES) & F.col("booking_id").isNotNull())
     latest = materialise(_latest(valid, "booking_id", ["status"]), "status-batch")
 
@@ -185,6 +198,8 @@ def publish_status(
 
 def publish_ratings(store: Store, events: DataFrame, batch: int) -> bool:
     """Apply a batch of rating events as one version; as ``lifecycle.apply_ratings``, over all batches together."""
+    if store.manifest().has("rating", batch):
+        return False
     valid = events.where(~is_unfit_number(F.col("rating")) & F.col("booking_id").isNotNull())
     latest = _latest(valid, "booking_id", ["rating", "review"]).withColumn("stars", js_number(F.col("rating")))
     latest = materialise(latest, "rating-batch")
@@ -194,6 +209,8 @@ def publish_ratings(store: Store, events: DataFrame, batch: int) -> bool:
 
 def publish_provider_status(store: Store, events: DataFrame, batch: int) -> bool:
     """Apply a batch of approvals as one version; a provider is verified exactly when active."""
+    if store.manifest().has("approval", batch):
+        return False
     valid = events.where(F.col("status").isin(*PROVIDER_STATUSES) & F.col("provider_id").isNotNull())
     latest = materialise(_latest(valid, "provider_id", ["status"]), "approval-batch")
 
@@ -222,10 +239,8 @@ def publish_bookings(store: Store, rows: DataFrame, batch: int) -> bool:
     given = _state(rows, "bookings", BOOKING_STATE)
 
     def write(change: Change) -> None:
-        new = materialise(
-            insert_if_absent(change.read("bookings").select("id"), given.where(F.col("id").isNotNull()), ["id"]),
-            "bookings-batch")
-        change.append("bookings", new)
+        new = change.append("bookings", insert_if_absent(
+            change.read("bookings").select("id"), given.where(F.col("id").isNotNull()), ["id"]))
         change.append("partials", _summed(new.select(_counts("").alias("c")).select("c.*")))
         change.append("feed_counts", feed_counts(new))
 
@@ -254,7 +269,7 @@ def publish_answers(store: Store, answers: DataFrame, batch: int, version: int |
     As ``notifications.notification_events`` and ``publish_status``. Ids are places, which move as bookings
     come: ``version`` is the one whose feeds were answered. An answer to a place that is not there does nothing.
     """
-    if batch <= store.manifest().applied.get("answers", -1):
+    if store.manifest().has("answers", batch):
         return False
     behind = bookings_at(*_feed_tables(store, version), answers)
     targets = behind.select("provider_id", F.col("notice_id").alias("id"), F.col("id").alias("booking_id"))

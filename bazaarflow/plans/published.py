@@ -8,7 +8,7 @@ from bazaarflow.operators import feed, published
 from bazaarflow.plans.catalog import query, time_sql
 from bazaarflow.plans.folds import _COMPLETIONS, _LATEST_STATUS
 from bazaarflow.plans.reads import _FEED_CTES, ROLLUP_MONTH
-from bazaarflow.session import scratch_path
+from bazaarflow.session import materialise, scratch_path
 
 _LATEST_RATING = """latest_rating AS (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY ts DESC, event_id DESC) AS rn
@@ -60,7 +60,7 @@ changed AS (SELECT b.provider_id, b.booking_date, b.price, coalesce(s.status, b.
  CASE WHEN r.ts IS NULL THEN b.rating ELSE try_cast(r.rating AS decimal(38,10)) END AS rating
 FROM bookings b LEFT JOIN latest s ON b.id = s.booking_id LEFT JOIN latest_rating r ON b.id = r.booking_id)""")
 def _(t):
-    bookings = t("bookings")
+    bookings = materialise(t("bookings"), "bookings")  # read three times
     early = F.col("booking_date") < "1995-01-01"
     store = published.open_store(t.spark, scratch_path(t.spark, "store"))
     published.load_tables(store, {"bookings": bookings.where(early)})

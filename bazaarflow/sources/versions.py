@@ -45,6 +45,9 @@ class Manifest:
     def text(self) -> str:
         return json.dumps(self.__dict__)
 
+    def has(self, source: str, batch: int) -> bool:
+        return batch <= self.applied.get(source, -1)
+
     def next(self) -> Manifest:
         tables = {name: {c: list(f) for c, f in cells.items()} for name, cells in self.tables.items()}
         return Manifest(self.version + 1, dict(self.applied), tables)
@@ -85,7 +88,7 @@ class Store:
         """
         for _ in range(ATTEMPTS):
             base = self.manifest()
-            if batch <= base.applied.get(source, -1):
+            if base.has(source, batch):
                 return False
             change = Change(self, base)
             write(change)
@@ -141,30 +144,46 @@ class Change:
         held = self.read(name).select(key, cell.alias(CELL))
         return sorted(r[0] for r in held.join(keys.select(key), key, "left_semi").select(CELL).distinct().collect())
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        for cell, folder in self._write(name, rows).items():
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add ``rows``; returns them read from what was written, so that they are computed once."""
+        written = self._write(name, rows)
+        for cell, folder in written.items():
             self.new.tables.setdefault(name, {}).setdefault(cell, []).append(folder)
+        return self._written(name, written)
 
-    def rewrite(self, name: str, rows: DataFrame, cells: Iterable[str]) -> None:
-        """``rows`` take the place of all rows in ``cells``."""
-        written = self._write(name, rows)
+    def gathered(self, name: str, cells: Iterable[str]) -> bool:
+        """Whether each of ``cells`` was written at once, not added to since."""
+        return all(len(self.base.tables[name][c]) == 1 for c in cells)
+
+    def rewrite(self, name: str, rows: DataFrame, cells: Iterable[str], in_place: bool = False) -> DataFrame:
+        """``rows`` take the place of all rows in ``cells``; returns them read from what was written.
+
+        ``in_place``: the rows are as they are read, with no shuffle since, and stay in their tasks, so a
+        cell gets at most one file per file or split that it was read from.
+        """
+        written = self._write(name, rows, in_place)
         table = self.new.tables.setdefault(name, {})
         for cell in cells:
             table.pop(cell, None)
         for cell, folder in written.items():
             table.setdefault(cell, []).append(folder)
+        return self._written(name, written)
+
+    def replace(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.rewrite(name, rows, list(self.new.tables.get(name, {})))
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        self.rewrite(name, rows, list(self.new.tables.get(name, {})))
+    def _written(self, name: str, folders: Mapping[str, str]) -> DataFrame:
+        return self.store.read(name, folders, Manifest(tables={name: {c: [f] for c, f in folders.items()}}))
 
-    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+    def _write(self, name: str, rows: DataFrame, in_place: bool = False) -> dict[str, str]:
         """The new folder of each cell among ``rows``; a large cell is several files."""
         layout = self.store.layouts[name]
         self._writes += 1
         folder = f"{self.folder}/{name}-{self._writes}"
         path = f"{self.store.path}/data/{folder}"
         placed = rows.select(
-            *[F.col(f.name).cast(f.dataType) for f in layout.schema.fields], layout.cell().alias(CELL)).hint("rebalance", F.col(CELL))
+            *[F.col(f.name).cast(f.dataType) for f in layout.schema.fields], layout.cell().alias(CELL))
+        placed = placed if in_place else placed.hint("rebalance", F.col(CELL))
         placed.sortWithinPartitions(CELL, *layout.sort).write.partitionBy(CELL).parquet(path)
         return {n.removeprefix(f"{CELL}="): f"{folder}/{n}"
                 for n in child_names(self.store.spark, path) if n.startswith(f"{CELL}=")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bazaarflow.operators import published
 from bazaarflow.operators.rollups import provider_rollup
 from bazaarflow.schemas import conform
-from bazaarflow.sources.versions import Conflict, Manifest, Store
+from bazaarflow.sources.versions import Change, Conflict, Manifest, Store
 
 EVENT = "event_id long, booking_id string, status string, ts timestamp"
 
@@ -192,3 +192,42 @@ def test_versions_before_the_first(spark, tmp_path):
     assert empty.manifest() == Manifest() and empty.read("bookings").count() == 0
     assert published.publish_status(empty, status(spark, (1, "TF-5", "accepted", 1)), 0)
     assert empty.read("bookings").count() == 0 and published.maintained_rollup(empty, "2024-01").count() == 0
+
+
+def test_a_fold_computes_its_changes_once(spark, store, monkeypatch):
+    """The touched months are read twice: a few columns to find the changes, and whole to be written again."""
+    read, written = [], []
+    real_read, real_write = Store.read, Change._write
+    monkeypatch.setattr(Store, "read", lambda self, name, cells=None, manifest=None: (
+        read.append((name, cells)), real_read(self, name, cells, manifest))[1])
+    monkeypatch.setattr(Change, "_write", lambda self, name, rows, in_place=False: (
+        written.append((name, in_place)), real_write(self, name, rows, in_place))[1])
+    events = status(spark, (5, "TF-5", "accepted", 2), (6, "TF-6", "accepted", 2))
+    published.publish_status(store, events, 0)
+    months = ["2024-02", "2024-03"]
+    assert read.count(("bookings", months)) == 2
+    assert written == [("bookings", True), ("partials", False)]  # no shuffle of months that were written at once
+
+    written.clear()
+    older = status(spark, (1, "TF-5", "cancelled", 1), (9, "TF-6", "completed", 3))
+    published.publish_status(store, older, 1)
+    assert set(store.manifest().tables["bookings"]["2024-02"]) == set(store.manifest(2).tables["bookings"]["2024-02"])
+    assert store.manifest().tables["bookings"]["2024-03"] != store.manifest(2).tables["bookings"]["2024-03"]
+    assert (statuses(store)["TF-5"], statuses(store)["TF-6"]) == ("accepted", "completed")
+    assert rollups(store)[0] == rollups(store)[1]
+
+    new = bookings(spark).where("id = 'TF-6'").withColumn("id", F.lit("TF-60"))
+    published.publish_bookings(store, new, 0)
+    written.clear()
+    published.publish_status(store, status(spark, (10, "TF-60", "completed", 4)), 2)
+    monkeypatch.setattr(published, "BROADCAST_BYTES", 0)
+    published.publish_status(store, status(spark, (11, "TF-60", "cancelled", 5)), 3)
+    assert [w for w in written if w[0] == "bookings"] == [("bookings", False)] * 2
+    assert statuses(store)["TF-60"] == "cancelled" and store.read("bookings").count() == 25
+    assert rollups(store)[0] == rollups(store)[1]
+
+
+def test_a_batch_that_was_applied_reads_nothing(spark, store):
+    published.publish_status(store, status(spark, (1, "TF-5", "accepted", 1)), 0)
+    lost = status(spark, (2, "TF-6", "accepted", 1)).withColumn("ts", F.raise_error(F.lit("read")).cast("timestamp"))
+    assert not published.publish_status(store, lost, 0)
