@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bazaarflow.llm.tables import keep_rows, text_key
+from bazaarflow.llm.tables import keep_rows, release_memory, text_key
 from bazaarflow.llm.words import Words, chunks, find_words, mix, text_bytes, word_hashes
 from bazaarflow.session import materialise
 
@@ -82,21 +82,26 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return docs, buckets, dense
 
 
-def _fit(doc: np.ndarray, bucket: np.ndarray, dense: np.ndarray, good: np.ndarray) -> DocumentModel:
-    """Balanced logistic regression on the features whose log odds are clearly not zero.
-
-    ``doc`` and ``bucket`` list the hashed features, ``dense`` has a row per document.
-    """
-    mean, spread = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-    z = np.clip((dense - mean) / spread, -8, 8)
+def _clear(doc: np.ndarray, bucket: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Which buckets have log odds that are clearly not zero."""
     n_good, n_bad = max(good.sum(), 1), max((~good).sum(), 1)
     in_good = np.bincount(bucket[good[doc]], minlength=BUCKETS)
     in_bad = np.bincount(bucket[~good[doc]], minlength=BUCKETS)
     odds = np.log((in_good + 0.5) / (n_good - in_good + 0.5)) - np.log((in_bad + 0.5) / (n_bad - in_bad + 0.5))
     error = np.sqrt(1 / (in_good + 0.5) + 1 / (in_bad + 0.5))
-    chosen = np.abs(odds / error) >= CLEAR
-    use = chosen[bucket]
-    doc, bucket = doc[use], bucket[use]
+    return np.abs(odds / error) >= CLEAR
+
+
+def _fit(
+    doc: np.ndarray, bucket: np.ndarray, chosen: np.ndarray, dense: np.ndarray, good: np.ndarray,
+) -> DocumentModel:
+    """Balanced logistic regression on the chosen buckets and the dense features.
+
+    ``doc`` and ``bucket`` list the hashed features in these buckets, ``dense`` has a row per document.
+    """
+    mean, spread = dense.mean(axis=0), dense.std(axis=0) + 1e-6
+    z = np.clip((dense - mean) / spread, -8, 8)
+    n_good, n_bad = max(good.sum(), 1), max((~good).sum(), 1)
     weights, extra, bias = np.zeros(BUCKETS), np.zeros(dense.shape[1]), 0.0
     importance = np.where(good, 0.5 / n_good, 0.5 / n_bad)
     state = [np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(extra) + 1), np.zeros(len(extra) + 1)]
@@ -147,8 +152,13 @@ def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> Document
     lists = rows["buckets"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     dense = rows["dense"].combine_chunks().flatten().to_numpy().reshape(len(good), -1)
-    doc = np.repeat(np.arange(len(good), dtype=np.int32), sizes)
-    return _fit(doc, lists.flatten().to_numpy(), dense, good)
+    doc, bucket = np.repeat(np.arange(len(good), dtype=np.int32), sizes), lists.flatten().to_numpy()
+    chosen = _clear(doc, bucket, good)
+    use = chosen[bucket]
+    doc, bucket = doc[use], bucket[use]
+    del rows, lists, sizes, use
+    release_memory()
+    return _fit(doc, bucket, chosen, dense, good)
 
 
 def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: str, carried: list[Column]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -28,3 +31,11 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     keyed = docs.withColumn(key, text_key(text_col))
     same = keyed[id_col].eqNullSafe(kept["id"]) & (keyed[key] == kept["row_key"])
     return keyed.join(kept, same, "left_semi").drop(key)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: the driver, or a Python worker, lives on after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
