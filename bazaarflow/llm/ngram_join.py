@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bazaarflow.llm.blobs import pack_arrays, unpack_arrays
 from bazaarflow.llm.graph import bit_filter, components, in_filter
-from bazaarflow.llm.tables import keep_rows, text_key
-from bazaarflow.llm.words import Words, chunks, mix, window_hashes, window_starts, word_hashes, words_of
+from bazaarflow.llm.tables import keep_rows, releasing, text_key
+from bazaarflow.llm.words import SMALL_CHUNK, Words, chunks, mix, window_hashes, window_starts, word_hashes, words_of
 from bazaarflow.session import materialise
 
 COUNTERS = 1 << 21
@@ -41,7 +41,7 @@ def count_words(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 hashes = word_hashes(words_of(part.column(0), lower=True))
                 place = np.sort((hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
                 first = np.flatnonzero(np.diff(place, prepend=-1))
@@ -57,7 +57,7 @@ def count_words(rows: DataFrame) -> np.ndarray:
         classes = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
         return pd.DataFrame({"segment": [int(frame["segment"].iloc[0])], "classes": [classes.tobytes()]})
 
-    found = rows.select("text").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInPandas(
+    found = rows.select("text").mapInArrow(releasing(count), "segment int, counts binary").groupBy("segment").applyInPandas(
         add, "segment int, classes binary").collect()
     out = np.zeros(COUNTERS, np.uint8)
     for row in found:
@@ -123,7 +123,7 @@ def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 grams, first = ngram_sets(words_of(part.column(2), lower=True), size, shared.value)
                 n = np.diff(first)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(salt)), dtype=np.uint64)])
@@ -142,7 +142,7 @@ def describe_sets(rows: DataFrame, classes: np.ndarray, size: int, percent: int)
                     _lists(grams[taken], bounds), *[pa.array(maps[:, k]) for k in range(MAP_WORDS)]],
                     ["doc_id", "key", "n", "d1", "d2", "prefix", *_MAP])
 
-    return rows.mapInArrow(run, (
+    return rows.mapInArrow(releasing(run), (
         "doc_id long, key long, n int, d1 long, d2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in _MAP)))
 
 
@@ -164,12 +164,12 @@ def _verified(pairs: DataFrame, classes_of: DataFrame, rows: DataFrame, size: in
         for batch in batches:
             hit = in_filter(bits, batch.column(1).to_numpy().astype(np.int64))
             batch = batch.filter(pa.array(hit))
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 grams, first = ngram_sets(words_of(part.column(2), lower=True), size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), _lists(grams, first)], ["doc_id", "key", "grams"])
 
-    found = rows.mapInArrow(run, "doc_id long, key long, grams array<long>")
+    found = rows.mapInArrow(releasing(run), "doc_id long, key long, grams array<long>")
     same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["key"] == wanted["key"])
     sets = found.join(wanted, same).select("node", "grams").dropDuplicates(["node"])
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from bazaarflow.llm.tables import releasing
 from bazaarflow.llm.words import chunks
 from bazaarflow.session import materialise
 
@@ -181,7 +182,7 @@ def pack(
         return table
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = materialise(source.mapInArrow(run, f"{_PIECE}, open boolean, part long"), "packing")
+    placed = materialise(source.mapInArrow(releasing(run), f"{_PIECE}, open boolean, part long"), "packing")
     names = [f.split()[0] for f in _PIECE.split(", ")]
     closed = placed.where(~F.col("open")).select(*names)
     merged = placed.where("open").withColumn(

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bazaarflow.llm.tables import keep_rows, release_memory, text_key
-from bazaarflow.llm.words import Words, chunks, find_words, mix, text_bytes, word_hashes
+from bazaarflow.llm.tables import keep_rows, release_memory, releasing, text_key
+from bazaarflow.llm.words import SMALL_CHUNK, Words, chunks, find_words, mix, text_bytes, word_hashes
 from bazaarflow.session import materialise
 
 SAMPLE_ROWS = 2000
@@ -134,7 +134,7 @@ def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> Document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 docs, buckets, dense = _features(*text_bytes(part.column(0)))
                 found = np.unique(docs * BUCKETS + buckets)
                 cuts = np.searchsorted(found, np.arange(1, part.num_rows) * BUCKETS)
@@ -145,7 +145,7 @@ def fit_documents(labelled: DataFrame, per_class: int = SAMPLE_ROWS) -> Document
                     ["good", "buckets", "dense", "r"])
 
     rows = sample.select("text", "good", F.xxhash64("id", "r", "kind").alias("r")).mapInArrow(
-        run, "good boolean, buckets array<int>, dense array<double>, r long").toArrow().sort_by("r")
+        releasing(run), "good boolean, buckets array<int>, dense array<double>, r long").toArrow().sort_by("r")
     good = rows["good"].to_numpy().astype(bool)
     if not len(good) or good.all() or not good.any():
         return None
@@ -172,7 +172,7 @@ def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", SMALL_CHUNK):
                 docs_of, buckets, dense = _features(*text_bytes(part.column(part.num_columns - 1)))
                 weighty = m.buckets[buckets] != 0
                 pairs = np.unique(docs_of[weighty] * BUCKETS + buckets[weighty])
@@ -184,7 +184,7 @@ def document_evidence(docs: DataFrame, model: DocumentModel | None, text_col: st
                     [*[f.name for f in fields], "evidence"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{kinds}, evidence double")
+    return source.mapInArrow(releasing(run), f"{kinds}, evidence double")
 
 
 def _strength(groups: DataFrame, parent: Column) -> float:

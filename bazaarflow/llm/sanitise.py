@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarflow.llm.graph import bit_filter, in_filter
-from bazaarflow.llm.tables import fresh, text_key
-from bazaarflow.llm.words import Words, chunks, find_words, text_bytes, word_hashes
+from bazaarflow.llm.tables import fresh, releasing, text_key
+from bazaarflow.llm.words import SMALL_CHUNK, Words, chunks, find_words, text_bytes, word_hashes
 from bazaarflow.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -152,7 +152,7 @@ def scan_patterns(docs: DataFrame) -> DataFrame:
                 pa.array(spans_out, span_type), pa.array(near, near_type)],
                 ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found", "near"])
 
-    return docs.mapInArrow(run, (
+    return docs.mapInArrow(releasing(run), (
         "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
         "base string, found array<struct<start:long,kind:int,end:long>>, "
         "near array<struct<entity:string,context:long,around:array<long>,terms:array<long>>>"))
@@ -177,7 +177,7 @@ def _document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[int] = Counter()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 _, _, hashes, at, doc = _found_terms(part.column(2), bits)
                 found = hashes[at].view(np.int64)
                 order = np.lexsort((found, doc))
@@ -191,7 +191,7 @@ def _document_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 total = Counter()
         yield _counted(total)
 
-    return _readable(docs, bits).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return _readable(docs, bits).mapInArrow(releasing(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _readable(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -209,7 +209,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 data, words, hashes, at, doc = _found_terms(part.column(2), bits)
                 if not at.size:
                     continue
@@ -227,7 +227,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     pa.array(groups["end"].tolist(), pa.list_(pa.int64()))],
                     ["doc_id", "key", "term", "starts", "ends"])
 
-    return _readable(docs, bits).mapInArrow(run, "doc_id long, key long, term long, starts array<long>, ends array<long>")
+    return _readable(docs, bits).mapInArrow(releasing(run), "doc_id long, key long, term long, starts array<long>, ends array<long>")
 
 
 def _surroundings(scan: DataFrame) -> DataFrame:
@@ -288,9 +288,9 @@ def _independent(surroundings: DataFrame, pairs: DataFrame, support: int) -> Dat
         "entity", "term", F.pmod("context", F.lit(SALTS)).cast("int").alias("salt"), "context", "around")
     order = ["entity", "term", "salt", "context"]
     thinned = rows.repartition(parts, "entity", "term", "salt").sortWithinPartitions(*order).mapInArrow(
-        _apart(support, False), kind)
+        releasing(_apart(support, False)), kind)
     found = thinned.repartition(parts, "entity", "term").sortWithinPartitions(*order).mapInArrow(
-        _apart(support, True), kind)
+        releasing(_apart(support, True)), kind)
     return found.select("entity", "term")
 
 
@@ -379,9 +379,13 @@ def sanitise(
     keyed = docs.withColumn(key, text_key(text_col))
     same = keyed[id_col].cast("long").eqNullSafe(terms[id_]) & (keyed[key] == terms[key_])
 
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in batches:
+            yield pd.Series([_replace(t, m, remove) for t, m in zip(texts, found)], dtype=object)
+
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_replace(t, m, remove) for t, m in zip(texts, found)], dtype=object)
+    def replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return releasing(run)(batches)
 
     return keyed.join(terms, same, "left").withColumn(
         text_col, replaced(F.col(text_col), F.col(marks))).select(*docs.columns)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+SMALL_CHUNK = 1 << 18  # for tasks that run beside much else
 CHUNK_ROWS = 4096
 
 _SPACE = np.zeros(256, bool)
@@ -118,7 +119,7 @@ def window_starts(words: Words, size: int) -> np.ndarray:
 
 def _power_table(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     if seed not in _powers or len(_powers[seed][0]) < size:
-        count = max(size, 2 * CHUNK_BYTES)
+        count = 1 << size.bit_length()
         base = _BASES[seed]
         _powers[seed] = _powers_of(base, count), _powers_of(pow(base, -1, 1 << 64), count)
     return _powers[seed]
